@@ -13,8 +13,9 @@ LOCUS = ["chrom", "strand", "start", "end"]
 
 def _best_first(df: DataFrame, score: str) -> list[Column]:
     """A total order: score descending, then locus, then every other column."""
-    rest = [c for c in df.columns if c not in LOCUS + [score] and not c.startswith("_")]
-    return [F.col(score).isNull(), -F.col(score)] + [F.col(c) for c in LOCUS + rest]
+    place = [c for c in LOCUS if c in df.columns]
+    rest = [c for c in df.columns if c not in place + [score] and df.schema[c].dataType.typeName() != "map"]
+    return [F.col(score).isNull(), -F.col(score)] + [F.col(c) for c in place + rest]
 
 
 def keep_best(df: DataFrame, keys: list[str], score: str = SCORE) -> DataFrame:

@@ -200,8 +200,8 @@ def gene_intervals(genes: DataFrame) -> DataFrame:
     )
 
 
-def housekeeping_genes(listed: DataFrame, genes: DataFrame) -> DataFrame:
-    """Transcripts under the starts of listed genes: chrom, start, end, gene, accession, track_strand.
+def housekeeping_genes(listed: DataFrame, genes: DataFrame, keep_listed: bool = False) -> DataFrame:
+    """Transcripts under the starts of listed genes: gene, accession, chrom, track_strand, start, end.
 
     A listed gene (chrom, strand, start) takes the transcript lying over its start on its
     own strand, else on the other one; of several, the one loaded last.
@@ -212,11 +212,12 @@ def housekeeping_genes(listed: DataFrame, genes: DataFrame) -> DataFrame:
     )
     found = lookup(listed.select("chrom", F.col("start").alias("position")), tx, ["chrom"], ["track_strand"])
     own = F.max_by("value", F.when(F.col("track_strand") == F.col("strand"), 2).otherwise(1))
-    return (
-        listed.join(found, (listed["chrom"] == found["chrom"]) & (listed["start"] == found["position"]))
-        .select(listed["*"], found["track_strand"], found["value"])
-        .groupBy(*listed.columns).agg(own.alias("v")).select("v.*")
+    placed = (
+        listed.select("chrom", "strand", F.col("start").alias("position")).distinct().join(found, ["chrom", "position"])
+        .groupBy("chrom", "strand", "position").agg(own.alias("v"))
     )
+    asked = [F.col("strand").alias("listed_strand"), F.col("position").alias("listed_start")] if keep_listed else []
+    return placed.select(*asked, "v.*")
 
 
 def expression_intervals(regions: DataFrame, expression: DataFrame, missing_to_minus: bool = True) -> DataFrame:
