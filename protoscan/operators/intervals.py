@@ -3,202 +3,193 @@
 An interval covers the closed range start..end. Where intervals overlap, the one with
 the highest ``load_seq`` (read last) decides.
 
-*Point lookup.* Each interval is cut into aligned blocks of 1, 8, 64, ... letters, at
-most 14 per size. Blocks are unique after keeping the highest ``load_seq`` per block,
-an aggregate that combines before the shuffle. A position lies in one block of every
-size, so it asks for seven keys and takes the highest ``load_seq`` found. No pair of
-(position, interval) is ever formed: many intervals over one spot collapse in the
-aggregate, and many rows at one position ask once.
-
-*Nearest distance.* Stepping outwards from a miss, the first hit on the left is the
-right end of some interval (on the stepping grid), on the right a left end. Those ends
-are gathered per cell of ``limit`` steps into bounded sorted arrays, and a position asks
-for its own cell and the next one.
+*Point lookup.* The axis is cut into bins of 64 letters. An interval leaves one row in the
+bin it starts in and one in the bin it ends in, clipped to the bin; the whole bins between
+are tiled by aligned blocks of 1, 8, 64, ... bins. Rows with the same block and bounds are
+merged, keeping the highest ``load_seq``, by an aggregate that combines before the shuffle.
+So a block holds at most 64 * 65 / 2 rows per track however many intervals pile up there,
+and two rows for a short interval are all it usually needs. A position asks for its bin and
+for the block of every size around it.
+
+*Nearest distance.* Stepping outwards from a miss, the first hit on the left is near the
+right end of some interval, on the right near a left end. Of the intervals that share such
+an end only the longest matters, so a stretch of ``step * limit`` letters has at most that
+many ends. They are gathered into one array per stretch, and a site asks for its own stretch
+and the next one on either side.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-_BITS = 3
-_TOP = 6
+_BIN_BITS = 6
+_LEVEL_BITS = 3
+_TOP = 4
 
 
-def _span(low: Column, high: Column, level: int) -> Column:
+def _keys(low: Column, high: Column, level: int) -> Column:
     """Block keys low..high-1 of one level; empty when there are none."""
-    empty = F.array().cast("array<bigint>")
     keys = F.sequence(low * 8 + level, (high - 1) * 8 + level, F.lit(8).cast("bigint"))
-    return F.when(low < high, keys).otherwise(empty)
+    return F.when(low < high, keys).otherwise(F.array().cast("array<bigint>"))
 
 
-def block_keys(start: Column, end: Column) -> Column:
-    """Aligned blocks that tile start..end, as an array of (block * 8 + level)."""
-    start, stop = start.cast("bigint"), end.cast("bigint") + 1
+def _whole_bins(first: Column, stop: Column) -> Column:
+    """Keys of the aligned blocks that tile the bins first..stop-1; level 1 is a single bin."""
 
     def bounds(level: int) -> tuple[Column, Column]:
-        low = F.shiftright(start + (8**level - 1), _BITS * level)
-        return low, F.greatest(low, F.shiftright(stop, _BITS * level))
+        low = F.shiftright(first + (8**level - 1), _LEVEL_BITS * level)
+        return low, F.greatest(low, F.shiftright(stop, _LEVEL_BITS * level))
 
     parts = []
     for level in range(_TOP + 1):
         low, high = bounds(level)
         if level == _TOP:
-            parts.append(_span(low, high, level))
+            parts.append(_keys(low, high, level + 1))
             continue
         up_low, up_high = bounds(level + 1)
-        parts.append(_span(low, F.least(up_low * 8, high), level))
-        parts.append(_span(F.greatest(up_high * 8, up_low * 8), high, level))
+        parts.append(_keys(low, F.least(up_low * 8, high), level + 1))
+        parts.append(_keys(F.greatest(up_high * 8, up_low * 8), high, level + 1))
     return F.concat(*parts)
 
 
+def interval_pieces(start: Column, end: Column) -> Column:
+    """Array of (block, low, high); blocks covered from end to end have no bounds."""
+    start, end = start.cast("bigint"), end.cast("bigint")
+    first, last = F.shiftright(start, _BIN_BITS), F.shiftright(end, _BIN_BITS)
+
+    def edge(b: Column, low: Column, high: Column) -> Column:
+        return F.struct((b * 8).alias("block"), low.alias("low"), high.alias("high"))
+
+    nothing = F.lit(None).cast("bigint")
+    inner = F.transform(_whole_bins(first + 1, last), lambda b: F.struct(b.alias("block"), nothing.alias("low"), nothing.alias("high")))
+    two = F.array(edge(first, start, (first + 1) * 64 - 1), edge(last, last * 64, end))
+    return F.when(first == last, F.array(edge(first, start, end))).when(last == first + 1, two).otherwise(F.concat(two, inner))
+
+
 def point_keys(position: Column) -> Column:
-    """The block of every level that holds a position."""
+    """The bin of a position and the block of every level around it."""
     p = position.cast("bigint")
-    return F.array(*[F.shiftright(p, _BITS * k) * 8 + k for k in range(_TOP + 1)])
+    own = F.shiftright(p, _BIN_BITS) * 8
+    return F.array(own, *[F.shiftright(p, _BIN_BITS + _LEVEL_BITS * k) * 8 + (k + 1) for k in range(_TOP + 1)])
 
 
 def block_table(intervals: DataFrame, by: list[str], value: str = "value", load_seq: str = "load_seq") -> DataFrame:
-    """One row per block and ``by`` key with the value that was loaded last."""
+    """One row per block, bounds and ``by`` key with the value that was loaded last."""
     return (
         intervals.filter(F.col("end") >= F.col("start"))
-        .select(*by, F.col(value).alias("value"), F.col(load_seq).alias("load_seq"), F.explode(block_keys(F.col("start"), F.col("end"))).alias("block"))
-        .groupBy(*by, "block")
+        .select(*by, F.col(value).alias("value"), F.col(load_seq).alias("load_seq"), F.explode(interval_pieces(F.col("start"), F.col("end"))).alias("_p"))
+        .select(*by, "value", "load_seq", "_p.block", "_p.low", "_p.high")
+        .groupBy(*by, "block", "low", "high")
         .agg(F.max_by("value", "load_seq").alias("value"), F.max("load_seq").alias("load_seq"))
     )
 
 
-def lookup(points: DataFrame, intervals: DataFrame, share: list[str], by: list[str], position: str = "position", load_seq: str = "load_seq") -> DataFrame:
+def _hits(probes: DataFrame, intervals: DataFrame, share: list[str], by: list[str]) -> DataFrame:
+    """Probes (share, position, ...) joined with the pieces that cover their position."""
+    asked = probes.withColumn("block", F.explode(point_keys(F.col("position"))))
+    return asked.join(block_table(intervals, share + by), share + ["block"]).filter("low is null or position between low and high")
+
+
+def lookup(points: DataFrame, intervals: DataFrame, share: list[str], by: list[str], position: str = "position") -> DataFrame:
     """Values at positions: rows (share..., by..., position, value) for the hits only.
 
     ``share`` columns (the chromosome, as a rule) are common to both sides; ``by`` are
     further columns of the intervals (track, strand, replicate) that split the answer.
     Points are made distinct first, so a spot that many rows ask for is looked up once.
     """
-    blocks = block_table(intervals, share + by, load_seq=load_seq)
     asked = points.select(*share, F.col(position).cast("bigint").alias("position")).distinct()
-    probes = asked.select(*share, "position", F.explode(point_keys(F.col("position"))).alias("block"))
-    return (
-        probes.join(blocks, share + ["block"])
-        .groupBy(*share, *by, "position")
-        .agg(F.max_by("value", "load_seq").alias("value"))
-    )
+    hits = _hits(asked, intervals, share, by)
+    return hits.groupBy(*share, *by, "position").agg(F.max_by("value", "load_seq").alias("value"))
 
 
-def annotate(sites: DataFrame, intervals: DataFrame, locus: list[str], share: list[str], by: list[str], probes: dict[str, Column], answers: dict[str, Column], keep: Column | None = None) -> DataFrame:
+def annotate(sites: DataFrame, intervals: DataFrame, locus: list[str], share: list[str], by: list[str], probes: dict[str, Column], answers: dict[str, Column]) -> DataFrame:
     """Look several positions of each site up in several tracks at once and aggregate.
 
     ``probes`` names the positions; each becomes a column with the value found there, one
-    row per site and ``by`` key. ``answers`` are aggregates over those rows per site, and
-    ``keep`` leaves rows out beforehand. Sites are reduced to their distinct loci first
-    and the answers are joined back to the rows.
+    row per site and ``by`` key. ``answers`` are aggregates over those rows per site. Sites
+    are reduced to their distinct loci first and the answers are joined back to the rows.
     """
     places = sites.select(*locus).distinct()
-    asked = F.array(*[F.struct(F.lit(n).alias("probe"), p.cast("bigint").alias("position")) for n, p in probes.items()])
+    asked = F.array(*[F.struct(F.lit(i).alias("probe"), p.cast("bigint").alias("position")) for i, p in enumerate(probes.values())])
     asks = places.select(*locus, F.explode(asked).alias("_ask")).select(*locus, "_ask.probe", "_ask.position")
-    hits = asks.join(lookup(asks, intervals, share, by), share + ["position"])
-    if keep is not None:
-        hits = hits.filter(keep)
-    wide = hits.groupBy(*locus, *by).agg(*[F.max(F.when(F.col("probe") == n, F.col("value"))).alias(n) for n in probes])
-    found = wide.groupBy(*locus).agg(*[a.alias(n) for n, a in answers.items()])
-    return sites.join(found, locus, "left")
 
+    def found_at(i: int) -> Column:
+        here = F.col("probe") == i
+        return F.max_by(F.when(here, F.col("value")), F.when(here, F.col("load_seq")))
 
-def _cells(ends: DataFrame, share: list[str], limit: int) -> DataFrame:
-    """Grid points (``grid``) per cell of ``limit`` steps, as a sorted array of at most ``limit`` values."""
-    return (
-        ends.withColumn("_cell", F.floor(F.col("grid") / limit))
-        .groupBy(*share, "residue", "_cell")
-        .agg(F.sort_array(F.collect_set("grid")).alias("_grid"))
-    )
+    hits = _hits(asks, intervals, share, by)
+    wide = hits.groupBy(*locus, *by).agg(*[found_at(i).alias(n) for i, n in enumerate(probes)])
+    found = wide.groupBy(*locus).agg(*[a.alias(n) for n, a in answers.items()])
+    return sites.join(found, locus, "left")
 
 
-def _grid_ends(intervals: DataFrame, share: list[str], step: int, side: str) -> DataFrame:
-    """Outermost grid point of each interval per residue class of the step.
+def _ends(intervals: DataFrame, share: list[str], step: int, side: str) -> DataFrame:
+    """Rows (share, side, edge, reach): ends facing a site on their ``left`` or ``right``.
 
-    side ``left``: the last point of the class up to ``end``; ``right``: the first from ``start``.
+    ``reach`` is how far the longest interval with that end goes back; beyond one step it
+    makes no difference.
     """
-    if step == 1:
-        edge = F.col("end") if side == "left" else F.col("start")
-        return intervals.select(*share, F.lit(0).cast("bigint").alias("residue"), edge.cast("bigint").alias("grid"))
     start, end = F.col("start").cast("bigint"), F.col("end").cast("bigint")
     if side == "left":
-        low, high = F.greatest(start, end - (step - 1)), end
+        # seen from a site to the right of the interval
+        edge, reach = end, F.min(F.greatest(start, end - (step - 1)))
     else:
-        low, high = start, F.least(end, start + (step - 1))
-    return (
-        intervals.select(*share, F.explode(F.sequence(low, high)).alias("_p"))
-        .select(*share, F.pmod("_p", F.lit(step)).cast("bigint").alias("residue"), F.floor(F.col("_p") / step).alias("grid"))
-    )
-
+        edge, reach = start, F.max(F.least(end, start + (step - 1)))
+    return intervals.groupBy(*share, edge.alias("edge")).agg(reach.alias("reach")).select(*share, F.lit(side).alias("side"), "edge", "reach")
 
-def _steps_to_end(asked: DataFrame, ends: DataFrame, share: list[str], step: int, limit: int, side: str, out: str) -> DataFrame:
-    """Steps from position to the nearest grid end on one side, below ``limit``; null if there is none."""
-    cells = _cells(ends, share, limit)
-    sign = -1 if side == "left" else 1
-    here = F.floor(F.col("position") / step)
-    cell = F.floor(F.col("_here") / limit)
-    probes = (
-        asked.withColumns({"residue": F.pmod("position", F.lit(step)).cast("bigint"), "_here": here})
-        .withColumn("_cell", F.explode(F.array(cell, cell + sign)))
-    )
-    if side == "left":
-        nearest = F.array_max(F.filter("_grid", lambda g: g <= F.col("_here")))
-    else:
-        nearest = F.array_min(F.filter("_grid", lambda g: g >= F.col("_here")))
-    away = F.abs(F.col("_here") - nearest)
-    return (
-        probes.join(cells, share + ["residue", "_cell"])
-        .withColumn("_away", away)
-        .filter(F.col("_away") < limit)
-        .groupBy(*share, "position")
-        .agg(F.min("_away").alias(out))
-    )
 
-
-def stepped_distance(sites: DataFrame, intervals: DataFrame, share: list[str], hit: Column, step: int, limit: int, out: str, numeric: bool = False) -> DataFrame:
+def stepped_distance(
+    sites: DataFrame, intervals: DataFrame, share: list[str], hit: Column, covered_end: Column, step: int, limit: int, out: str, numeric: bool = False,
+) -> DataFrame:
     """Distance walked from both ends of a site, ``step`` letters at a time, until a hit.
 
     ``hit`` is true for sites that already lie on the track: they get 0. Otherwise the
     smallest k below ``limit`` for which start - k*step or end + k*step is covered gives
-    step*(k+1), and -1 stands for none. With ``numeric`` tracks a value of 0 does not
-    count to the left (step 1 only); to the right any covered letter does.
+    step*(k+1), and -1 stands for none. ``covered_end`` is true for other sites that are
+    covered all the same (by a value that does not count as a hit): they stop at k = 0.
+    With ``numeric`` tracks (step 1 only) a value of 0 stops the walk to the right, but not
+    to the left.
     """
     if numeric and step != 1:
         raise ValueError("numeric tracks are walked one letter at a time")
-    covered = intervals.filter(F.col("end") >= F.col("start"))
+    track = intervals.filter(F.col("end") >= F.col("start"))
     locus = share + ["start", "end"]
-    places = sites.select(*locus).distinct()
-    lefts = places.select(*share, F.col("start").cast("bigint").alias("position")).distinct()
-    rights = places.select(*share, F.col("end").cast("bigint").alias("position")).distinct()
-
     if numeric:
         # right ends of the non-zero stretches: ends of non-zero intervals and the letter
         # before a zero interval, kept if the value that was loaded last is not zero there
-        edges = covered.filter("value != 0").select(*share, F.col("end").cast("bigint").alias("position")).unionByName(
-            covered.filter("value = 0").select(*share, (F.col("start").cast("bigint") - 1).alias("position")))
-        solid = lookup(edges, covered, share, []).filter("value != 0")
-        left_ends = solid.select(*share, F.lit(0).cast("bigint").alias("residue"), F.col("position").alias("grid"))
+        edges = track.select(*share, F.when(F.col("value") != 0, F.col("end")).otherwise(F.col("start") - 1).cast("bigint").alias("position"))
+        solid = lookup(edges, track, share, []).filter("value != 0")
+        left_ends = solid.select(*share, F.lit("left").alias("side"), F.col("position").alias("edge"), F.col("position").alias("reach"))
     else:
-        left_ends = _grid_ends(covered, share, step, "left")
-    right_ends = _grid_ends(covered, share, step, "right")
+        left_ends = _ends(track, share, step, "left")
+    stretch = step * limit
+    stretches = (
+        left_ends.unionByName(_ends(track, share, step, "right"))
+        .groupBy(*share, "side", F.floor(F.col("edge") / stretch).alias("stretch"))
+        .agg(F.collect_list(F.struct("edge", "reach")).alias("ends"))
+    )
 
-    # k = 0 is a plain lookup at both ends
-    on_left = lookup(lefts, covered, share, [])
-    on_left = (on_left.filter("value != 0") if numeric else on_left).select(*share, "position", F.lit(0).cast("bigint").alias("_k"))
-    on_right = lookup(rights, covered, share, []).select(*share, "position", F.lit(0).cast("bigint").alias("_k"))
-    far_left = _steps_to_end(lefts, left_ends, share, step, limit, "left", "_k")
-    far_right = _steps_to_end(rights, right_ends, share, step, limit, "right", "_k")
+    def ask(position: str, side: str, away: int) -> Column:
+        at = F.col(position).cast("bigint")
+        return F.struct(F.lit(side).alias("side"), at.alias("at"), (F.floor(at / stretch) + away).alias("stretch"))
+
+    asks = F.array(ask("start", "left", 0), ask("start", "left", -1), ask("end", "right", 0), ask("end", "right", 1))
+    probes = (
+        sites.filter(~hit & ~covered_end).select(*locus).distinct()
+        .select(*locus, F.explode(asks).alias("_a")).select(*locus, "_a.*")
+    )
 
-    def side(parts: list[DataFrame], position: str, name: str) -> DataFrame:
-        every = reduce(DataFrame.unionByName, parts).groupBy(*share, "position").agg(F.min("_k").alias(name))
-        return every.withColumnRenamed("position", position)
+    def steps(to: Column) -> Column:
+        # signed distance outwards from the site, so both sides are treated alike
+        out_edge = F.when(F.col("side") == "left", F.col("at") - to["edge"]).otherwise(to["edge"] - F.col("at"))
+        out_reach = F.when(F.col("side") == "left", F.col("at") - to["reach"]).otherwise(to["reach"] - F.col("at"))
+        k = F.floor((out_edge + (step - 1)) / step)
+        return F.when((out_edge >= 0) & (k < limit) & (k * step <= out_reach), k)
 
-    k = F.least(F.col("_kl"), F.col("_kr"))
     walked = (
-        places.join(side([on_left, far_left], "start", "_kl"), share + ["start"], "left")
-        .join(side([on_right, far_right], "end", "_kr"), share + ["end"], "left")
-        .select(*locus, F.coalesce((k + 1) * step, F.lit(-1)).cast("bigint").alias("_walked"))
+        probes.join(stretches, share + ["side", "stretch"])
+        .select(*locus, F.array_min(F.transform("ends", steps)).alias("_k"))
+        .groupBy(*locus).agg(F.min("_k").alias("_k"))
     )
-    return sites.join(walked, locus, "left").withColumn(out, F.when(hit, F.lit(0).cast("bigint")).otherwise(F.col("_walked"))).drop("_walked")
+    distance = F.when(hit, F.lit(0)).when(covered_end, F.lit(step)).otherwise(F.coalesce((F.col("_k") + 1) * step, F.lit(-1)))
+    return sites.join(walked, locus, "left").withColumn(out, distance.cast("bigint")).drop("_k")

@@ -28,27 +28,41 @@ def _first_present(start: Column, end: Column, numeric: bool) -> Column:
     return F.coalesce(start, end)
 
 
-def endpoint_value(sites: DataFrame, track: DataFrame, out: str, default, numeric: bool = False) -> DataFrame:
-    """Track value at the start of the site, else at its end, else ``default``."""
-    got = annotate(
+def _at_ends(sites: DataFrame, track: DataFrame) -> DataFrame:
+    """Sites with the track values at their two ends, ``_at_start`` and ``_at_end``."""
+    return annotate(
         sites, track, _PLACE, ["chrom"], [],
         {"at_start": F.col("start"), "at_end": F.col("end")},
         {"_at_start": F.max("at_start"), "_at_end": F.max("at_end")},
     )
-    value = F.coalesce(_first_present(F.col("_at_start"), F.col("_at_end"), numeric), F.lit(default).cast(track.schema["value"].dataType))
-    return got.withColumn(out, value).drop("_at_start", "_at_end")
+
+
+def _value(track: DataFrame, default, numeric: bool) -> Column:
+    found = _first_present(F.col("_at_start"), F.col("_at_end"), numeric)
+    return F.coalesce(found, F.lit(default).cast(track.schema["value"].dataType))
+
+
+def endpoint_value(sites: DataFrame, track: DataFrame, out: str, default, numeric: bool = False) -> DataFrame:
+    """Track value at the start of the site, else at its end, else ``default``."""
+    return _at_ends(sites, track).withColumn(out, _value(track, default, numeric)).drop("_at_start", "_at_end")
 
 
 def dnase_signal(sites: DataFrame, track: DataFrame) -> DataFrame:
     """DHS_signalValue (text) and distance_from_DHS in steps of 50, at most 100 of them."""
-    valued = endpoint_value(sites, track, "DHS_signalValue", "0")
-    return stepped_distance(valued, track, ["chrom"], F.col("DHS_signalValue") != "0", 50, 100, "distance_from_DHS")
+    valued = _at_ends(sites, track).withColumn("DHS_signalValue", _value(track, "0", numeric=False))
+    # a peak whose signal is literally "0" reads as a miss and is then met at the first step
+    covered = F.col("_at_start").isNotNull() | F.col("_at_end").isNotNull()
+    got = stepped_distance(valued, track, ["chrom"], F.col("DHS_signalValue") != "0", covered, 50, 100, "distance_from_DHS")
+    return got.drop("_at_start", "_at_end")
 
 
 def nucleosome_signal(sites: DataFrame, track: DataFrame) -> DataFrame:
     """nucleosome_mapping (number) and length_from_nucleosome in single steps, at most 1,000."""
-    valued = endpoint_value(sites, track, "nucleosome_mapping", 0.0, numeric=True)
-    return stepped_distance(valued, track, ["chrom"], F.col("nucleosome_mapping") != 0, 1, 1000, "length_from_nucleosome", numeric=True)
+    valued = _at_ends(sites, track).withColumn("nucleosome_mapping", _value(track, 0.0, numeric=True))
+    got = stepped_distance(
+        valued, track, ["chrom"], F.col("nucleosome_mapping") != 0, F.col("_at_end").isNotNull(), 1, 1000, "length_from_nucleosome", numeric=True,
+    )
+    return got.drop("_at_start", "_at_end")
 
 
 def subcompartment_code(label: Column) -> Column:
@@ -281,7 +295,9 @@ def genome_features(
         },
         {
             "DHS_signalValue": of("dnase", F.coalesce("at_start", "at_end")),
+            "_dhs_covered": of("dnase", F.when(F.col("at_start").isNotNull() | F.col("at_end").isNotNull(), 1)),
             "nucleosome_mapping": present("nucleosome"),
+            "_nucleosome_end": of("nucleosome", F.when(F.col("at_end").isNotNull(), 1)),
             "genomic_subcompartment": present("subcompartment"),
             "NGG_exon_signalValue": beside("expression", True, expression_replicates),
             "opposite_exon_signalValue": beside("expression", False, expression_replicates),
@@ -294,7 +310,9 @@ def genome_features(
     got = got.fillna("0", ["DHS_signalValue"]).fillna(0, [c for c in GENOME_FEATURES if c in got.columns and c != "DHS_signalValue"])
     if cell_line in NO_EXPRESSION:
         got = got.withColumns({c: F.lit(None).cast("double") for c in ("NGG_exon_signalValue", "opposite_exon_signalValue")})
-    got = stepped_distance(got, dnase, ["chrom"], F.col("DHS_signalValue") != "0", 50, 100, "distance_from_DHS")
-    got = stepped_distance(got, nucleosomes, ["chrom"], F.col("nucleosome_mapping") != 0, 1, 1000, "length_from_nucleosome", numeric=True)
+    got = stepped_distance(got, dnase, ["chrom"], F.col("DHS_signalValue") != "0", F.col("_dhs_covered").isNotNull(), 50, 100, "distance_from_DHS")
+    got = stepped_distance(
+        got, nucleosomes, ["chrom"], F.col("nucleosome_mapping") != 0, F.col("_nucleosome_end").isNotNull(), 1, 1000, "length_from_nucleosome", numeric=True,
+    )
     got = telomere_distance(centromere_distance(got, gaps), gaps, sizes)
     return got.select(*sites.columns, *GENOME_FEATURES)

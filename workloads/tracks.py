@@ -319,8 +319,10 @@ def splice_genes(spark, d) -> DataFrame:
 
 
 @query("splice_fold", f"""
-with e as (select *, lag(accession) over (order by line) as before from {EVENTS.sql} where region = 'CDS' and not location like '<<<%' and not location like '%>>>'),
-r as (select *, sum(case when before is distinct from accession then 1 else 0 end) over (order by line) as run from e),
+with e as (select *, lag(accession) over (order by line) as before, lag(location) over (order by line) = location and lag(event_type) over (order by line) = event_type and lag(accession) over (order by line) = accession as repeated
+ from {EVENTS.sql} where region = 'CDS' and not location like '<<<%' and not location like '%>>>'),
+a as (select *, sum(case when before is distinct from accession then 1 else 0 end) over (order by line) as run from e),
+r as (select * from a where repeated is distinct from true),
 l as (select *, least(cast(regexp_extract(location, '^([0-9]+)', 1) as bigint), cast(regexp_extract(location, '([0-9]+)$', 1) as bigint)) as low, greatest(cast(regexp_extract(location, '^([0-9]+)', 1) as bigint), cast(regexp_extract(location, '([0-9]+)$', 1) as bigint)) as high from r),
 g as materialized (select * from {GENE_EXONS_SQL}), n as (select distinct accession, n from g),
 u as (select l.*, n.n from l join n using (accession)),
