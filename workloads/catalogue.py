@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from workloads import sequence, tracks  # noqa: F401
+from workloads import results, sequence, tracks  # noqa: F401
 from workloads.base import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
