@@ -15,8 +15,6 @@ from pyspark.sql import Column, functions as F
 from protoscan.fixed import GAP, MATCH, MISMATCH, PAM_LEN
 from protoscan.functions.seq import ColumnOrName, _col
 
-MISMATCHES = "WYRVX"
-
 # Letters per guide/site combination, rows and columns in the order "other, A, C, G, T".
 _LETTERS = "ACGT"
 _CLASSES = (
@@ -50,12 +48,17 @@ def protospacer(ops: ColumnOrName) -> Column:
 
 
 def count_in(ops: ColumnOrName, letters: str) -> Column:
+    """Columns with any of the letters; few letters are taken out one by one, which is the fast way."""
     ops = _col(ops)
-    return (F.length(ops) - F.length(F.translate(ops, letters, ""))).cast("bigint")
+    rest = ops
+    for letter in letters:
+        rest = F.replace(rest, F.lit(letter))
+    return (F.length(ops) - F.length(rest)).cast("bigint")
 
 
 def mismatch_count(ops: ColumnOrName) -> Column:
-    return count_in(ops, MISMATCHES)
+    ops = _col(ops)
+    return F.length(F.replace(F.replace(F.replace(ops, F.lit("M")), F.lit("D")), F.lit("I"))).cast("bigint")
 
 
 def match_count(ops: ColumnOrName) -> Column:

@@ -43,7 +43,7 @@ def resolve_ambiguous(s: ColumnOrName) -> Column:
     An IUPAC letter becomes the first nucleotide it stands for, all else ``A``.
     """
     known = F.translate(_col(s), "RYSWKMBDHVN", "ACCAGACAAAA")
-    return F.regexp_replace(known, "[^ACGT]", "A")
+    return F.when(_col(s).rlike("[^ACGT]"), F.regexp_replace(known, "[^ACGT]", "A")).otherwise(_col(s))
 
 
 def codes(s: ColumnOrName) -> Column:
@@ -61,7 +61,7 @@ def occurrences(s: ColumnOrName, word: str) -> Column:
 
 def gc_content(s: ColumnOrName) -> Column:
     up = F.upper(_col(s))
-    return (F.length(up) - F.length(F.translate(up, "CG", ""))) / F.length(up)
+    return (F.length(up) - F.length(F.replace(F.replace(up, F.lit("C")), F.lit("G")))) / F.length(up)
 
 
 def enthalpy_tenths(s: ColumnOrName) -> Column:

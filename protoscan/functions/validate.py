@@ -43,8 +43,7 @@ def guide_warning(guide: ColumnOrName) -> Column:
 
 def context_is_valid(context: ColumnOrName) -> Column:
     """Exactly 29 or 223 letters, all of them A, C, G or T."""
-    c = F.upper(_col(context))
-    return F.length(c).isin(SHORT_CONTEXT, LONG_CONTEXT) & ~c.rlike("[^ACGT]")
+    return _col(context).rlike(f"^([ACGTacgt]{{{SHORT_CONTEXT}}}|[ACGTacgt]{{{LONG_CONTEXT}}})$")
 
 
 def context_flank(context: ColumnOrName) -> Column:
@@ -95,21 +94,17 @@ def is_assembled_chromosome(chrom: ColumnOrName) -> Column:
 
 def check_pairs(df: DataFrame, guide: str = "guide", context: str = "context") -> DataFrame:
     """Add sgrna, context, flank, site, mode, warnings and reject_reason to pairs with a context."""
-    has_context = F.col(context).isNotNull()
-    up = F.upper(F.col(context))
-    checked = (
-        df.withColumn("sgrna", normalise_guide(guide))
-        .withColumn("warnings", F.array_compact(F.array(guide_warning(guide))))
-        .withColumn(context, up)
-        .withColumn("flank", context_flank(context))
-    )
+    # one pattern per input column: the reason is what rows are filtered by, next to the scan
     reason = (
-        F.when(~has_context, "no genomic sequence")
+        F.when(F.col(context).isNull(), "no genomic sequence")
         .when(~context_is_valid(context), "DNA sequence must be 29 or 223 letters of ACGT")
-        .when(~F.coalesce(guide_is_valid("sgrna"), F.lit(False)), "guide must be 20 letters of ACGTU")
+        .when(~F.coalesce(guide_is_valid(normalise_guide(guide)), F.lit(False)), "guide must be 20 letters of ACGTU")
     )
     return (
-        checked.withColumn("reject_reason", reason)
+        df.withColumns({
+            "reject_reason": reason, "sgrna": normalise_guide(guide), "warnings": F.array_compact(F.array(guide_warning(guide))),
+            "flank": context_flank(context), context: F.upper(F.col(context)),
+        })
         .withColumn("site", site_of(context, "flank"))
         .withColumn("mode", model_mode(F.lit(True), F.lit(None).cast("string"), "flank"))
     )

@@ -13,28 +13,29 @@ AFTER_PAM = 5
 
 
 def pam_codes(site: ColumnOrName, aln_dna: ColumnOrName) -> list[Column]:
-    s = _col(site)
+    coded = codes(site)
     return [
-        codes(F.right(s, F.lit(2))).alias("PAM_2_first"),
-        codes(F.substring(s, -3, 1)).alias("PAM_N_id"),
+        F.right(coded, F.lit(2)).alias("PAM_2_first"),
+        F.substring(coded, -3, 1).alias("PAM_N_id"),
         codes(F.left(without_gaps(aln_dna), F.lit(1))).alias("last_nucleotide"),
     ]
 
 
 def proximal_couples(site: ColumnOrName) -> list[Column]:
-    return [codes(F.substring(_col(site), -8 + i, 2)).alias(f"PamProximalCouple{i + 1}") for i in range(4)]
+    return [F.substring(codes(site), -8 + i, 2).alias(f"PamProximalCouple{i + 1}") for i in range(4)]
 
 
 def position_ids(site: ColumnOrName) -> list[Column]:
-    return [codes(F.substring(_col(site), -8 + i, 1)).alias(f"id_pos{5 - i}") for i in range(5)]
+    return [F.substring(codes(site), -8 + i, 1).alias(f"id_pos{5 - i}") for i in range(5)]
 
 
 def after_pam_codes(context: ColumnOrName, flank: ColumnOrName) -> list[Column]:
     """Codes of the five letters after a 23-nt site; a short context has three and two zeros."""
-    c, f = _col(context), _col(flank)
+    f = _col(flank)
+    coded = codes(F.substr(_col(context), f + SITE_LEN + 1, F.lit(AFTER_PAM)))
     out = []
     for i in range(AFTER_PAM):
-        code = codes(F.substr(c, f + SITE_LEN + 1 + i, F.lit(1)))
+        code = F.substring(coded, i + 1, 1)
         out.append((code if i < SHORT_FLANK else F.when(f > SHORT_FLANK, code).otherwise("0")).alias(f"nuc_id_afterPAM{i + 1}"))
     return out
 

@@ -23,9 +23,9 @@ def chunk_contigs(contigs: DataFrame, contig: str = "contig", seq: str = "seq",
         raise ValueError("the halo must fit in the next chunk")
     pieces = F.regexp_extract_all(F.upper(F.col(seq)), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
     with_halo = F.transform("_pieces", lambda p, i: F.concat(p, F.coalesce(F.left(F.get("_pieces", i + 1), F.lit(halo)), F.lit(""))))
+    # an empty sequence has no pieces, so it needs no filter of its own
     return (
-        contigs.filter(F.length(seq) > 0)
-        .select(F.col(contig).alias("contig"), F.length(seq).cast("bigint").alias("contig_length"), pieces.alias("_pieces"))
+        contigs.select(F.col(contig).alias("contig"), F.length(seq).cast("bigint").alias("contig_length"), pieces.alias("_pieces"))
         .select("contig", "contig_length", F.posexplode(with_halo).alias("chunk", "seq"))
         .select(
             "contig", "contig_length", F.col("chunk").cast("bigint").alias("chunk"),

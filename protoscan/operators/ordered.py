@@ -1,8 +1,8 @@
 """Row order over a whole table, without sending the table through one task.
 
 A window without a partition key pulls every row into one task. Here the rows are range
-partitioned by a total order and written to the checkpoint folder once, which fixes the
-partitions. Each partition then works on its own, and one summary row per partition
+partitioned by a total order and written to the checkpoint folder once, each with the
+number of its partition and its place there. Each partition then works on its own, and one summary row per partition
 carries what it needs from the partitions before it.
 """
 
@@ -17,9 +17,11 @@ _LOCAL_BITS = 33
 
 def in_order(df: DataFrame, order: list[Column]) -> DataFrame:
     """Rows range-partitioned and sorted by a total order, with ``_part`` and ``_row`` (both from 0)."""
-    fixed = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order))
     at = F.monotonically_increasing_id()
-    return fixed.withColumns({"_part": F.shiftright(at, _LOCAL_BITS), "_row": at.bitwiseAND(2**_LOCAL_BITS - 1)})
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({
+        "_part": F.shiftright(at, _LOCAL_BITS), "_row": at.bitwiseAND(2**_LOCAL_BITS - 1),
+    })
+    return materialise(placed)
 
 
 def _before(summary: DataFrame, total: str, out: str) -> DataFrame:

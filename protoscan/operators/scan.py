@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from protoscan.fixed import GUIDE_LEN, PAM_LEN, SHORT_FLANK, SITE_LEN
-from protoscan.functions.seq import reverse_complement
+from protoscan.functions.seq import orient_to_site, oriented
 from protoscan.operators.genome import HALO
 
 # Site patterns as read on the plus strand; the minus pattern is the mirror image.
@@ -13,44 +13,41 @@ AG_OR_GG = ("[ACGT]{20}.[AG]G", "C[CT].[ACGT]{20}")
 PURINE_PAIR = ("[ACGT]{20}.[AG][AG]", "[CT][CT].[ACGT]{20}")
 
 
-def _windows(chunks: DataFrame, pattern: str, flank: int, lead: int) -> DataFrame:
-    """Rows (contig, contig_length, window_start, window) where ``pattern`` fits with its flanks.
+def _windows(chunks: DataFrame, patterns: dict[str, str], flank: int) -> DataFrame:
+    """Rows (contig, strand, window_start, window) where a pattern fits with its flanks.
 
-    One regular-expression pass per chunk: the optional group in a look-ahead matches
-    at every position, empty where there is no hit, so the array index is the offset
-    and overlapping hits are all there.
+    ``patterns`` maps a strand to its pattern as read on the plus strand. One
+    regular-expression pass per chunk and strand: the optional group in a look-ahead
+    matches at every position, empty where there is no hit, so the array index is the
+    offset and overlapping hits are all there. The chunks are read once for both strands.
     """
-    around = f"(?=(.{{{lead}}}{pattern}.{{{flank}}})?)"
-    hits = F.regexp_extract_all("seq", F.lit(around), F.lit(1))
+    passes = [
+        F.struct(F.lit(strand).alias("strand"), F.regexp_extract_all("seq", F.lit(f"(?=(.{{{flank}}}{pattern}.{{{flank}}})?)"), F.lit(1)).alias("found"))
+        for strand, pattern in patterns.items()
+    ]
     return (
-        chunks.select("contig", "contig_length", "chunk_start", "core_length", F.posexplode(hits).alias("_at", "window"))
+        chunks.select("contig", "chunk_start", "core_length", F.explode(F.array(*passes)).alias("_pass"))
+        .select("contig", "chunk_start", "core_length", "_pass.strand", F.posexplode("_pass.found").alias("_at", "window"))
         .filter((F.col("window") != "") & (F.col("_at") < F.col("core_length")))
-        .select("contig", "contig_length", (F.col("chunk_start") + F.col("_at") + 1).alias("window_start"), "window")
+        .select("contig", "strand", (F.col("chunk_start") + F.col("_at") + 1).alias("window_start"), "window")
     )
 
 
 def scan_sites(chunks: DataFrame, flank: int = SHORT_FLANK, patterns: tuple[str, str] = AG_OR_GG, halo: int = HALO, strands: str = "+-") -> DataFrame:
     """Sites with ``flank`` letters on both sides: contig, strand, start, end, site, context.
 
-    Coordinates are 1-based on the plus strand; the context is read on the strand of the site.
+    Coordinates are 1-based on the plus strand; the context is turned so that the site can
+    be read in it.
     """
     if SITE_LEN + 2 * flank - 1 > halo:
         raise ValueError("the halo is too short for this flank")
-    found = []
-    for strand, pattern in zip("+-", patterns):
-        if strand not in strands:
-            continue
-        inner = F.substring("window", flank + 1, SITE_LEN)
-        site = inner if strand == "+" else reverse_complement(inner)
-        start = F.col("window_start") + flank
-        found.append(_windows(chunks, pattern, flank, flank).select(
-            "contig", F.lit(strand).alias("strand"), start.alias("start"), (start + SITE_LEN - 1).alias("end"),
-            site.alias("site"), F.col("window").alias("context"),
-        ))
-    both = found[0]
-    for more in found[1:]:
-        both = both.unionByName(more)
-    return both.withColumn("context", F.when(F.contains("context", F.col("site")), F.col("context")).otherwise(reverse_complement("context")))
+    windows = _windows(chunks, {s: p for s, p in zip("+-", patterns) if s in strands}, flank)
+    start = F.col("window_start") + flank
+    sites = windows.select(
+        "contig", "strand", start.alias("start"), (start + SITE_LEN - 1).alias("end"),
+        oriented(F.substring("window", flank + 1, SITE_LEN), "strand").alias("site"), "window",
+    )
+    return sites.withColumn("context", orient_to_site("window", "site")).drop("window")
 
 
 def as_ontarget_pairs(sites: DataFrame, flank: int = SHORT_FLANK) -> DataFrame:
@@ -71,12 +68,7 @@ def pam_windows(chunks: DataFrame, upstream: int, patterns: tuple[str, str] = PU
     (``upstream`` + 3 letters). Used by the genome search, where the guide may take up
     more or fewer than 20 letters.
     """
-    forward, backward = patterns
     body = f"[ACGT]{{{upstream}}}"
-    plus = _windows(chunks, forward.replace("[ACGT]{20}", body), 0, 0).select(
-        "contig", F.lit("+").alias("strand"), (F.col("window_start") + upstream + PAM_LEN - 1).alias("pam_edge"), "window"
-    )
-    minus = _windows(chunks, backward.replace("[ACGT]{20}", body), 0, 0).select(
-        "contig", F.lit("-").alias("strand"), F.col("window_start").alias("pam_edge"), reverse_complement("window").alias("window")
-    )
-    return plus.unionByName(minus)
+    windows = _windows(chunks, {s: p.replace("[ACGT]{20}", body) for s, p in zip("+-", patterns)}, 0)
+    edge = F.when(F.col("strand") == "+", F.col("window_start") + upstream + PAM_LEN - 1).otherwise(F.col("window_start"))
+    return windows.select("contig", "strand", edge.alias("pam_edge"), oriented("window", "strand").alias("window"))

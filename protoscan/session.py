@@ -4,35 +4,53 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint_ready(spark: SparkSession) -> None:
-    """Make sure ``DataFrame.checkpoint`` has a folder to write to.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``; that one is used.
-    Only where neither the setting nor a programmatic folder exists (local tests)
-    is a temporary folder made, and only with a local master, since a
-    machine-local folder does not survive the loss of an executor.
+    A cluster names a shared folder in ``spark.checkpoint.dir``; that one is used. Only where
+    neither the setting nor a programmatic folder exists (local tests) is a temporary folder
+    made, and only with a local master, since a machine-local folder does not survive the
+    loss of an executor.
     """
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not shared and sc.getCheckpointDir():
+        shared = sc.getCheckpointDir()
     if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="protoscan-checkpoint-"))
-    else:
+        return shared
+    if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    own = tempfile.mkdtemp(prefix="protoscan-checkpoint-")
+    sc.setCheckpointDir(own)
+    return own
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small input over all cores; large inputs stay as they are.
+
+    A file with a single row group is read by one task, however dear the work on its rows.
+    Only where there are fewer input tasks than cores are the rows dealt out, so a large
+    table, which has more tasks than cores, is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from the written rows."""
-    checkpoint_ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the checkpoint folder as a table and go on from what was written.
+
+    Cuts the lineage like a checkpoint, and later steps read only the columns they need.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark).rstrip('/')}/protoscan-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ship_package(spark: SparkSession) -> None:
