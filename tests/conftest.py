@@ -16,7 +16,9 @@ def spark():
     session = (
         SparkSession.builder.master("local[4]").appName("tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "6g")
+        .config("spark.sql.session.timeZone", "UTC")
+        # small results would be merged into one partition, and nothing would cross a border
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false").config("spark.driver.memory", "6g")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
