@@ -102,14 +102,13 @@ def lookup(points: DataFrame, intervals: DataFrame, share: list[str], by: list[s
     return hits.groupBy(*share, *by, "position").agg(F.max_by("value", "load_seq").alias("value"))
 
 
-def annotate(sites: DataFrame, intervals: DataFrame, locus: list[str], share: list[str], by: list[str], probes: dict[str, Column], answers: dict[str, Column]) -> DataFrame:
-    """Look several positions of each site up in several tracks at once and aggregate.
+def annotations(places: DataFrame, intervals: DataFrame, locus: list[str], share: list[str], by: list[str], probes: dict[str, Column], answers: dict[str, Column]) -> DataFrame:
+    """Look several positions of each locus up in several tracks at once and aggregate.
 
-    ``probes`` names the positions; each becomes a column with the value found there, one
-    row per site and ``by`` key. ``answers`` are aggregates over those rows per site. Sites
-    are reduced to their distinct loci first and the answers are joined back to the rows.
+    ``places`` are distinct loci. ``probes`` names the positions; each becomes a column with
+    the value found there, one row per locus and ``by`` key. ``answers`` are aggregates over
+    those rows. Loci without any hit are left out.
     """
-    places = sites.select(*locus).distinct()
     asked = F.array(*[F.struct(F.lit(i).alias("probe"), p.cast("bigint").alias("position")) for i, p in enumerate(probes.values())])
     asks = places.select(*locus, F.explode(asked).alias("_ask")).select(*locus, "_ask.probe", "_ask.position")
 
@@ -119,8 +118,12 @@ def annotate(sites: DataFrame, intervals: DataFrame, locus: list[str], share: li
 
     hits = _hits(asks, intervals, share, by)
     wide = hits.groupBy(*locus, *by).agg(*[found_at(i).alias(n) for i, n in enumerate(probes)])
-    found = wide.groupBy(*locus).agg(*[a.alias(n) for n, a in answers.items()])
-    return sites.join(found, locus, "left")
+    return wide.groupBy(*locus).agg(*[a.alias(n) for n, a in answers.items()])
+
+
+def annotate(sites: DataFrame, intervals: DataFrame, locus: list[str], share: list[str], by: list[str], probes: dict[str, Column], answers: dict[str, Column]) -> DataFrame:
+    """Sites with the ``annotations`` of their loci; each distinct locus is looked up once."""
+    return sites.join(annotations(sites.select(*locus).distinct(), intervals, locus, share, by, probes, answers), locus, "left")
 
 
 def _ends(intervals: DataFrame, share: list[str], step: int, side: str) -> DataFrame:
@@ -138,17 +141,12 @@ def _ends(intervals: DataFrame, share: list[str], step: int, side: str) -> DataF
     return intervals.groupBy(*share, edge.alias("edge")).agg(reach.alias("reach")).select(*share, F.lit(side).alias("side"), "edge", "reach")
 
 
-def stepped_distance(
-    sites: DataFrame, intervals: DataFrame, share: list[str], hit: Column, covered_end: Column, step: int, limit: int, out: str, numeric: bool = False,
-) -> DataFrame:
-    """Distance walked from both ends of a site, ``step`` letters at a time, until a hit.
+def walks(places: DataFrame, intervals: DataFrame, share: list[str], step: int, limit: int, out: str, numeric: bool = False) -> DataFrame:
+    """Steps outwards from both ends of distinct loci until a track is met: (share, start, end, out).
 
-    ``hit`` is true for sites that already lie on the track: they get 0. Otherwise the
-    smallest k below ``limit`` for which start - k*step or end + k*step is covered gives
-    step*(k+1), and -1 stands for none. ``covered_end`` is true for other sites that are
-    covered all the same (by a value that does not count as a hit): they stop at k = 0.
-    With ``numeric`` tracks (step 1 only) a value of 0 stops the walk to the right, but not
-    to the left.
+    The smallest k below ``limit`` for which start - k*step or end + k*step is covered, for
+    loci whose own ends are not; loci without one are left out. With ``numeric`` tracks
+    (step 1 only) a value of 0 stops the walk to the right, but not to the left.
     """
     if numeric and step != 1:
         raise ValueError("numeric tracks are walked one letter at a time")
@@ -174,10 +172,7 @@ def stepped_distance(
         return F.struct(F.lit(side).alias("side"), at.alias("at"), (F.floor(at / stretch) + away).alias("stretch"))
 
     asks = F.array(ask("start", "left", 0), ask("start", "left", -1), ask("end", "right", 0), ask("end", "right", 1))
-    probes = (
-        sites.filter(~hit & ~covered_end).select(*locus).distinct()
-        .select(*locus, F.explode(asks).alias("_a")).select(*locus, "_a.*")
-    )
+    probes = places.select(*locus, F.explode(asks).alias("_a")).select(*locus, "_a.*")
 
     def steps(to: Column) -> Column:
         # signed distance outwards from the site, so both sides are treated alike
@@ -186,10 +181,17 @@ def stepped_distance(
         k = F.floor((out_edge + (step - 1)) / step)
         return F.when((out_edge >= 0) & (k < limit) & (k * step <= out_reach), k)
 
-    walked = (
+    return (
         probes.join(stretches, share + ["side", "stretch"])
         .select(*locus, F.array_min(F.transform("ends", steps)).alias("_k"))
-        .groupBy(*locus).agg(F.min("_k").alias("_k"))
+        .groupBy(*locus).agg(F.min("_k").alias(out))
     )
-    distance = F.when(hit, F.lit(0)).when(covered_end, F.lit(step)).otherwise(F.coalesce((F.col("_k") + 1) * step, F.lit(-1)))
-    return sites.join(walked, locus, "left").withColumn(out, distance.cast("bigint")).drop("_k")
+
+
+def walked_distance(k: Column, hit: Column, covered: Column, step: int) -> Column:
+    """Distance of a walk of ``k`` steps: 0 on the track, one step more than walked, -1 for none.
+
+    ``covered`` is true for sites whose ends are covered by a value that does not count as a
+    hit: they stop at k = 0.
+    """
+    return F.when(hit, F.lit(0)).when(covered, F.lit(step)).otherwise(F.coalesce((k + 1) * step, F.lit(-1))).cast("bigint")

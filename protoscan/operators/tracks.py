@@ -15,10 +15,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from protoscan.fixed import GENOME_FEATURES, REPEAT_CLASS, REPEAT_FAMILY, SUBCOMPARTMENT
 from protoscan.functions.validate import _literal_map, is_assembled_chromosome
 from protoscan.operators.bounded import broadcast_if_small
-from protoscan.operators.intervals import annotate, lookup, stepped_distance
+from protoscan.operators.intervals import annotate, annotations, lookup, walked_distance, walks
+from protoscan.session import materialise
 
 _PLACE = ["chrom", "start", "end"]
 _STRANDED = ["chrom", "strand", "start", "end"]
+# --- fixed values: walking steps and the cell line without expression data ------------
+DNASE_STEP = 50
+DNASE_STEPS = 100
+NUCLEOSOME_STEPS = 1000
 NO_EXPRESSION = ["mESCs"]
 
 
@@ -47,22 +52,33 @@ def endpoint_value(sites: DataFrame, track: DataFrame, out: str, default, numeri
     return _at_ends(sites, track).withColumn(out, _value(track, default, numeric)).drop("_at_start", "_at_end")
 
 
+def _located(sites: DataFrame, track: DataFrame) -> DataFrame:
+    """Distinct places with the values at their ends, written once: only the misses have to walk."""
+    places = sites.select(*_PLACE).distinct()
+    return materialise(_at_ends(places, track))
+
+
+def _walked(sites: DataFrame, located: DataFrame, track: DataFrame, hit: Column, covered: Column, step: int, limit: int, columns: list[str], numeric: bool = False) -> DataFrame:
+    """Sites with a value and a distance column (``columns``) of their places."""
+    steps = walks(located.filter(~hit & ~covered), track, ["chrom"], step, limit, "_k", numeric)
+    measured = located.join(steps, _PLACE, "left").withColumn(columns[1], walked_distance(F.col("_k"), hit, covered, step))
+    return sites.join(measured.select(*_PLACE, *columns), _PLACE, "left")
+
+
 def dnase_signal(sites: DataFrame, track: DataFrame) -> DataFrame:
     """DHS_signalValue (text) and distance_from_DHS in steps of 50, at most 100 of them."""
-    valued = _at_ends(sites, track).withColumn("DHS_signalValue", _value(track, "0", numeric=False))
+    located = _located(sites, track).withColumn("DHS_signalValue", _value(track, "0", numeric=False))
     # a peak whose signal is literally "0" reads as a miss and is then met at the first step
     covered = F.col("_at_start").isNotNull() | F.col("_at_end").isNotNull()
-    got = stepped_distance(valued, track, ["chrom"], F.col("DHS_signalValue") != "0", covered, 50, 100, "distance_from_DHS")
-    return got.drop("_at_start", "_at_end")
+    columns = ["DHS_signalValue", "distance_from_DHS"]
+    return _walked(sites, located, track, F.col("DHS_signalValue") != "0", covered, DNASE_STEP, DNASE_STEPS, columns)
 
 
 def nucleosome_signal(sites: DataFrame, track: DataFrame) -> DataFrame:
     """nucleosome_mapping (number) and length_from_nucleosome in single steps, at most 1,000."""
-    valued = _at_ends(sites, track).withColumn("nucleosome_mapping", _value(track, 0.0, numeric=True))
-    got = stepped_distance(
-        valued, track, ["chrom"], F.col("nucleosome_mapping") != 0, F.col("_at_end").isNotNull(), 1, 1000, "length_from_nucleosome", numeric=True,
-    )
-    return got.drop("_at_start", "_at_end")
+    located = _located(sites, track).withColumn("nucleosome_mapping", _value(track, 0.0, numeric=True))
+    columns = ["nucleosome_mapping", "length_from_nucleosome"]
+    return _walked(sites, located, track, F.col("nucleosome_mapping") != 0, F.col("_at_end").isNotNull(), 1, NUCLEOSOME_STEPS, columns, numeric=True)
 
 
 def subcompartment_code(label: Column) -> Column:
@@ -258,37 +274,46 @@ def genome_features(
     """All 13 genome features of sites of one cell line, in model order.
 
     Every point lookup goes through one pass over the union of the tracks; only the two
-    stepped distances and the per-chromosome tables are separate.
+    stepped distances and the per-chromosome tables are separate. Signals are numbers here,
+    as the model takes them (the text "0" and the number 0 are the same miss).
     """
     parts = gene_intervals(genes)
+    names = ["dnase", "nucleosome", "subcompartment", "expression", "exon", "tx", "cds"]
 
-    def track(df: DataFrame, name: str, value: Column, strand: Column = F.lit("."), replicate: Column = F.lit(0)) -> DataFrame:
-        return df.select("chrom", "start", "end", F.col("load_seq").cast("bigint").alias("load_seq"), F.lit(name).alias("track"),
-                         strand.alias("track_strand"), replicate.cast("int").alias("replicate"), value.cast("string").alias("value"))
+    # track, strand and replicate in one number, and numbers for values: the large aggregates
+    # then hash on few fixed-width columns instead of sorting text
+    def layer(df: DataFrame, name: str, value: Column, minus: Column = F.lit(False), replicate: Column = F.lit(0)) -> DataFrame:
+        code = F.lit(names.index(name)) + 8 * minus.cast("int") + 16 * replicate.cast("int")
+        return df.select("chrom", "start", "end", F.col("load_seq").cast("bigint").alias("load_seq"), code.alias("layer"), value.cast("double").alias("value"))
 
+    reverse = F.col("track_strand") == "-"
     every = (
-        track(dnase, "dnase", F.col("value"))
-        .unionByName(track(nucleosomes, "nucleosome", F.col("value")))
-        .unionByName(track(subcompartments, "subcompartment", F.col("value")))
-        .unionByName(track(expression, "expression", F.col("value"), F.col("track_strand"), F.col("replicate")))
-        .unionByName(track(parts.filter("kind = 'exon'"), "exon", F.lit("1"), F.col("track_strand")))
-        .unionByName(track(parts.filter("kind = 'tx'"), "tx", F.lit("1"), F.col("track_strand")))
-        .unionByName(track(parts.filter("kind = 'cds'"), "cds", F.lit("1"), F.col("track_strand")))
+        layer(dnase, "dnase", F.col("value"))
+        .unionByName(layer(nucleosomes, "nucleosome", F.col("value")))
+        .unionByName(layer(subcompartments, "subcompartment", F.col("value")))
+        .unionByName(layer(expression, "expression", F.col("value"), reverse, F.col("replicate")))
+        .unionByName(layer(parts.filter("kind = 'exon'"), "exon", F.lit(1), reverse))
+        .unionByName(layer(parts.filter("kind = 'tx'"), "tx", F.lit(1)))
+        .unionByName(layer(parts.filter("kind = 'cds'"), "cds", F.lit(1)))
     )
 
     def of(name: str, value: Column) -> Column:
-        return F.max(F.when(F.col("track") == name, value))
+        return F.max(F.when(F.col("layer") % 8 == names.index(name), value))
 
     def present(name: str) -> Column:
-        return of(name, F.coalesce(F.nullif(F.col("at_start").cast("double"), F.lit(0.0)), F.nullif(F.col("at_end").cast("double"), F.lit(0.0))))
+        return of(name, _first_present(F.col("at_start"), F.col("at_end"), numeric=True))
 
     def beside(name: str, same: bool, n: int) -> Column:
-        side = F.col("track_strand") == F.col("strand")
-        value = F.greatest(F.col("before").cast("double"), F.col("after").cast("double"))
-        return F.coalesce(F.sum(F.when((F.col("track") == name) & (side if same else ~side), value)), F.lit(0.0)) / n
-
-    got = annotate(
-        sites, every, _STRANDED, ["chrom"], ["track", "track_strand", "replicate"],
+        on_minus = F.floor(F.col("layer") / 8) % 2 == 1
+        side = on_minus == (F.col("strand") == "-")
+        picked = (F.col("layer") % 8 == names.index(name)) & (side if same else ~side)
+        return F.coalesce(F.sum(F.when(picked, F.greatest("before", "after"))), F.lit(0.0)) / n
+
+    # the loci with their lookups are written once: both walks start from those that missed,
+    # and the rows themselves are joined once
+    loci = sites.select(*_STRANDED).distinct()
+    found = annotations(
+        loci, every, _STRANDED, ["chrom"], ["layer"],
         {
             "at_start": F.col("start"), "at_end": F.col("end"), "before": F.col("start") - 1, "after": F.col("end") + 1,
             "in_start": F.col("start") + 6, "in_end": F.col("end") - 6,
@@ -307,12 +332,20 @@ def genome_features(
             "in_cds": of("cds", F.coalesce("in_start", "in_end").cast("int")),
         },
     )
-    got = got.fillna("0", ["DHS_signalValue"]).fillna(0, [c for c in GENOME_FEATURES if c in got.columns and c != "DHS_signalValue"])
+    located = materialise(loci.join(found, _STRANDED, "left").fillna(0, [c for c in GENOME_FEATURES if c in found.columns]))
+    on_peak, near_peak = F.col("DHS_signalValue") != 0, F.col("_dhs_covered").isNotNull()
+    on_nucleosome, near_nucleosome = F.col("nucleosome_mapping") != 0, F.col("_nucleosome_end").isNotNull()
+    off_peak = located.filter(~on_peak & ~near_peak).select(*_PLACE).distinct()
+    off_nucleosome = located.filter(~on_nucleosome & ~near_nucleosome).select(*_PLACE).distinct()
+    got = (
+        located.join(walks(off_peak, dnase, ["chrom"], DNASE_STEP, DNASE_STEPS, "_dhs_steps"), _PLACE, "left")
+        .join(walks(off_nucleosome, nucleosomes, ["chrom"], 1, NUCLEOSOME_STEPS, "_nucleosome_steps", numeric=True), _PLACE, "left")
+        .withColumns({
+            "distance_from_DHS": walked_distance(F.col("_dhs_steps"), on_peak, near_peak, DNASE_STEP),
+            "length_from_nucleosome": walked_distance(F.col("_nucleosome_steps"), on_nucleosome, near_nucleosome, 1),
+        })
+    )
     if cell_line in NO_EXPRESSION:
         got = got.withColumns({c: F.lit(None).cast("double") for c in ("NGG_exon_signalValue", "opposite_exon_signalValue")})
-    got = stepped_distance(got, dnase, ["chrom"], F.col("DHS_signalValue") != "0", F.col("_dhs_covered").isNotNull(), 50, 100, "distance_from_DHS")
-    got = stepped_distance(
-        got, nucleosomes, ["chrom"], F.col("nucleosome_mapping") != 0, F.col("_nucleosome_end").isNotNull(), 1, 1000, "length_from_nucleosome", numeric=True,
-    )
-    got = telomere_distance(centromere_distance(got, gaps), gaps, sizes)
-    return got.select(*sites.columns, *GENOME_FEATURES)
+    got = telomere_distance(centromere_distance(got, gaps), gaps, sizes).select(*_STRANDED, *GENOME_FEATURES)
+    return sites.join(got, _STRANDED, "left").select(*sites.columns, *GENOME_FEATURES)

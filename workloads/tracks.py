@@ -229,7 +229,7 @@ def telomere_distance(spark, d):
 # --- all 13 columns ---------------------------------------------------------------------------------
 
 @query("genome_features", f"""
-select a.k, "Distance_from_centromere", "Distance_from_telomere", dn.v as "DHS_signalValue", dn.distance as "distance_from_DHS", nu.v as nucleosome_mapping, nu.distance as length_from_nucleosome,
+select a.k, "Distance_from_centromere", "Distance_from_telomere", dn.v::double as "DHS_signalValue", dn.distance as "distance_from_DHS", nu.v as nucleosome_mapping, nu.distance as length_from_nucleosome,
  sc.v as genomic_subcompartment, "NGG_exon_signalValue", "opposite_exon_signalValue", "in_NGG_exon", "in_opposite_exon", in_tx, in_cds
 from {CENTROMERE_SQL} a join {TELOMERE_SQL} b using (k)
 join {sql_stepped('text_value', 'p.v <> ' + chr(39) + '0' + chr(39), 50, 100, False, POINTS, TRACK)} dn using (k)
