@@ -11,20 +11,23 @@ from protoscan.operators.ordered import number_rows
 LOCUS = ["chrom", "strand", "start", "end"]
 
 
-def _best_first(df: DataFrame, score: str) -> list[Column]:
-    """A total order: score descending, then locus, then every other column."""
+def _best_first(df: DataFrame, score: str, ties: list[str] | None) -> list[Column]:
+    """A total order: score descending, then locus, then ``ties`` (by default every other column).
+
+    Naming the columns that settle a tie keeps the sort keys short on wide tables.
+    """
     place = [c for c in LOCUS if c in df.columns]
-    rest = [c for c in df.columns if c not in place + [score] and df.schema[c].dataType.typeName() != "map"]
+    rest = [c for c in df.columns if c not in place + [score]] if ties is None else ties
     return [F.col(score).isNull(), -F.col(score)] + [F.col(c) for c in place + rest]
 
 
-def keep_best(df: DataFrame, keys: list[str], score: str = SCORE) -> DataFrame:
+def keep_best(df: DataFrame, keys: list[str], score: str = SCORE, ties: list[str] | None = None) -> DataFrame:
     """The first row per key in best-first order, by an aggregate that combines before the shuffle.
 
     Keys that are null equal each other. Many copies of one key shrink to one row per
     task before they are sent anywhere.
     """
-    order = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(_best_first(df, score))])
+    order = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(_best_first(df, score, ties))])
     row = F.struct(*df.columns)
     return (
         df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
@@ -33,16 +36,16 @@ def keep_best(df: DataFrame, keys: list[str], score: str = SCORE) -> DataFrame:
     )
 
 
-def drop_duplicates(df: DataFrame, score: str = SCORE, within: list[str] | None = None) -> DataFrame:
+def drop_duplicates(df: DataFrame, score: str = SCORE, within: list[str] | None = None, ties: list[str] | None = None) -> DataFrame:
     """Best row per start, then best row per end; the order of the two matters."""
     extra = within or []
-    by_start = keep_best(df, extra + ["chrom", "strand", "start"], score)
-    return keep_best(by_start, extra + ["chrom", "strand", "end"], score)
+    by_start = keep_best(df, extra + ["chrom", "strand", "start"], score, ties)
+    return keep_best(by_start, extra + ["chrom", "strand", "end"], score, ties)
 
 
-def rank_by_score(df: DataFrame, score: str = SCORE, within: list[str] | None = None, out: str = "rank") -> DataFrame:
+def rank_by_score(df: DataFrame, score: str = SCORE, within: list[str] | None = None, out: str = "rank", ties: list[str] | None = None) -> DataFrame:
     """Rank 1, 2, ... by score, ties by locus; per ``within`` group if given."""
-    return number_rows(df, [c.asc() for c in _best_first(df, score)], out, within)
+    return number_rows(df, [c.asc() for c in _best_first(df, score, ties)], out, within)
 
 
 def decode_nucleotides(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -78,8 +81,8 @@ def read_display_names(table: DataFrame, max_rows: int = 10_000) -> dict[str, st
     return {r["feature"]: r["display_name"] for r in rows}
 
 
-def format_results(df: DataFrame, names: dict[str, str] | None = None, within: list[str] | None = None) -> DataFrame:
+def format_results(df: DataFrame, names: dict[str, str] | None = None, within: list[str] | None = None, ties: list[str] | None = None) -> DataFrame:
     """Ranked, decoded and renamed table for export."""
-    ranked = positions_to_integers(rank_by_score(df, within=within))
+    ranked = positions_to_integers(rank_by_score(df, within=within, ties=ties))
     decoded = decode_mismatch_classes(decode_nucleotides(ranked))
     return rename_for_display(decoded, names or {})

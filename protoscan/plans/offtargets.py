@@ -20,17 +20,17 @@ def offtarget_features(guides: DataFrame, chunks: DataFrame, shape_table) -> Dat
 def score_offtargets(guides: DataFrame, chunks: DataFrame, shape_table, model: TreeEnsemble) -> DataFrame:
     """Best hit per start and per end of every guide, scored."""
     scored = score(offtarget_features(guides, chunks, shape_table), model)
-    return drop_duplicates(scored.withColumnRenamed("contig", "chrom"), within=["guide"])
+    return drop_duplicates(scored.withColumnRenamed("contig", "chrom"), within=["guide"], ties=[])
 
 
 def offtarget_report(guides: DataFrame, chunks: DataFrame, shape_table, model: TreeEnsemble, names: dict[str, str] | None = None) -> DataFrame:
     """Ranked and decoded table per guide, ready for ``sources.sinks.write_ranked``."""
     scored = score_offtargets(guides, chunks, shape_table, model).drop("context", "flank", "edits")
-    return format_results(scored, names, within=["guide"])
+    return format_results(scored, names, within=["guide"], ties=[])
 
 
 def score_aligner_hits(hits: DataFrame, guide: str, chunks: DataFrame, shape_table, model: TreeEnsemble) -> DataFrame:
     """Score hits another aligner has found (see ``sources.sam``) for one guide."""
     named = hits.select(F.lit(guide).alias("guide"), "contig", "strand", "start", "end")
     scored = score(sequence_features(aligned_hits(named, chunks), shape_table), model)
-    return drop_duplicates(scored.withColumnRenamed("contig", "chrom"), within=["guide"])
+    return drop_duplicates(scored.withColumnRenamed("contig", "chrom"), within=["guide"], ties=[])

@@ -27,4 +27,4 @@ def scan_report(contigs: DataFrame, shape_table, model: TreeEnsemble, names: dic
     """Ranked, decoded table; an empty one means that the sequences hold no site."""
     scored = score_sequences(contigs, shape_table, model).withColumnRenamed("contig", "chrom").drop("context", "flank")
     # ranking samples its input before it sorts; behind a shuffle the sample does not compute the features again
-    return format_results(scored.repartition("chrom", "strand", "start"), names, within=["chrom"])
+    return format_results(scored.repartition("chrom", "strand", "start"), names, within=["chrom"], ties=[])
