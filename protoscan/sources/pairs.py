@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import csv
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from protoscan.operators.bounded import broadcast_if_small
 from protoscan.sources.lines import read_lines
 
 # --- fixed values: header words and columns of the two pair-file layouts ----------
@@ -25,24 +26,19 @@ def looks_like_csv(spark: SparkSession, path: str, characters: int = 4096) -> bo
     return True
 
 
-def _field(row: Column, i: int) -> Column:
-    return F.get(row, F.lit(i))
-
-
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """Rows below the ``target_id`` header, whatever stands above it.
 
     One table for both layouts: rows of sequence files have ``context``, rows of
     coordinate files have genome, cell_type, chrom, strand and start. Files may be mixed.
     """
-    width = len(LOCUS_COLUMNS)
-    fields = ", ".join(f"c{i} string" for i in range(width))
+    fields = ", ".join(f"c{i} string" for i in range(len(LOCUS_COLUMNS)))
     lines = read_lines(spark, path).filter("trim(text) != ''").withColumn("row", F.from_csv("text", fields))
     headers = (
         lines.filter(F.col("row.c0") == HEADER_WORD)
         .groupBy("file").agg(F.min("line_seq").alias("_at"), F.min_by("row.c2", "line_seq").alias("_third"))
     )
-    below = lines.join(headers, "file").filter("line_seq > _at")
+    below = lines.join(broadcast_if_small(headers), "file").filter("line_seq > _at")
     by_context = F.col("_third") == CONTEXT_WORD
     cells = {name: F.col(f"row.c{i}") for i, name in enumerate(LOCUS_COLUMNS)}
     return below.select(

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from protoscan.functions.validate import is_assembled_chromosome
+from protoscan.operators.bounded import broadcast_if_small
 from protoscan.operators.tracks import repeat_code, subcompartment_code
 from protoscan.sources.lines import read_lines
 
@@ -42,8 +43,9 @@ def _cell(row: Column, i: int) -> Column:
 def _rows(spark: SparkSession, path: str, header: bool, separator: str = "\t") -> DataFrame:
     lines = read_lines(spark, path)
     if header:
-        first = lines.groupBy("file").agg(F.min("line_seq").alias("_first"))
-        lines = lines.join(F.broadcast(first), "file").filter("line_seq > _first").drop("_first")
+        # the header is in the split a file begins with; one row per file
+        first = lines.filter("block = 0").groupBy("file").agg(F.min("line_seq").alias("_first"))
+        lines = lines.join(broadcast_if_small(first), "file").filter("line_seq > _first").drop("_first")
     return lines.select("file", F.col("line_seq").alias("load_seq"), F.split(F.trim("text"), separator).alias("_row"))
 
 

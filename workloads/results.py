@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from protoscan.fixed import MODEL_INPUTS, SEQUENCE_FEATURES
+from protoscan.fixed import MODEL_INPUTS
 from protoscan.functions.shape import load_table
 from protoscan.operators import align, catalog, features, genome, model, post, scan, search
 from protoscan.plans import offtargets, pair_scoring, sequence_scan
@@ -12,7 +12,7 @@ from protoscan.sources.pairs import guides_in_text
 from protoscan.sources.sam import parse_hits
 from workloads import tracks as track_queries
 from workloads.base import CONTIGS_SQL, NEAR_PAIRS, SITES, Derived, contigs, dna, layered, query, table
-from workloads.sequence import NEAR_ALIGNED_SQL, shape_table, sql_codes, sql_count, sql_features, sql_rc, sql_scan_context, sql_types
+from workloads.sequence import NEAR_ALIGNED_SQL, shape_table, sql_codes, sql_count, sql_features, sql_rc, sql_scan_context
 
 # --- models -----------------------------------------------------------------------------
 # Stand-ins for trained members, made by rule. Leaf values are eighths, so sums are exact.
@@ -70,10 +70,6 @@ def near_features(spark, d) -> DataFrame:
     return features.sequence_features(align.best_placement(NEAR_PAIRS.df(spark, d)), load_table(shape_table(spark)))
 
 
-# the features the stand-in models use, without those that are dear to recompute
-_LIGHT = ["pa_score", "mms_cnt"]
-
-
 @query("ensemble_score", f"select k, {sql_score(stump_rows())} as score from {sql_features(NEAR_ALIGNED_SQL)}")
 def ensemble_score(spark, d):
     return model.score(near_features(spark, d), ensemble(spark, stump_rows())).select("k", "score")

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, functions as F
 
 from protoscan.fixed import CHROMOSOME_NUMBER, CELL_LINES, ENTHALPY_TENTHS, SEQUENCE_FEATURES
 from protoscan.functions import aligned, seq as S, validate as V
 from protoscan.functions.shape import load_table
 from protoscan.operators import align, features, genome, metrics, scan
-from workloads.base import ALIGNED, CONTIGS_SQL, EDITED_PAIRS, LONG, NEAR_PAIRS, RAW_CONTEXTS, RAW_GUIDES, SITES, Layered, contigs, dna, layered, query, table
+from workloads.base import ALIGNED, CONTIGS_SQL, EDITED_PAIRS, LONG, NEAR_PAIRS, RAW_CONTEXTS, RAW_GUIDES, SITES, contigs, dna, layered, query, table
 
 
 def sql_rc(s: str) -> str:
@@ -207,8 +205,6 @@ def mismatch_quartets(spark, d):
 _TYPES = [("wobble_total", "concat(r, d) in ('TC', 'GA')"), ("YY_total", "r in ('C', 'T') and d in ('G', 'A')"),
           ("RR_total", "r in ('G', 'A') and d in ('T', 'C')"), ("Tv_total", "concat(r, d) in ('AG', 'CT')")]
 _CLASS_CASE = "case when r = d then '0' when r = '-' or d = '-' then '-1' when concat(r, d) in ('TC', 'GA') then '1' when r in ('G', 'A') and d in ('T', 'C') then '2' when r in ('C', 'T') and d in ('G', 'A') then '3' when concat(r, d) in ('AG', 'CT') then '4' else '-2' end"
-# the wobble pairs are inside neither class, so the classes may be tested in any order
-_TYPES[2] = ("RR_total", "r in ('G', 'A') and d in ('T', 'C')")
 
 
 def sql_types() -> str:
