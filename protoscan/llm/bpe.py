@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, functions as F
 from protoscan.llm.common import map_batches
 
 LONG = 256
-KEPT = 600_000
-CHUNK_BYTES = 600_000
+KEPT = 400_000
+CHUNK_BYTES = 400_000
 
 ENCODE = """
 with recursive step(word, pos, tok, live) as (
@@ -89,33 +89,65 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-class Coder:
-    """One worker's connection, vocabulary and words met so far."""
+class Vocabulary:
+    """One worker's connection and token table; decodes."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str):
         import duckdb
-        import regex
 
         self.ranks = read_ranks(path)
-        self.wide, self.narrow = regex.compile(pattern), re.compile(narrowed(pattern))
-        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.known: dict[str, bytes] = {}
-        splits = [(self.ranks[t[:i]], self.ranks[t[i:]], rank) for t, rank in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        l, r, merged = zip(*splits) if splits else ((), (), ())
         self.db = duckdb.connect()
         self.db.execute("set threads = 1")
-        self.db.execute("set memory_limit = '400MB'")
-        for name, columns in (("merges", {"l": l, "r": r, "merged": merged}), ("vocabulary", {"id": list(self.ranks.values()), "bytes": list(self.ranks)})):
-            self.db.register("given", pa.table({k: pa.array(v, pa.binary() if k == "bytes" else pa.int32()) for k, v in columns.items()}))
-            self.db.execute(f"create table {name} as select * from given")
-            self.db.unregister("given")
+        self.db.execute("set memory_limit = '250MB'")
+        self._table("vocabulary", {"id": pa.array(list(self.ranks.values()), pa.int32()), "bytes": pa.array(list(self.ranks), pa.binary())})
 
-    def _ask(self, name: str, columns: dict, sql: str) -> pa.Table:
+    def _table(self, name: str, columns: dict) -> None:
         self.db.register("given", pa.table(columns))
         self.db.execute(f"create or replace temp table {name} as select * from given")
         self.db.unregister("given")
+
+    def _ask(self, name: str, columns: dict, sql: str) -> pa.Table:
+        self._table(name, columns)
         return self.db.sql(sql).to_arrow_table()
 
+    def decode(self, packed: list[bytes]) -> list[bytes]:
+        out = [b""] * len(packed)
+        begin = size = 0
+        for i, ids in enumerate(packed):
+            size += len(ids) // 4
+            if size > 500_000 or i == len(packed) - 1:
+                part = packed[begin : i + 1]
+                counts = np.array([len(x) // 4 for x in part])
+                tokens = np.frombuffer(b"".join(part), "<u4").astype(np.int32)
+                got = self._ask("tokens", {"doc": np.repeat(np.arange(begin, i + 1, dtype=np.int32), counts), "pos": np.arange(len(tokens), dtype=np.int32), "tok": tokens}, DECODE)
+                lists = got["bytes"].combine_chunks()
+                pieces = lists.flatten()
+                at = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset :] if len(pieces) else np.zeros(1, np.int32)
+                data, ends = pieces.buffers()[2], lists.value_lengths().to_numpy().cumsum()
+                found = 0
+                for doc, end in zip(got["doc"].to_pylist(), ends.tolist()):
+                    out[doc] = data[int(at[found]) : int(at[end])].to_pybytes()  # the values of a column lie one after the other
+                    found = end
+                if found != len(tokens):
+                    raise ValueError("an id is not in the vocabulary")
+                begin, size = i + 1, 0
+        return out
+
+
+class Coder(Vocabulary):
+    """With the merge table and the words met so far; encodes too."""
+
+    def __init__(self, path: str, pattern: str):
+        import regex
+
+        super().__init__(path)
+        self.wide, self.narrow = regex.compile(pattern), re.compile(narrowed(pattern))
+        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        self.known: dict[str, bytes] = {}
+        splits = [(self.ranks[t[:i]], self.ranks[t[i:]], rank) for t, rank in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
+        columns = zip(*splits) if splits else ((), (), ())
+        self._table("merges", {name: pa.array(column, pa.int32()) for name, column in zip(("l", "r", "merged"), columns)})
+
     def _contract(self, words: list[bytes], sql: str) -> list[bytes]:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         starts = np.cumsum(sizes) - sizes
@@ -155,7 +187,7 @@ class Coder:
         for i, text in enumerate(texts):
             group.append((self.wide if BEYOND.search(text) else self.narrow).findall(text))
             size += len(text)
-            if size > 4_000_000 or i == len(texts) - 1:
+            if size > 1_000_000 or i == len(texts) - 1:
                 missing = set().union(*group) - self.known.keys()
                 if missing:
                     if len(self.known) > KEPT:
@@ -165,35 +197,17 @@ class Coder:
                 group, size = [], 0
         return out
 
-    def decode(self, packed: list[bytes]) -> list[bytes]:
-        out = [b""] * len(packed)
-        begin = size = 0
-        for i, ids in enumerate(packed):
-            size += len(ids) // 4
-            if size > 1_000_000 or i == len(packed) - 1:
-                part = packed[begin : i + 1]
-                counts = np.array([len(x) // 4 for x in part])
-                tokens = np.frombuffer(b"".join(part), "<u4").astype(np.int32)
-                got = self._ask("tokens", {"doc": np.repeat(np.arange(begin, i + 1, dtype=np.int32), counts), "pos": np.arange(len(tokens), dtype=np.int32), "tok": tokens}, DECODE)
-                lists = got["bytes"].combine_chunks()
-                pieces = lists.flatten()
-                at = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset :] if len(pieces) else np.zeros(1, np.int32)
-                data, ends = pieces.buffers()[2], lists.value_lengths().to_numpy().cumsum()
-                found = 0
-                for doc, end in zip(got["doc"].to_pylist(), ends.tolist()):
-                    out[doc] = data[int(at[found]) : int(at[end])].to_pybytes()  # the values of a column lie one after the other
-                    found = end
-                if found != len(tokens):
-                    raise ValueError("an id is not in the vocabulary")
-                begin, size = i + 1, 0
-        return out
-
 
 @lru_cache(maxsize=1)
 def coder(path: str, pattern: str) -> Coder:
     return Coder(path, pattern)
 
 
+@lru_cache(maxsize=1)
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
+
+
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """``df`` with ``ids`` (binary: little-endian unsigned 32-bit ids) and ``n_tokens`` in place of the text column.
 
@@ -209,12 +223,12 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFr
     return map_batches(df.select(*rest, F.coalesce(F.col(text), F.lit("")).alias("_text")), run, ", ".join(fields), "_text")
 
 
-def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
+def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """``df`` with ``decoded``, the bytes of its ``ids``."""
     rest = [c for c in df.columns if c != "decoded"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(coder(path, pattern).decode([x or b"" for x in batch.column(ids).to_pylist()]), pa.binary())], names=[*rest, "decoded"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(vocabulary(path).decode([x or b"" for x in batch.column(ids).to_pylist()]), pa.binary())], names=[*rest, "decoded"])
 
     fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in rest), "decoded binary"]
     return map_batches(df.select(*rest), run, ", ".join(fields), ids)
@@ -222,5 +236,5 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFram
 
 def digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of the ids and of the decoded bytes."""
-    coded = decode(encode(documents.select("doc_id", "text"), path, pattern), path, pattern)
+    coded = decode(encode(documents.select("doc_id", "text"), path, pattern), path)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -34,7 +34,7 @@ def with_key(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
     return df.withColumn("text_key", F.xxhash64(F.col(text)))
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most ``limit`` bytes of text each, one row at least; bounds memory, not rows."""
     at = batch.schema.get_field_index(column)
     sizes = batch.column(at).nbytes
