@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from protoscan.llm import bpe, simhash
-from protoscan.llm.common import load
+from protoscan.llm import bpe, decontam, pii, quality, simhash
+from protoscan.llm.common import fold, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,12 +21,31 @@ def query(name: str):
     return register
 
 
+@query("op3_pii_spans")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(load(spark, sf_dir, "documents"))
+
+
+@query("op4_quality_machine")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = load(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(documents, load(spark, sf_dir, "labels"), allowed=fold("doc_id", 5) != 0)
+    scored = quality.score(documents, model)
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
+
+
 @query("op5_simhash_components")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(load(spark, sf_dir, "documents"), words=4)
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+@query("op6_decontamination")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
 @query("op9_byte_bpe")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
