@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from protoscan.llm import bpe, decontam, lines, pii, quality, simhash, substring
+from protoscan.llm import bpe, decontam, forest, lines, lm, pii, quality, simhash, substring
 from protoscan.llm.common import fold, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +21,19 @@ def query(name: str):
     return register
 
 
+@query("op1_language_model")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = load(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 7) == 2).alias("held_out"))
+    fitted = lm.fit(documents, ~F.col("held_out"))
+    scored = lm.score(documents, fitted)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(fitted.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@query("op2_prefix_forest")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.search(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query("op3_pii_spans")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(load(spark, sf_dir, "documents"))
