@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from protoscan.llm.common import map_batches
+from protoscan.llm.common import columns, fields, map_batches, others
 
 LONG = 256
 KEPT = 400_000
@@ -213,25 +213,23 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFr
 
     ``path``: a tiktoken rank file that every executor has. ``pattern``: the tokenizer's pattern.
     """
-    rest = [c for c in df.columns if c not in (text, "ids", "n_tokens")]
+    rest = others(df, text.lower(), "ids", "n_tokens")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = coder(path, pattern).encode([x or "" for x in batch.column("_text").to_pylist()])
+        ids = coder(path, pattern).encode([x or "" for x in batch.column("__text").to_pylist()])
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=[*rest, "ids", "n_tokens"])
 
-    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in rest), "ids binary", "n_tokens bigint"]
-    return map_batches(df.select(*rest, F.coalesce(F.col(text), F.lit("")).alias("_text")), run, ", ".join(fields), "_text")
+    return map_batches(df.select(*columns(rest), F.coalesce(F.col(text), F.lit("")).alias("__text")), run, fields(df, rest, "ids binary, n_tokens bigint"), "__text")
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """``df`` with ``decoded``, the bytes of its ``ids``."""
-    rest = [c for c in df.columns if c != "decoded"]
+    rest = others(df, "decoded")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(vocabulary(path).decode([x or b"" for x in batch.column(ids).to_pylist()]), pa.binary())], names=[*rest, "decoded"])
 
-    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in rest), "decoded binary"]
-    return map_batches(df.select(*rest), run, ", ".join(fields), ids)
+    return map_batches(df.select(*columns(rest)), run, fields(df, rest, "decoded binary"), ids)
 
 
 def digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:

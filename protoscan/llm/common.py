@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from protoscan.session import materialise, ship_package
 
-__all__ = ["LOWER", "binary_text", "fold", "load", "map_batches", "materialise", "pieces", "ship_package", "with_key"]
+__all__ = ["LOWER", "binary_text", "columns", "fields", "fold", "load", "map_batches", "materialise", "others", "pieces", "quoted", "ship_package", "with_key"]
 
 #: ASCII letters to lower case; every other byte of UTF-8 stays. ``bytes.split()`` then cuts at 0x20 and 0x09-0x0D.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -34,6 +34,24 @@ def with_key(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
     return df.withColumn("text_key", F.xxhash64(F.col(text)))
 
 
+def others(df: DataFrame, *taken: str) -> list[str]:
+    """The columns of ``df`` but those that an operator reads or adds, whatever their case."""
+    return [c for c in df.columns if c.lower() not in taken]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns(names: list[str]) -> list[Column]:
+    return [F.col(quoted(c)) for c in names]
+
+
+def fields(df: DataFrame, names: list[str], more: str) -> str:
+    """A schema of the named columns of ``df`` and ``more``."""
+    return ", ".join([*(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in df.schema if f.name in names), more])
+
+
 def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most ``limit`` bytes of text each, one row at least; bounds memory, not rows."""
     at = batch.schema.get_field_index(column)

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from protoscan.llm.common import LOWER, binary_text, map_batches, materialise, pieces
+from protoscan.llm.common import LOWER, binary_text, columns, fields, map_batches, materialise, others, pieces
 
 CLASSES = 2048
 RANK = 16
@@ -48,7 +48,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     def run(batches):
         counts: Counter = Counter()
         for batch in batches:
-            for part in pieces(batch, "_text"):
+            for part in pieces(batch, "__text"):
                 for text in part.column(0).to_pylist():
                     counts.update(text.translate(LOWER).split())
                     if len(counts) > HELD:
@@ -56,7 +56,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
                         counts = Counter()
         yield table(counts)
 
-    return texts.select("_text").mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    return texts.select("__text").mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 @dataclass
@@ -158,7 +158,7 @@ def train_round(texts: DataFrame, start: Model, known: dict[bytes, int], frequen
                 trainer.learn(runs[w - 2], runs[w - 1], runs[w])
 
         for batch in batches:
-            for part in pieces(batch, "_text"):
+            for part in pieces(batch, "__text"):
                 for text in part.column(0).to_pylist():
                     held.append(classes_of(text.translate(LOWER).split(), known))
                     size += len(held[-1])
@@ -175,7 +175,7 @@ def train_round(texts: DataFrame, start: Model, known: dict[bytes, int], frequen
         return frame.iloc[:1].assign(tokens=total, model=mean.astype(np.float32).tobytes())
 
     schema = "part bigint, tokens bigint, model binary"
-    models = materialise(texts.select("_text").mapInArrow(run, schema))
+    models = materialise(texts.select("__text").mapInArrow(run, schema))
     got = models.where("tokens > 0").groupBy("part").applyInPandas(average, schema).collect()
     shared.unpersist()
     total = sum(x["tokens"] for x in got)
@@ -199,7 +199,7 @@ class Fitted:
 
 def fit(documents: DataFrame, training: Column, text: str = "text") -> Fitted:
     """Learn from the rows of ``documents`` for which ``training`` holds."""
-    texts = documents.where(training).select(binary_text(text).alias("_text"))
+    texts = documents.where(training).select(binary_text(text).alias("__text"))
     ends = texts.count()
     counts = materialise(word_counts(texts))
     n_words, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -214,7 +214,7 @@ def fit(documents: DataFrame, training: Column, text: str = "text") -> Fitted:
     frequency /= frequency.sum()
     model = Model.start(frequency)
     for i in range(ROUNDS):
-        model = train_round(texts.where(F.pmod(F.xxhash64("_text"), F.lit(ROUNDS)) == i), model, known, frequency)
+        model = train_round(texts.where(F.pmod(F.xxhash64("__text"), F.lit(ROUNDS)) == i), model, known, frequency)
     head = {bytes(x["word"]): (known.get(bytes(x["word"]), REST), x["c"]) for x in top}
     rest = (n_words - own) + (distinct - len(words)) + 1
     return Fitted(model, head, counts, n_words + ends, distinct + (ends > 0), ends, rest)
@@ -226,7 +226,7 @@ def score(documents: DataFrame, fitted: Fitted, text: str = "text") -> DataFrame
     ends, rest_total = fitted.ends, fitted.rest_total
     shared = spark.sparkContext.broadcast((fitted.model.pack(), fitted.head))
     added = ("n_tokens", "n_known", "base_score", "score")
-    rest = [c for c in documents.columns if c not in (text, *added)]
+    rest = others(documents, text.lower(), *added)
     state: list = []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -235,7 +235,7 @@ def score(documents: DataFrame, fitted: Fitted, text: str = "text") -> DataFrame
             state.append((Model.unpack(np.frombuffer(packed, np.float32)).tables(), head))
         (first, second, log_z), head = state[0]
         out = []
-        for text in batch.column("_text").to_pylist():
+        for text in batch.column("__text").to_pylist():
             words = text.translate(LOWER).split()
             found = [head.get(w) for w in words]
             ids = np.array([END, END, *[REST if x is None else x[0] for x in found], END])
@@ -250,14 +250,14 @@ def score(documents: DataFrame, fitted: Fitted, text: str = "text") -> DataFrame
         n, k, base, total, tails = zip(*out)
         return pa.RecordBatch.from_arrays([
             *(batch.column(c) for c in rest), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(base, pa.float64()), pa.array(total, pa.float64()),
-            pa.array(tails, pa.list_(pa.binary()))], names=[*rest, "n_tokens", "_known", "_base", "_score", "_tail"])
-
-    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema if f.name in rest), "n_tokens bigint, _known bigint, _base double, _score double, _tail array<binary>"]
-    rows = map_batches(documents.select(*rest, binary_text(text).alias("_text")), run, ", ".join(fields), "_text")
-    rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()))
-    tails = rows.select("_row", F.explode("_tail").alias("word")).join(fitted.counts, "word")
-    sums = tails.groupBy("_row").agg(F.sum(F.log10(F.col("c") + 1)).alias("_sum"), F.count("*").alias("_n"))
-    joined = rows.drop("_tail").join(sums, "_row", "left")
-    more, seen = F.coalesce("_sum", F.lit(0.0)), F.coalesce("_n", F.lit(0))
+            pa.array(tails, pa.list_(pa.binary()))], names=[*rest, "n_tokens", "__known", "__base", "__score", "__tail"])
+
+    schema = fields(documents, rest, "n_tokens bigint, __known bigint, __base double, __score double, __tail array<binary>")
+    rows = map_batches(documents.select(*columns(rest), binary_text(text).alias("__text")), run, schema, "__text")
+    rows = materialise(rows.withColumn("__row", F.monotonically_increasing_id()))
+    tails = rows.select("__row", F.explode("__tail").alias("word")).join(fitted.counts, "word")
+    sums = tails.groupBy("__row").agg(F.sum(F.log10(F.col("c") + 1)).alias("__sum"), F.count("*").alias("__n"))
+    joined = rows.drop("__tail").join(sums, "__row", "left")
+    more, seen = F.coalesce("__sum", F.lit(0.0)), F.coalesce("__n", F.lit(0))
     each = float(np.log10(fitted.tokens + fitted.distinct + 1))
-    return joined.select(*rest, "n_tokens", (F.col("_known") + seen).alias("n_known"), (F.col("_base") + more - F.col("n_tokens") * each).alias("base_score"), (F.col("_score") + more).alias("score"))
+    return joined.select(*columns(rest), "n_tokens", (F.col("__known") + seen).alias("n_known"), (F.col("__base") + more - F.col("n_tokens") * each).alias("base_score"), (F.col("__score") + more).alias("score"))

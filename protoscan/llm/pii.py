@@ -19,6 +19,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from protoscan.llm.common import columns, others
+
 ACCEPT = 0.6
 BEFORE = 40
 
@@ -104,16 +106,16 @@ ORDER = ["email", "ip", "card", "phone", "iban", "ssn", "key", "secret"]
 
 def find(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with ``spans``: array<struct<kind, start, end, score, base>>, by kind and start; end is exclusive."""
-    rest = [F.col(f"`{c}`") for c in df.columns if c != "spans"]
-    whole = df.select(*rest, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    found = whole.select(*rest, *[kind.spans("_text").alias(f"_k{i}") for i, kind in enumerate(KINDS)])
+    rest = columns(others(df, "spans"))
+    whole = df.select(*rest, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    found = whole.select(*rest, *[kind.spans("__text").alias(f"__k{i}") for i, kind in enumerate(KINDS)])
     parts = []
     for name in ORDER:
         own = [i for i, kind in enumerate(KINDS) if kind.name == name]
         base, *added = own
-        column = f"_k{base}"
+        column = f"__k{base}"
         for i in added:  # an added span keeps clear of the base spans of its kind
-            column = f"array_sort(concat({column}, filter(_k{i}, s -> not exists(_k{base}, b -> b.start < s.end and s.start < b.end))), (x, y) -> x.start - y.start)"
+            column = f"array_sort(concat({column}, filter(__k{i}, s -> not exists(__k{base}, b -> b.start < s.end and s.start < b.end))), (x, y) -> x.start - y.start)"
         parts.append(F.expr(column))
     return found.select(*rest, F.concat(*parts).alias("spans"))
 

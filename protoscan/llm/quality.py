@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from protoscan.llm.common import binary_text, map_batches
+from protoscan.llm.common import binary_text, columns, fields, map_batches, others
 
 WORDS = 4096
 RANK = 8
@@ -136,18 +136,17 @@ def train(documents: DataFrame, labels: DataFrame, allowed: Column | None = None
         rows = rows.where(allowed)
     rows = rows.groupBy("doc_id").agg(F.min(label).cast("double").alias("_label"))
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = documents.select("doc_id", binary_text().alias("_text"))
-    got = texts.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "_text").limit(sample).select("_text", "_label").toArrow()
-    return fit(got["_text"].to_pylist(), np.array(got["_label"].to_pylist(), np.float32))
+    texts = documents.select("doc_id", binary_text().alias("__text"))
+    got = texts.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "__text").limit(sample).select("__text", "_label").toArrow()
+    return fit(got["__text"].to_pylist(), np.array(got["_label"].to_pylist(), np.float32))
 
 
 def score(documents: DataFrame, model: Machine) -> DataFrame:
     """``documents`` with ``score`` (0 to 1, higher: label 1 likelier) in place of any column of that name."""
-    rest = [c for c in documents.columns if c != "score"]
+    rest = others(documents, "score")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        values = [model.score(t) for t in batch.column("_text").to_pylist()]
+        values = [model.score(t) for t in batch.column("__text").to_pylist()]
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(values, pa.float64())], names=[*rest, "score"])
 
-    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema if f.name in rest), "score double"]
-    return map_batches(documents.select(*rest, binary_text().alias("_text")), run, ", ".join(fields), "_text")
+    return map_batches(documents.select(*columns(rest), binary_text().alias("__text")), run, fields(documents, rest, "score double"), "__text")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from protoscan.llm import bpe, decontam, forest, lines, lm, pii, quality, simhash, substring
+from protoscan.llm import bpe, decontam, forest, html, lines, lm, pii, quality, simhash, substring
 from protoscan.llm.common import fold, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+@query("op8_html_text")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(load(spark, sf_dir, "pages")).select("page_id", "url", "text")
+
+
 @query("op9_byte_bpe")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers

@@ -50,11 +50,11 @@ def fingerprints(df: DataFrame, words: int = WORDS, id_column: str = "doc_id", t
     """(id, fp): the 64-bit fingerprint of every row, as a signed long."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        values = np.array([fingerprint(x, words) for x in batch.column("_text").to_pylist()], np.uint64).view(np.int64)
+        values = np.array([fingerprint(x, words) for x in batch.column("__text").to_pylist()], np.uint64).view(np.int64)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], names=[id_column, "fp"])
 
     kind = df.schema[id_column].dataType.simpleString()
-    return map_batches(df.select(id_column, binary_text(text).alias("_text")), run, f"`{id_column}` {kind}, fp bigint", "_text")
+    return map_batches(df.select(id_column, binary_text(text).alias("__text")), run, f"`{id_column}` {kind}, fp bigint", "__text")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from protoscan.llm.common import binary_text, map_batches, materialise, with_key
+from protoscan.llm.common import binary_text, columns, fields, map_batches, materialise, others, with_key
 from protoscan.operators.bounded import broadcast_if_small
 
 WINDOW = 13
@@ -187,13 +187,14 @@ def repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
 def remove_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """``documents`` with text (words that stay, joined by one space), n_words and n_removed."""
     gone = repeats(documents.select("doc_id", "text"), window)
-    gone = broadcast_if_small(gone.toDF("_id", "_tag", "_heads", "_tails"), BROADCAST_ROWS)
-    joined = with_key(documents).join(gone, F.expr("doc_id <=> _id and text_key >> 33 = _tag"), "left")
-    rest = [c for c in documents.columns if c not in ("text", "n_words", "n_removed")]
+    gone = broadcast_if_small(gone.toDF("__id", "__tag", "__heads", "__tails"), BROADCAST_ROWS)
+    rest = others(documents, "text", "n_words", "n_removed")
+    tagged = documents.select(*columns(rest), binary_text().alias("__text"), F.expr("xxhash64(text) >> 33").alias("__of"))
+    joined = tagged.join(gone, F.expr("doc_id <=> __id and __of = __tag"), "left")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, counts, removed = [], [], []
-        for text, heads, tails in zip(*(batch.column(c).to_pylist() for c in ("_text", "_heads", "_tails"))):
+        for text, heads, tails in zip(*(batch.column(c).to_pylist() for c in ("__text", "__heads", "__tails"))):
             n, m, kept = keep(text, heads or [], tails or [], window)
             texts.append(kept)
             counts.append(n)
@@ -202,5 +203,5 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
             [*(batch.column(c) for c in rest), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())],
             names=[*rest, "text", "n_words", "n_removed"])
 
-    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema if f.name in rest), "text string, n_words bigint, n_removed bigint"]
-    return map_batches(joined.select(*rest, binary_text().alias("_text"), "_heads", "_tails"), run, ", ".join(fields), "_text")
+    schema = fields(documents, rest, "text string, n_words bigint, n_removed bigint")
+    return map_batches(joined.select(*columns(rest), "__text", "__heads", "__tails"), run, schema, "__text")
