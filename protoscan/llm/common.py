@@ -72,10 +72,12 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
 def map_batches(df: DataFrame, function, schema: str, column: str) -> DataFrame:
     """``mapInArrow`` with ``function(batch) -> RecordBatch`` over slices of bounded text size."""
 
+    names = df.columns
+
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, column):
+            for part in pieces(batch.rename_columns(names), column):
                 if part.num_rows:
                     yield function(part)
 
-    return df.mapInArrow(run, schema)
+    return df.toDF(*(c.replace(".", "\uff0e") for c in names)).mapInArrow(run, schema)  # which takes a dot for a field
