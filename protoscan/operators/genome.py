@@ -43,14 +43,14 @@ def contig_key(contig: ColumnOrName) -> Column:
 
 def fetch_regions(
     regions: DataFrame, chunks: DataFrame, contig: str = "contig", start: str = "start", end: str = "end",
-    out: str = "seq", size: int = CHUNK, halo: int = HALO, longest: int = HALO, row_key: list[str] | None = None,
+    out: str = "seq", size: int = CHUNK, halo: int = HALO,
 ) -> DataFrame:
     """Add the letters of ``start``..``end`` (1-based, both included) and a ``fetch_warning``.
 
-    Regions up to the halo are read from the one chunk they start in: an equi join on
-    (contig, chunk) against a table with one row per key. A region that may be longer
-    (``longest`` > halo) is read from every chunk it touches and put together again by
-    ``row_key``.
+    Each row decides: a region up to the halo is read from the one chunk it starts in, by an
+    equi join on (contig, chunk) against a table with one row per key; a longer one is read
+    from every chunk it touches and put together again. ``size`` and ``halo`` must be those
+    of the chunk table.
     """
     ask = regions.withColumns({
         "_key": contig_key(contig),
@@ -61,27 +61,28 @@ def fetch_regions(
         contig_key("contig").alias("_key"), F.col("chunk").alias("_chunk"), F.col("chunk_start").alias("_at"),
         F.col("core_length").alias("_core"), F.col("seq").alias("_seq"),
     )
-    if longest <= halo:
-        got = (
-            ask.withColumn("_chunk", F.expr(f"(_from - 1) div {size}"))
-            .join(have, ["_key", "_chunk"], "left")
-            .withColumn(out, F.coalesce(F.substr("_seq", (F.col("_from") - F.col("_at")).cast("int"), F.greatest(F.col("_to") - F.col("_from") + 1, F.lit(0)).cast("int")), F.lit("")))
-            .drop("_chunk", "_at", "_core", "_seq")
-        )
-    else:
-        if not row_key:
-            raise ValueError("long regions need row_key columns that name a region")
-        touched = F.sequence(F.expr(f"(_from - 1) div {size}"), F.greatest(F.expr(f"(_from - 1) div {size}"), F.expr(f"(_to - 1) div {size}")))
-        first = F.greatest(F.col("_from") - 1, F.col("_at"))
-        last = F.least(F.col("_to"), F.col("_at") + F.col("_core"))
-        piece = F.substr("_seq", (first - F.col("_at") + 1).cast("int"), F.greatest(last - first, F.lit(0)).cast("int"))
-        parts = (
-            ask.select(*row_key, "_key", "_from", "_to", F.explode(touched).alias("_chunk"))
-            .join(have, ["_key", "_chunk"])
-            .groupBy(*row_key)
-            .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_chunk", piece.alias("p")))), lambda x: x["p"]), "").alias(out))
-        )
-        got = ask.join(parts, row_key, "left").withColumn(out, F.coalesce(out, F.lit("")))
+    fits = F.col("_to") - F.col("_from") < halo
+    # the letters of a region depend on nothing but its place, so equal regions are put together once
+    first = F.greatest(F.col("_from") - 1, F.col("_at"))
+    last = F.least(F.col("_to"), F.col("_at") + F.col("_core"))
+    piece = F.substr("_seq", (first - F.col("_at") + 1).cast("int"), F.greatest(last - first, F.lit(0)).cast("int"))
+    ends = chunks.select(contig_key("contig").alias("_key"), "contig_length").distinct()
+    long = (
+        ask.filter(~fits).select("_key", "_from", "_to").distinct().join(ends, "_key").filter("_from <= contig_length")
+        .select("_key", "_from", "_to", F.least("_to", "contig_length").alias("_stop"))
+        .select("_key", "_from", "_to", F.explode(F.sequence(F.expr(f"(_from - 1) div {size}"), F.expr(f"(_stop - 1) div {size}"))).alias("_chunk"))
+        .join(have, ["_key", "_chunk"])
+        .groupBy("_key", "_from", "_to")
+        .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_chunk", piece.alias("p")))), lambda x: x["p"]), "").alias("_long"))
+    )
+    short = F.substr("_seq", (F.col("_from") - F.col("_at")).cast("int"), F.greatest(F.col("_to") - F.col("_from") + 1, F.lit(0)).cast("int"))
+    got = (
+        ask.withColumn("_chunk", F.when(fits, F.expr(f"(_from - 1) div {size}")))
+        .join(have, ["_key", "_chunk"], "left")
+        .join(long, ["_key", "_from", "_to"], "left")
+        .withColumn(out, F.coalesce(F.when(fits, short).otherwise(F.col("_long")), F.lit("")))
+        .drop("_chunk", "_at", "_core", "_seq", "_long")
+    )
     asked = F.col(end) - F.col(start) + 1
     warning = (
         F.when(F.length(out) == 0, "no letters at these coordinates")
@@ -102,7 +103,7 @@ def site_contexts(loci: DataFrame, chunks: DataFrame, flank: int, **options) ->
     )
 
 
-def true_coordinates(hints: DataFrame, chunks: DataFrame, seq: str = "seq", offset: int = 100, longest: int = HALO, row_key: list[str] | None = None) -> DataFrame:
+def true_coordinates(hints: DataFrame, chunks: DataFrame, seq: str = "seq", offset: int = 100, **options) -> DataFrame:
     """Find ``seq`` near a hinted locus (contig, hint_start, hint_end, strand or null).
 
     The window reaches ``offset`` letters to both sides; the forward reading wins. As in
@@ -112,8 +113,7 @@ def true_coordinates(hints: DataFrame, chunks: DataFrame, seq: str = "seq", offs
     low = F.greatest(F.col("hint_start") - offset, F.lit(0))
     high = F.when(F.col("hint_end") == 0, F.col("hint_start")).otherwise(F.col("hint_end")) + offset
     looked = fetch_regions(
-        hints.withColumns({"_low": low, "_high": high}), chunks, start="_low", end="_high", out="_window",
-        longest=longest, row_key=row_key,
+        hints.withColumns({"_low": low, "_high": high}), chunks, start="_low", end="_high", out="_window", **options,
     )
     wanted = F.upper(F.col(seq))
     forward = F.when(F.coalesce(F.col("strand") == "+", F.lit(True)), F.instr("_window", wanted)).otherwise(0)

@@ -21,11 +21,12 @@ def in_coding_part(region: Column, location: Column) -> Column:
     return (region == "CDS") & ~location.startswith("<<<") & ~location.endswith(">>>")
 
 
-def event_exons(location: Column) -> Column:
-    """``x`` or ``x..y`` (any separator) as the ascending range of exon numbers."""
-    first = F.regexp_extract(location, "^([0-9]+)", 1).cast("bigint")
-    last = F.regexp_extract(location, "([0-9]+)$", 1).cast("bigint")
-    return F.sequence(F.least(first, last), F.greatest(first, last))
+def event_exons(location: Column, exons: Column) -> Column:
+    """``x`` or ``x..y`` (any separator) as the ascending range of exon numbers; null if it reaches beyond ``exons``."""
+    first = F.regexp_extract(location, "^([0-9]+)", 1).try_cast("bigint")
+    last = F.regexp_extract(location, "([0-9]+)$", 1).try_cast("bigint")
+    # the numbers are text from a file: compared before a range is made of them
+    return F.when(F.greatest(first, last) <= exons, F.sequence(F.least(first, last), F.greatest(first, last)))
 
 
 def block_exons(starts: Column, sizes: Column) -> Column:
@@ -73,12 +74,13 @@ def fold_events(events: DataFrame, genes: DataFrame, intron_to_next_end: bool =
     accessions give nothing. An included intron reaches to the end of the next exon
     unless ``intron_to_next_end`` is off.
     """
-    runs = event_runs(events).withColumn("listed", event_exons(F.col("location")))
+    runs = event_runs(events)
     if not flush_last:
         last = runs.agg(F.max("run").alias("_last"))
         runs = runs.join(F.broadcast(last), F.col("run") < F.col("_last")).drop("_last")
     sized = runs.join(genes.select("accession", F.size("exons").alias("_n")), "accession")
-    usable = F.array_max("listed") <= F.col("_n")
+    sized = sized.withColumn("listed", event_exons(F.col("location"), F.col("_n")))
+    usable = F.col("listed").isNotNull()
     removed = F.when(usable & F.col("event_type").isin(REMOVES_EXONS), F.col("listed"))
     intron = F.when(usable & F.col("event_type").isin(INCLUDES_INTRON) & (F.array_min("listed") < F.col("_n")), F.array_min("listed"))
     effects = F.concat(

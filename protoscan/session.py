@@ -31,17 +31,6 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return own
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a small input over all cores; large inputs stay as they are.
-
-    A file with a single row group is read by one task, however dear the work on its rows.
-    Only where there are fewer input tasks than cores are the rows dealt out, so a large
-    table, which has more tasks than cores, is never shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder as a table and go on from what was written.
 

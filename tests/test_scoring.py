@@ -134,3 +134,15 @@ def test_offtarget_report_finds_the_planted_site(spark, shape):
     assert {r.chrom for r in got} == {"chr1"} and {r.guide for r in got} == {guide}
     assert found[301, 323].pa_score == 20.0 and found[301, 323].mms_cnt == 0
     assert found[624, 646].mms_cnt == 1 and found[624, 646].pa_score == 19.0
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_missing_values_go_right_whatever_the_size(spark, monkeypatch, small):
+    from protoscan.operators import model
+
+    monkeypatch.setattr(model, "EXPRESSION_NODES", 256 if small else 0)
+    stump = [(0, 0, 0, "a", 1.0, 1, 2, None), (0, 0, 1, None, None, None, None, 1.0), (0, 0, 2, None, None, None, None, 2.0)]
+    ensemble = model.TreeEnsemble(spark.createDataFrame(stump, model.NODE_SCHEMA), ["a"])
+    rows = spark.createDataFrame([(0, 1.0), (1, 1.5), (2, None), (3, float("nan"))], "k int, a double")
+    got = {r.k: round(r.s * 8.22, 9) for r in model.score(rows, ensemble, "s").collect()}
+    assert got == {0: 1.0, 1: 2.0, 2: 2.0, 3: 2.0}

@@ -132,8 +132,8 @@ def test_region_fetch_short_long_and_outside(spark):
         seq = seqs.get(c) or seqs.get(c.replace("chr", "")) or seqs.get("chr" + c) or ""
         return seq[max(s, 1) - 1:max(e, 0)]
 
-    short = genome.fetch_regions(df.filter("end - start < 32"), chunks, size=64, halo=32, longest=32).collect()
-    whole = genome.fetch_regions(df, chunks, size=64, halo=32, longest=400, row_key=["k"]).collect()
+    short = genome.fetch_regions(df.filter("end - start < 32"), chunks, size=64, halo=32).collect()
+    whole = genome.fetch_regions(df, chunks, size=64, halo=32).collect()
     assert len(short) == 7 and len(whole) == 8
     for r in short + whole:
         assert r.seq == expected(r.contig, r.start, r.end), r

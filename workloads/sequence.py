@@ -386,7 +386,7 @@ def ontarget_pairs(spark, d):
     return scan.as_ontarget_pairs(scan.scan_sites(genome.chunk_contigs(contigs(spark, d)), 3)).select("contig", "strand", "start", "end", "site", "context", "sgrna", "pa_score")
 
 
-REGIONS = layered("orders", {"k": "o_orderkey", "contig": "concat('doc', cast(o_custkey as string))", "start": "o_orderkey % 900 - 20", "length": "o_custkey % 223 + 1"}, {"end": "start + length - 1"})
+REGIONS = layered("orders", {"k": "o_orderkey", "contig": "concat('doc', cast(o_custkey as string))", "start": "o_orderkey % 4900 - 20", "length": "case when o_orderkey % 3 = 0 then o_custkey * 7 % 5000 + 1 else o_custkey % 223 + 1 end"}, {"end": "start + length - 1"})
 
 
 @query("region_fetch", f"""
@@ -402,7 +402,7 @@ LONG_REGIONS = layered("orders", {"k": "o_orderkey", "contig": "concat('doc', ca
 
 @query("region_fetch_long", f"select k, coalesce(substr(seq, cast(start as int), 5000), '') as seq from {LONG_REGIONS.sql} p left join {CONTIGS_SQL} c using (contig)")
 def region_fetch_long(spark, d):
-    got = genome.fetch_regions(LONG_REGIONS.df(spark, d), genome.chunk_contigs(contigs(spark, d)), longest=5000, row_key=["k"])
+    got = genome.fetch_regions(LONG_REGIONS.df(spark, d), genome.chunk_contigs(contigs(spark, d)))
     return got.select("k", "seq")
 
 

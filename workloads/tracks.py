@@ -22,7 +22,8 @@ def per_base(value: str, by: str = "", source: Derived = TRACK, where: str = "tr
 
 def sql_endpoint(value: str, default: str, numeric: bool, points=POINTS, source: Derived = TRACK) -> str:
     s, e = ("nullif(s.v, 0)", "nullif(e.v, 0)") if numeric else ("s.v", "e.v")
-    return f"""(with pb as materialized (select * from {per_base(value, source=source)})
+    return f"""(with asked as materialized (select chrom, start as pos from {points.sql} union select chrom, "end" as pos from {points.sql}),
+pb as materialized (select b.* from {per_base(value, source=source)} b semi join asked using (chrom, pos))
 select p.*, coalesce({s}, {e}, {default}) as v from {points.sql} p left join pb s on s.chrom = p.chrom and s.pos = p.start left join pb e on e.chrom = p.chrom and e.pos = p."end")"""
 
 
