@@ -10,7 +10,7 @@ from three table look-ups.
 Training passes over all training texts: each round takes the half of the documents that its hash names, every task
 trains in numpy from the round's start, with noise words that a batch shares, and the tasks' models are averaged
 by tokens in ``GROUPS`` groups, then on the driver; a model has a fixed size. Scoring looks up the ``HEAD`` most frequent words in
-the tasks; the rarer words of each text are joined with the counts by shuffle. None of them has more than
+the tasks; the rarer words of each text are joined with the counts by shuffle. None of them has much more than
 ``1 / HEAD`` of all tokens, so no key is hot.
 
 Null texts count as empty: one token, the end. Rows that repeat are scored and counted each for itself.
@@ -59,6 +59,21 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("__text").mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """The most frequent words, ``HEAD`` at most: all above a count that a histogram (a few thousand bins) finds."""
+    bin_ = F.floor(100 * F.log("c"))
+    left, least = HEAD, None
+    for b, n in sorted(map(tuple, counts.groupBy(bin_.alias("b")).count().collect()), reverse=True):
+        left -= n
+        if left < 0:
+            break
+        least = b
+    if least is None:
+        return []
+    got = counts.where(bin_ >= least).toArrow()
+    return sorted(zip(got["word"].to_pylist(), got["c"].to_pylist()), key=lambda x: (-x[1], x[0]))
+
+
 @dataclass
 class Model:
     r: np.ndarray
@@ -203,19 +218,19 @@ def fit(documents: DataFrame, training: Column, text: str = "text") -> Fitted:
     ends = texts.count()
     counts = materialise(word_counts(texts))
     n_words, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()
-    words = [bytes(x["word"]) for x in top[: CLASSES - 2]]
+    top = frequent(counts)
+    words = [w for w, _ in top[: CLASSES - 2]]
     known = {w: i + 2 for i, w in enumerate(words)}
-    own = sum(x["c"] for x in top[: CLASSES - 2])
+    own = sum(c for _, c in top[: CLASSES - 2])
     frequency = np.full(CLASSES, 0.5)
     frequency[END], frequency[REST] = ends + 0.5, n_words - own + 0.5
-    frequency[2 : 2 + len(words)] = [x["c"] + 0.5 for x in top[: CLASSES - 2]]
+    frequency[2 : 2 + len(words)] = [c + 0.5 for _, c in top[: CLASSES - 2]]
     frequency[2 + len(words) :] = 1e-12
     frequency /= frequency.sum()
     model = Model.start(frequency)
     for i in range(ROUNDS):
         model = train_round(texts.where(F.pmod(F.xxhash64("__text"), F.lit(ROUNDS)) == i), model, known, frequency)
-    head = {bytes(x["word"]): (known.get(bytes(x["word"]), REST), x["c"]) for x in top}
+    head = {w: (known.get(w, REST), c) for w, c in top}
     rest = (n_words - own) + (distinct - len(words)) + 1
     return Fitted(model, head, counts, n_words + ends, distinct + (ends > 0), ends, rest)
 
