@@ -18,7 +18,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from protoscan.fixed import GUIDE_LEN, LONG_FLANK, MAX_GAPS, PAM_LEN, SEARCH_MAX_EDITS, SEARCH_MAX_GAPS
 from protoscan.operators.align import UPSTREAM, align_whole
@@ -103,9 +103,21 @@ def _matcher(guides: list[str], max_edits: int, max_gaps: int):
     return hits
 
 
+def _searchable(guide: str) -> Column:
+    return F.coalesce(F.col(guide).rlike(f"^[ACGT]{{{GUIDE_LEN}}}$"), F.lit(False))
+
+
+def rejected_guides(guides: DataFrame, guide: str = "guide") -> DataFrame:
+    """The rows of ``guides`` that ``search`` cannot take."""
+    return guides.filter(~_searchable(guide))
+
+
 def search(guides: DataFrame, chunks: DataFrame, guide: str = "guide", max_edits: int = SEARCH_MAX_EDITS, max_gaps: int = SEARCH_MAX_GAPS, list_size: int = GUIDES_PER_LIST) -> DataFrame:
-    """Rows guide, contig, strand, start, end, edits for guides of 20 letters (no PAM)."""
-    wanted = guides.select(F.left(F.col(guide), F.lit(GUIDE_LEN)).alias("guide")).filter(F.length("guide") == GUIDE_LEN).distinct()
+    """Rows guide, contig, strand, start, end, edits for guides of 20 letters ACGT (no PAM).
+
+    Guides of another form are never cut; ``rejected_guides`` lists them.
+    """
+    wanted = guides.select(F.col(guide).alias("guide")).filter(_searchable("guide")).distinct()
     lists = max(1, math.ceil(wanted.count() / list_size))
     windows = pam_windows(chunks, UPSTREAM)
     found = None

@@ -14,6 +14,7 @@ from protoscan.operators.ordered import in_order, running_sum, with_previous
 
 # --- fixed values: event types and what they do --------------------------------
 REMOVES_EXONS = ["exon skipped", "exons skipped"]
+NO_EVENT = "---"
 INCLUDES_INTRON = ["intron retention", "novel exon", "novel exons"]
 
 
@@ -56,9 +57,20 @@ def exon_features(features: DataFrame) -> DataFrame:
     return features.filter("type = 'exon'").select("accession", "position", "location")
 
 
-def event_runs(events: DataFrame) -> DataFrame:
-    """Coding events with their run number; a repeat of the row before is left out."""
+def usable_events(events: DataFrame, genes: DataFrame) -> DataFrame:
+    """Coding events with ``_n``, the exons of their gene, and ``listed``, their own exons.
+
+    Rows of type ``---`` and rows that reach beyond the last exon are passed over as if they
+    were not there: they neither open a run nor give it a value. Rows of unknown accessions stay, since they part runs.
+    """
     coding = events.filter(in_coding_part(F.col("region"), F.col("location")))
+    sized = coding.join(genes.select("accession", F.size("exons").alias("_n")), "accession", "left")
+    listed = sized.withColumn("listed", event_exons(F.col("location"), F.col("_n")))
+    return listed.filter(F.col("_n").isNull() | ((F.col("event_type") != NO_EVENT) & F.col("listed").isNotNull()))
+
+
+def event_runs(coding: DataFrame) -> DataFrame:
+    """Usable events with their run number; a repeat of the row before is left out."""
     ordered = with_previous(in_order(coding, [F.col("line").asc()]), ["accession", "location", "event_type"])
     changed = ~F.col("accession").eqNullSafe(F.col("prev_accession"))
     runs = running_sum(ordered, F.when(changed, 1).otherwise(0), "run")
@@ -74,15 +86,13 @@ def fold_events(events: DataFrame, genes: DataFrame, intron_to_next_end: bool =
     accessions give nothing. An included intron reaches to the end of the next exon
     unless ``intron_to_next_end`` is off.
     """
-    runs = event_runs(events)
+    runs = event_runs(usable_events(events, genes))
     if not flush_last:
         last = runs.agg(F.max("run").alias("_last"))
         runs = runs.join(F.broadcast(last), F.col("run") < F.col("_last")).drop("_last")
-    sized = runs.join(genes.select("accession", F.size("exons").alias("_n")), "accession")
-    sized = sized.withColumn("listed", event_exons(F.col("location"), F.col("_n")))
-    usable = F.col("listed").isNotNull()
-    removed = F.when(usable & F.col("event_type").isin(REMOVES_EXONS), F.col("listed"))
-    intron = F.when(usable & F.col("event_type").isin(INCLUDES_INTRON) & (F.array_min("listed") < F.col("_n")), F.array_min("listed"))
+    sized = runs.filter(F.col("_n").isNotNull())
+    removed = F.when(F.col("event_type").isin(REMOVES_EXONS), F.col("listed"))
+    intron = F.when(F.col("event_type").isin(INCLUDES_INTRON) & (F.array_min("listed") < F.col("_n")), F.array_min("listed"))
     effects = F.concat(
         F.coalesce(F.transform(removed, lambda x: F.struct(x.alias("at"), F.lit(True).alias("exon"))), F.array()),
         F.when(intron.isNotNull(), F.array(F.struct(intron.alias("at"), F.lit(False).alias("exon")))).otherwise(F.array()),

@@ -17,6 +17,11 @@ def offtarget_features(guides: DataFrame, chunks: DataFrame, shape_table) -> Dat
     return sequence_features(aligned_hits(search(clean, chunks), chunks), shape_table)
 
 
+def rejected_offtarget_guides(guides: DataFrame) -> DataFrame:
+    """The given guides that no search is made for, as they were given."""
+    return guides.filter(~F.coalesce(guide_is_valid(normalise_guide("guide")), F.lit(False)))
+
+
 def score_offtargets(guides: DataFrame, chunks: DataFrame, shape_table, model: TreeEnsemble) -> DataFrame:
     """Best hit per start and per end of every guide, scored."""
     scored = score(offtarget_features(guides, chunks, shape_table), model)

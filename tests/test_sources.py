@@ -118,12 +118,11 @@ def test_splice_files(spark, tmp_path):
     assert got == [
         (1, "NM_1", "exon", 101, 110, 2.0), (1, "NM_1", "exon", 301, 310, 2.0), (1, "NM_1", "intron", 110, 210, 2.0),
         (2, "NM_2", "exon", 201, 210, 2.0), (2, "NM_2", "exon", 301, 310, 2.0),
-        (3, "NM_1", "exon", 101, 110, 2.0), (3, "NM_1", "exon", 201, 210, 2.0), (3, "NM_1", "exon", 301, 310, 2.0),
-    ]
-    assert splice.fold_events(events, genes, flush_last=False).filter("run = 3").count() == 0
+    ]  # a run of nothing but an empty event gives nothing
+    assert splice.fold_events(events, genes, flush_last=False).filter("run = 2").count() == 0
     sinks.write_regions(splice.fold_events(events, genes), str(tmp_path / "regions"))
     back = tables.read_included_regions(spark, str(tmp_path / "regions" / "*.csv"))
-    assert back.count() == 8 and back.filter("type = 'intron'").head().end == 210
+    assert back.count() == 5 and back.filter("type = 'intron'").head().end == 210
 
 
 def test_sinks(spark, tmp_path):

@@ -320,13 +320,13 @@ def splice_genes(spark, d) -> DataFrame:
 
 
 @query("splice_fold", f"""
-with e as (select *, lag(accession) over (order by line) as before, lag(location) over (order by line) = location and lag(event_type) over (order by line) = event_type and lag(accession) over (order by line) = accession as repeated
- from {EVENTS.sql} where region = 'CDS' and not location like '<<<%' and not location like '%>>>'),
+with g as materialized (select * from {GENE_EXONS_SQL}), n as (select distinct accession, n from g),
+l as (select v.*, n.n, least(cast(regexp_extract(location, '^([0-9]+)', 1) as bigint), cast(regexp_extract(location, '([0-9]+)$', 1) as bigint)) as low, greatest(cast(regexp_extract(location, '^([0-9]+)', 1) as bigint), cast(regexp_extract(location, '([0-9]+)$', 1) as bigint)) as high
+ from {EVENTS.sql} v left join n using (accession) where region = 'CDS' and not location like '<<<%' and not location like '%>>>'),
+e as (select *, lag(accession) over (order by line) as before, lag(location) over (order by line) = location and lag(event_type) over (order by line) = event_type and lag(accession) over (order by line) = accession as repeated
+ from l where n is null or (event_type <> '---' and high <= n)),
 a as (select *, sum(case when before is distinct from accession then 1 else 0 end) over (order by line) as run from e),
-r as (select * from a where repeated is distinct from true),
-l as (select *, least(cast(regexp_extract(location, '^([0-9]+)', 1) as bigint), cast(regexp_extract(location, '([0-9]+)$', 1) as bigint)) as low, greatest(cast(regexp_extract(location, '^([0-9]+)', 1) as bigint), cast(regexp_extract(location, '([0-9]+)$', 1) as bigint)) as high from r),
-g as materialized (select * from {GENE_EXONS_SQL}), n as (select distinct accession, n from g),
-u as (select l.*, n.n from l join n using (accession)),
+u as (select * from a where repeated is distinct from true and n is not null),
 runs as (select run, accession, arg_min((c4 + c5 + c6) / 3.0::double, line) as value, arg_max(entrez, line) as entrez from u group by all),
 gone as (select distinct run, unnest(range(low, high + 1)) as number from u where high <= n and event_type in ('exon skipped', 'exons skipped')),
 kept_in as (select distinct run, low as number from u where high <= n and low < n and event_type in ('intron retention', 'novel exon', 'novel exons'))
