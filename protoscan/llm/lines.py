@@ -4,15 +4,15 @@ A line is the set of its shingles of ``SHINGLE`` lower-cased words (a shorter li
 line goes whose Jaccard similarity with an earlier line, kept or not, is at least 4/5; earlier means a smaller
 (doc_id, line number). Steps:
 
-1. Words are counted over all documents into ``BUCKETS`` hash buckets; a table of that fixed size goes
-   to the tasks. A shingle is a long: the frequency class of its rarest word above 57 bits of hash, so the
-   natural order of the longs is an order by rarity.
+1. Words are counted over all documents into ``BUCKETS`` hash buckets; a table of that fixed size is
+   a literal in the plans. A shingle is a long: the frequency class of its rarest word above 57 bits of hash, so the
+   natural order of the longs puts shingles that must be rare first.
 2. Lines of equal sets become one row with their earliest line (an aggregate, so copies combine before the
-   shuffle). Its prefix, the rarest ``n - ceil(4n/5) + 1`` shingles, must meet the prefix of any match.
+   shuffle). Its prefix, the first ``n - ceil(4n/5) + 1`` shingles, must meet the prefix of any match.
 3. Shingles that are in one prefix only are left out. Each line is first compared with the earliest line of
    each of its shingles, which settles families of near copies in linear work; only lines that
-   stay unsettled meet the whole lists. Length and position bounds come before the comparison of
-   whole sets.
+   stay unsettled meet the whole lists. Before whole sets are compared, a pair must have fitting lengths, and
+   share as many prefix shingles as the places behind the prefixes leave to find there (a position bound over the whole prefix).
 
 Shingles are compared by their 57-bit hash and class, sets of equal lines by 128 bits.
 
@@ -22,94 +22,96 @@ Rows with equal id and text are one document: they get the same result.
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from protoscan.llm.common import materialise, with_key
+from protoscan.llm.common import columns, materialise, others, with_key
 from protoscan.operators.bounded import broadcast_if_small
 
 SHINGLE = 5
-BUCKETS = 16_384
-BROADCAST_ROWS = 500_000
+BUCKETS = 1 << 17
+BROADCAST_ROWS = 2_000_000
 SPACES = r"[\x20\x09-\x0D]+"
 HASH = (1 << 57) - 1
 
 #: Orders lines; a null id sorts last.
 LINE = "named_struct('last', doc_id is null, 'doc_id', doc_id, 'text_key', text_key, 'line_no', line_no)"
+#: Lengths that allow the similarity, and the fewest shingles that two prefixes must share for it.
+LENGTHS = "4 * m <= 5 * n and 4 * n <= 5 * m"
+ENOUGH = "ceil(4 * (n + m) / 9) - greatest(n - n div 5, m - m div 5) + 1"
 
 
 def words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), SPACES), "")
+    return F.split(F.btrim(F.lower(text), F.lit(" \t\n\x0b\x0c\r")), SPACES)
 
 
-def rarity(documents: DataFrame, text: str = "text") -> bytes:
-    """One character per hash bucket of words: twice the binary logarithm of its number of words in all documents."""
+def rarity(documents: DataFrame, text: str = "text") -> Column:
+    """A literal of ``BUCKETS`` characters: 48 plus twice the binary logarithm of the words of a hash bucket in all documents."""
     each = documents.select(F.explode(F.split(F.lower(F.col(text)), SPACES)).alias("w"))
-    counts = each.groupBy(F.expr(f"cast(pmod(xxhash64(w), {BUCKETS}) as int)").alias("bucket")).count().collect()
-    table = bytearray(b"0" * BUCKETS)
-    for bucket, n in counts:
-        table[bucket] = 48 + min(63, int(2 * math.log2(n)))
-    return bytes(table)
+    counts = each.groupBy(F.expr(f"cast(xxhash64(w) & {BUCKETS - 1} as int)").alias("bucket")).count().toArrow()
+    table = np.full(BUCKETS, 48, np.uint8)
+    table[counts["bucket"].to_numpy()] = 48 + np.minimum(63, 2 * np.log2(counts["count"].to_numpy()))
+    return F.lit(table.tobytes())
 
 
-def line_sets(documents: DataFrame, table: bytes, shingle: int = SHINGLE, only: DataFrame | None = None) -> DataFrame:
-    """(doc_id, text_key, line_no, t): the sorted distinct shingles of every line that has words."""
+def line_sets(documents: DataFrame, levels: Column, shingle: int = SHINGLE, only: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text_key, line_no, t): the sorted distinct shingles of every line that has words; ``only``: of these lines, with their lid."""
     each = with_key(documents).select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     if only is not None:
-        each = each.join(broadcast_if_small(only, BROADCAST_ROWS), F.expr(
-            "doc_id <=> only_id and text_key = only_key and line_no = only_no"), "left_semi")
-    ranked = f"transform(w, x -> shiftleft(cast(ascii(cast(substring(X'{table.hex()}', cast(pmod(xxhash64(x), {BUCKETS}) as int) + 1, 1) as string)) - 48 as bigint), 57) | (xxhash64(x) & {HASH}L))"
-    token = lambda s: f"((array_min({s}) & ~{HASH}L) | (xxhash64({s}) & {HASH}L))"
-    shingles = f"transform(sequence(1, greatest(size(r) - {shingle - 1}, 1)), i -> {token(f'slice(r, i, {shingle})')})"
-    ranked_lines = each.select("doc_id", "text_key", "line_no", words(F.col("line")).alias("w")).where("size(w) > 0").withColumn("r", F.expr(ranked))
-    return ranked_lines.select("doc_id", "text_key", "line_no", F.expr(f"sort_array(array_distinct({shingles}))").alias("t"))
-
-
-def _similar(pairs: DataFrame, documents: DataFrame, table: bytes, shingle: int) -> DataFrame:
-    """The later lines of those ``pairs`` (line, other) whose whole sets are similar enough."""
-    refs = pairs.select("line").union(pairs.select("other")).distinct()
-    only = materialise(refs.select(F.col("line.doc_id").alias("only_id"), F.col("line.text_key").alias("only_key"), F.col("line.line_no").alias("only_no")))
-    sets = line_sets(documents, table, shingle, only).select(F.expr(LINE).alias("line"), "t").dropDuplicates(["line"])
-    sets = materialise(sets.select("line", "t"))
-    both = pairs.join(sets, "line").join(sets.toDF("other", "t2"), "other")
-    return both.where("9 * size(array_intersect(t, t2)) >= 4 * (size(t) + size(t2))").select("line").distinct()
+        each = each.join(broadcast_if_small(only, BROADCAST_ROWS), F.expr("doc_id <=> only_id and text_key = only_key and line_no = only_no"))
+    each = each.select("*", words(F.col("line")).alias("w")).where("w[0] <> ''")
+    hashes = F.transform("w", lambda x: F.xxhash64(x))
+    ranked = F.transform(hashes, lambda h: F.call_function(
+        "shiftleft", (F.ascii(F.substring(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1)).cast("string")) - 48).cast("long"), F.lit(57)).bitwiseOR(h.bitwiseAND(F.lit(HASH))))
+    cut = f"transform(sequence(1, greatest(size(r) - {shingle - 1}, 1)), i -> slice(r, i, {shingle}))"
+    shingles = f"sort_array(array_distinct(transform({cut}, s -> (array_min(s) & ~{HASH}L) | (xxhash64(s) & {HASH}L))))"
+    kept = ["doc_id", "text_key", "line_no"] if only is None else ["lid"]
+    return each.select(*kept, ranked.alias("r")).select(*kept, F.expr(shingles).alias("t"))
+
+
+def _similar(met: DataFrame, firsts: DataFrame, documents: DataFrame, levels: Column, shingle: int) -> DataFrame:
+    """The lines (lid) of pairs (lid, other, n, m; a row for each shared prefix shingle) whose whole sets are similar enough."""
+    pairs = materialise(met.groupBy("lid", "other", "n", "m").count().where(f"count >= {ENOUGH}").select("lid", "other"))
+    refs = pairs.select("lid").union(pairs.select("other")).distinct().join(firsts.select("lid", "line"), "lid")
+    refs = materialise(refs.select("lid", F.col("line.doc_id").alias("only_id"), F.col("line.text_key").alias("only_key"), F.col("line.line_no").alias("only_no")))
+    sets = materialise(line_sets(documents, levels, shingle, refs).dropDuplicates(["lid"]))
+    both = pairs.join(sets, "lid").join(sets.toDF("other", "t2"), "other")
+    return materialise(both.where("9 * size(array_intersect(t, t2)) >= 4 * (size(t) + size(t2))").select("lid").distinct())
 
 
 def kept_lines(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, text_key, kept): the numbers of the lines with words that stay, for documents that keep any."""
-    table = rarity(documents)
-    sets = line_sets(documents, table, shingle)
-    grouped = sets.groupBy(F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(7), F.col("t")).alias("h2"), F.size("t").alias("n")).agg(
+    levels = rarity(documents)
+    lines = line_sets(documents, levels, shingle)
+    grouped = lines.groupBy(F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(7), F.col("t")).alias("h2"), F.size("t").alias("n")).agg(
         F.min(F.expr(LINE)).alias("line"), F.first(F.expr("slice(t, 1, size(t) div 5 + 1)")).alias("prefix"))
-    firsts = materialise(grouped.select("line", "n", "prefix"))
+    firsts = materialise(grouped.select(F.monotonically_increasing_id().alias("lid"), "line", "n", "prefix"))
 
-    prefix = firsts.select("line", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = materialise(prefix.groupBy("token").count().where("count > 1").select("token"))
+    prefix = firsts.select(F.explode("prefix").alias("token"), "lid", "n", "line")
+    shared = materialise(firsts.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1").select("token"))
     lists = materialise(prefix.join(broadcast_if_small(shared, BROADCAST_ROWS), "token"))
-    bounds = "4 * m <= 5 * n and 4 * n <= 5 * m and 9 * least(n - pos, m - pos2) >= 4 * (n + m)"
-
-    star = lists.groupBy("token").agg(F.min(F.struct("line", "n", "pos")).alias("s"))
-    star = star.select("token", F.col("s.line").alias("other"), F.col("s.n").alias("m"), F.col("s.pos").alias("pos2"))
-    near = materialise(lists.join(star, "token").where("other < line").where(bounds).select("line", "other").distinct())
-    settled = materialise(_similar(near, documents, table, shingle))
-
-    asking = lists.join(settled, "line", "left_anti")
-    others = lists.toDF("token", "other", "m", "pos2")
-    rest = asking.join(others, "token").where("other < line").where(bounds).select("line", "other").distinct()
-    rest = materialise(rest.join(near, ["line", "other"], "left_anti"))
-    gone = settled.union(_similar(rest, documents, table, shingle))
-    stay = firsts.select("line").join(gone, "line", "left_anti").select("line.doc_id", "line.text_key", "line.line_no")
+
+    star = lists.groupBy("token").agg(F.min(F.struct("line", "n", "lid")).alias("s"))
+    star = star.select("token", F.col("s.lid").alias("other"), F.col("s.n").alias("m"))
+    near = lists.select("token", "lid", "n").join(star, "token").where("other <> lid").where(LENGTHS)
+    settled = _similar(near, firsts, documents, levels, shingle)
+
+    asking = lists.join(settled, "lid", "left_anti").select("token", "lid", "n", "line")
+    others = lists.toDF("token", "other", "m", "other_line")
+    met = asking.join(others, "token").where("other_line < line").where(LENGTHS).select("lid", "other", "n", "m")
+    gone = settled.union(_similar(met, firsts, documents, levels, shingle))
+    stay = firsts.select("lid", "line").join(gone, "lid", "left_anti").select("line.doc_id", "line.text_key", "line.line_no")
     return stay.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("line_no")).alias("kept"))
 
 
 def dedup_lines(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``documents`` without the lines that repeat earlier ones; adds n_lines and removed (numbers of the lines that went)."""
-    kept = materialise(kept_lines(documents.select("doc_id", "text"), shingle)).toDF("_id", "_key", "_kept")
-    joined = with_key(documents).join(kept, F.expr("doc_id <=> _id and text_key <=> _key"), "left")
-    every = joined.withColumn("_lines", F.split("text", "\n")).withColumn("_kept", F.coalesce("_kept", F.array().cast("array<int>")))
-    gone = "filter(sequence(0, size(_lines) - 1), i -> not array_contains(_kept, i) and _lines[i] rlike '[^\\\\x20\\\\x09-\\\\x0D]')"
+    kept = materialise(kept_lines(documents.select("doc_id", "text"), shingle)).toDF("__id", "__key", "__kept")
+    rest = columns(others(documents, "text", "n_lines", "removed"))
+    joined = documents.select(*rest, "text", F.xxhash64("text").alias("__of")).join(kept, F.expr("doc_id <=> __id and __of = __key"), "left")
+    every = joined.withColumn("__lines", F.split("text", "\n")).withColumn("__kept", F.coalesce("__kept", F.array().cast("array<int>")))
+    gone = "filter(sequence(0, size(__lines) - 1), i -> not array_contains(__kept, i) and __lines[i] rlike '[^\\\\x20\\\\x09-\\\\x0D]')"
     every = every.withColumn("removed", F.when(F.col("text").isNotNull(), F.expr(gone)).otherwise(F.array().cast("array<int>")))
-    every = every.withColumn("n_lines", F.when(F.col("text").isNotNull(), F.size("_lines")).otherwise(0).cast("long"))
-    text = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.expr("array_join(filter(_lines, (l, i) -> not array_contains(removed, i)), '\\n')"))
-    return every.withColumn("text", text).drop("_id", "_key", "_kept", "_lines", "text_key")
+    text = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.expr("array_join(filter(__lines, (l, i) -> not array_contains(removed, i)), '\\n')"))
+    n_lines = F.when(F.col("text").isNotNull(), F.size("__lines")).otherwise(0).cast("long")
+    return every.select(*rest, text.alias("text"), n_lines.alias("n_lines"), "removed")
