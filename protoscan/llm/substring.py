@@ -10,8 +10,9 @@ both have hashed: 3 of 7 positions are hashed instead of all.
 2. The others form a bit table of fixed size that goes to the tasks, where each document extends its
    shared anchors to the windows around them. The table only saves work: where two hashes share a bit,
    a few windows more are looked at.
-3. Windows are matched on 95 bits of hash: the smallest document of each (an aggregate), joined back to
-   the places; places in larger documents are removed. Consecutive starts go on as runs; up to
+3. Windows are matched on 95 bits of hash in one shuffle: those that a smaller document has, too, are removed. A task
+   settles what it can within a batch first and sends on one document per window, so frequent windows are
+   a few rows a task. Consecutive starts go on as runs; up to
    ``BROADCAST_ROWS`` documents with runs, by count, are broadcast to the texts, more are joined by shuffle.
 
 Null and empty texts have no words. A null id is larger than all others. Rows of equal id and text get the same result,
@@ -24,9 +25,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from protoscan.llm.common import binary_text, columns, fields, map_batches, materialise, others, with_key
+from protoscan.llm.common import binary_text, columns, fields, map_batches, materialise, others
 from protoscan.operators.bounded import broadcast_if_small
 
 WINDOW = 13
@@ -35,6 +36,8 @@ PERIOD = 7
 COVER = (0, 1, 3)
 BITS = 27
 BROADCAST_ROWS = 200_000
+#: Where a null id stands in the order of documents.
+LAST = (1 << 63) - 1
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240607)
@@ -127,15 +130,17 @@ def bit_table(shared: DataFrame) -> np.ndarray:
 
 
 def windows(df: DataFrame, window: int, table) -> DataFrame:
-    """(doc_id, place, h1, h2): the windows around anchors whose bit is set in the broadcast ``table``.
+    """(doc_id, place, h1, h2, tail): the windows around anchors whose bit is set in the broadcast ``table``.
 
-    place: 32 bits of the text's key above the position, which tells rows of equal id apart.
+    place: 32 bits of the text's key above the position, which tells rows of equal id apart. Places whose window is also in
+    a smaller document of the same batch are settled: they come as runs (``tail`` is the last start), with
+    a hash of their own. So a batch sends a frequent window on for one document only.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bits = table.value
-        counts, places, first, second = [], [np.zeros(0, np.int64)], [np.zeros(0, _U)], [np.zeros(0, _U)]
-        for tag, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        counts, starts_of, first, second = [], [np.zeros(0, np.int64)], [np.zeros(0, _U)], [np.zeros(0, _U)]
+        for text in batch.column("__text").to_pylist():
             words = word_hashes(text)
             n = len(words)
             at = anchor_places(n, window)
@@ -147,23 +152,42 @@ def windows(df: DataFrame, window: int, table) -> DataFrame:
                 near[start[(start >= 0) & (start < len(near))]] = True
             starts = np.flatnonzero(near)
             counts.append(len(starts))
-            places.append(starts | (tag << 32))
+            starts_of.append(starts)
             first.append(run_hashes(words, starts, window, 1))
             second.append(run_hashes(words, starts, window, 2) >> _U(33))
-        rows = np.repeat(np.arange(batch.num_rows), counts)
+        row = np.repeat(np.arange(batch.num_rows), counts)
+        at, h1, h2 = np.concatenate(starts_of), np.concatenate(first), np.concatenate(second)
+        order = np.array([LAST if x is None else x for x in batch.column("doc_id").to_pylist()], np.int64)
+        tags = batch.column("tag").to_numpy(zero_copy_only=False) << 32
+
+        by = np.lexsort((order[row], h2, h1))
+        new = np.ones(len(by), bool)
+        new[1:] = (h1[by][1:] != h1[by][:-1]) | (h2[by][1:] != h2[by][:-1])
+        least = order[row][by][np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))] if len(by) else np.zeros(0, np.int64)
+        settled = np.zeros(len(by), bool)
+        settled[by] = order[row][by] > least
+
+        open_, done = np.flatnonzero(~settled), np.flatnonzero(settled)
+        joined = (at[done][1:] == at[done][:-1] + 1) & (row[done][1:] == row[done][:-1])
+        heads = done[np.concatenate([[True], ~joined])] if len(done) else done
+        tails = done[np.concatenate([~joined, [True]])] if len(done) else done
+        every = np.concatenate([open_, heads])
+        own = _mixed((tags[row[heads]] | at[heads]).astype(_U) ^ h1[heads])
         return pa.RecordBatch.from_arrays([
-            batch.column(0).take(pa.array(rows)), pa.array(np.concatenate(places)),
-            pa.array(np.concatenate(first).view(np.int64)), pa.array(np.concatenate(second).astype(np.int32))], names=["doc_id", "place", "h1", "h2"])
+            batch.column("doc_id").take(pa.array(row[every])), pa.array(tags[row[every]] | at[every]),
+            pa.array(np.concatenate([h1[open_], own]).view(np.int64)), pa.array(np.concatenate([h2[open_], np.zeros(len(heads), _U)]).astype(np.int32)),
+            pa.array([None] * 0, pa.int32()) if not len(every) else pa.array(np.concatenate([np.zeros(len(open_), np.int64), at[tails]]).astype(np.int32), mask=np.arange(len(every)) < len(open_))],
+            names=["doc_id", "place", "h1", "h2", "tail"])
 
-    tagged = df.select("doc_id", F.expr("text_key >> 33").alias("tag"), binary_text().alias("_text"))
-    return map_batches(tagged, run, "doc_id bigint, place bigint, h1 bigint, h2 int", "_text")
+    tagged = df.select("doc_id", F.expr("coalesce(xxhash64(text), 0) >> 33").alias("tag"), binary_text().alias("__text"))
+    return map_batches(tagged, run, "doc_id bigint, place bigint, h1 bigint, h2 int, tail int", "__text")
 
 
 def keep(text: bytes, heads: list[int], tails: list[int], window: int) -> tuple[int, int, bytes]:
     """(words, removed words, kept words joined by a space); windows start from each head to its tail."""
     words = text.split()
     kept, at = [], 0
-    for head, tail in zip(heads, tails):
+    for head, tail in sorted(zip(heads, tails)):
         kept += words[at : max(head, at)]
         at = max(at, min(tail + window, len(words)))
     kept += words[at:]
@@ -175,13 +199,15 @@ def repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = documents.sparkSession
     shared = materialise(anchors(documents, window).groupBy("anchor").count().where("count > 1").select("anchor"))
     table = spark.sparkContext.broadcast(bit_table(shared))
-    found = materialise(windows(with_key(documents), window, table))
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")
-    least = found.groupBy("h1", "h2").agg(F.min(order).alias("least"), F.max(order).alias("most")).where("least < most").select("h1", "h2", "least")
-    later = found.join(least, ["h1", "h2"]).where(F.col("least") < order)
-    starts = later.groupBy("doc_id", F.shiftright("place", 32).alias("tag")).agg(F.sort_array(F.collect_set(F.expr("cast(place & 4294967295 as int)"))).alias("a"))
+    found = windows(documents, window, table).withColumn("order", F.coalesce("doc_id", F.lit(LAST)))
+    least = F.min("order").over(Window.partitionBy("h1", "h2"))
+    later = found.withColumn("least", least).where("tail is not null or least < order")
+    at = "cast(place & 4294967295 as int)"
+    starts = later.groupBy("doc_id", F.shiftright("place", 32).alias("tag")).agg(
+        F.sort_array(F.collect_set(F.expr(f"if(tail is null, {at}, null)"))).alias("a"),
+        F.collect_list(F.expr(f"if(tail is null, null, named_struct('head', {at}, 'tail', tail))")).alias("runs"))
     heads, tails = "filter(a, (x, i) -> i = 0 or x - a[i - 1] > 1)", "filter(a, (x, i) -> i = size(a) - 1 or a[i + 1] - x > 1)"
-    return materialise(starts.select("doc_id", "tag", F.expr(heads).alias("heads"), F.expr(tails).alias("tails")))
+    return materialise(starts.select("doc_id", "tag", F.expr(f"concat({heads}, runs.head)").alias("heads"), F.expr(f"concat({tails}, runs.tail)").alias("tails")))
 
 
 def remove_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
