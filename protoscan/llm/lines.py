@@ -11,8 +11,8 @@ line goes whose Jaccard similarity with an earlier line, kept or not, is at leas
    shuffle). Its prefix, the first ``n - ceil(4n/5) + 1`` shingles, must meet the prefix of any match.
 3. Shingles that are in one prefix only are left out. Each line is first compared with the earliest line of
    each of its shingles, which settles families of near copies in linear work; only lines that
-   stay unsettled meet the whole lists. Before whole sets are compared, a pair must have fitting lengths, and
-   share as many prefix shingles as the places behind the prefixes leave to find there (a position bound over the whole prefix).
+   stay unsettled meet the whole lists. A pair is met at a shingle only if lengths fit and enough places are left
+   behind it in both lines, as there are behind the first common shingle of any similar pair; then whole sets are compared.
 
 Shingles are compared by their 57-bit hash and class, sets of equal lines by 128 bits.
 
@@ -36,9 +36,8 @@ HASH = (1 << 57) - 1
 
 #: Orders lines; a null id sorts last.
 LINE = "named_struct('last', doc_id is null, 'doc_id', doc_id, 'text_key', text_key, 'line_no', line_no)"
-#: Lengths that allow the similarity, and the fewest shingles that two prefixes must share for it.
-LENGTHS = "4 * m <= 5 * n and 4 * n <= 5 * m"
-ENOUGH = "ceil(4 * (n + m) / 9) - greatest(n - n div 5, m - m div 5) + 1"
+#: What the first common shingle of a similar pair fulfils: fitting lengths, and enough places left behind it in both lines.
+BOUNDS = "4 * m <= 5 * n and 4 * n <= 5 * m and 9 * least(n - pos, m - pos2) >= 4 * (n + m)"
 
 
 def words(text: Column) -> Column:
@@ -70,8 +69,8 @@ def line_sets(documents: DataFrame, levels: Column, shingle: int = SHINGLE, only
 
 
 def _similar(met: DataFrame, firsts: DataFrame, documents: DataFrame, levels: Column, shingle: int) -> DataFrame:
-    """The lines (lid) of pairs (lid, other, n, m; a row for each shared prefix shingle) whose whole sets are similar enough."""
-    pairs = materialise(met.groupBy("lid", "other", "n", "m").count().where(f"count >= {ENOUGH}").select("lid", "other"))
+    """The lines (lid) of pairs (lid, other) whose whole sets are similar enough."""
+    pairs = materialise(met.select("lid", "other").distinct())
     refs = pairs.select("lid").union(pairs.select("other")).distinct().join(firsts.select("lid", "line"), "lid")
     refs = materialise(refs.select("lid", F.col("line.doc_id").alias("only_id"), F.col("line.text_key").alias("only_key"), F.col("line.line_no").alias("only_no")))
     sets = materialise(line_sets(documents, levels, shingle, refs).dropDuplicates(["lid"]))
@@ -87,18 +86,18 @@ def kept_lines(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         F.min(F.expr(LINE)).alias("line"), F.first(F.expr("slice(t, 1, size(t) div 5 + 1)")).alias("prefix"))
     firsts = materialise(grouped.select(F.monotonically_increasing_id().alias("lid"), "line", "n", "prefix"))
 
-    prefix = firsts.select(F.explode("prefix").alias("token"), "lid", "n", "line")
+    prefix = firsts.select(F.posexplode("prefix").alias("pos", "token"), "lid", "n", "line")
     shared = materialise(firsts.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1").select("token"))
     lists = materialise(prefix.join(broadcast_if_small(shared, BROADCAST_ROWS), "token"))
 
-    star = lists.groupBy("token").agg(F.min(F.struct("line", "n", "lid")).alias("s"))
-    star = star.select("token", F.col("s.lid").alias("other"), F.col("s.n").alias("m"))
-    near = lists.select("token", "lid", "n").join(star, "token").where("other <> lid").where(LENGTHS)
+    star = lists.groupBy("token").agg(F.min(F.struct("line", "n", "lid", "pos")).alias("s"))
+    star = star.select("token", F.col("s.lid").alias("other"), F.col("s.n").alias("m"), F.col("s.pos").alias("pos2"))
+    near = lists.select("token", "lid", "n", "pos").join(star, "token").where("other <> lid").where(BOUNDS)
     settled = _similar(near, firsts, documents, levels, shingle)
 
-    asking = lists.join(settled, "lid", "left_anti").select("token", "lid", "n", "line")
-    others = lists.toDF("token", "other", "m", "other_line")
-    met = asking.join(others, "token").where("other_line < line").where(LENGTHS).select("lid", "other", "n", "m")
+    asking = lists.join(settled, "lid", "left_anti").select("token", "lid", "n", "pos", "line")
+    others = lists.select("token", F.col("lid").alias("other"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("line").alias("other_line"))
+    met = asking.join(others, "token").where("other_line < line").where(BOUNDS)
     gone = settled.union(_similar(met, firsts, documents, levels, shingle))
     stay = firsts.select("lid", "line").join(gone, "lid", "left_anti").select("line.doc_id", "line.text_key", "line.line_no")
     return stay.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("line_no")).alias("kept"))
