@@ -1,19 +1,15 @@
 """Approximate nearest neighbours by a forest of hash prefixes.
 
-In each of ``TREES`` trees a vector's hash is a string of ``CHARS`` characters; a character names the axis, with
-its sign, that lies closest to the vector after a random rotation (the mean of at most ``SAMPLE`` vectors is taken off first).
-A tree is a sorted array of (hash, id). The longest prefixes that a query shares with others are
-around its place in this order, so descending means finding that place, and ascending means walking outwards:
-the common prefix gets shorter with every step. A query also descends with its ``PROBES - 1`` next best first characters.
+In each of ``TREES`` trees a vector's hash is a string of ``CHARS`` characters, all that a long holds; a character names the axis,
+with its sign, that lies closest to the vector after a random rotation (the mean of at most ``SAMPLE`` vectors is taken off first).
+A query descends with its own string and with its ``PROBES - 1`` next best first characters. The trees then ascend together: prefix
+lengths are taken from the longest on, over all trees and probes, until ``ENOUGH`` candidates per tree and probe have been
+seen. The length reached is taken whole, however many vectors share the prefix; at length zero these are all vectors, once.
 
-Spark keeps the arrays: the rows of all trees are range-partitioned by (tree, hash, key) and sorted, so no hash is too
-frequent for a task, and the rows next to a partition's border also go to its neighbours. Queries are dealt out the same way.
-Tasks walk at most ``reach`` places either way, compute exact distances in double precision, and return, for every
-query, tree and prefix length, how many candidates there were and the best of them. The trees then ascend together:
-prefix lengths are taken from the longest on, over all trees, until ``ENOUGH`` candidates per tree and probe have
-been seen; the length reached is taken whole.
-
-``reach`` is ``REACH`` or 0.9 times the root of the number of vectors, whichever is more.
+Spark counts the vectors of every prefix in question, which gives each query its length, and deals out the vectors of the
+prefixes at these lengths. Prefixes with more than ``BLOCK`` vectors are cut into blocks by key, and their queries go to each
+block, so no prefix is too frequent for a task: a dense cluster whose strings are all equal is compared whole, block by block.
+Tasks compute exact distances in double precision and return the best of every query and block.
 
 Equal vectors are one row of the forest with their ``k + 1`` smallest ids, all that a list of ``k`` can show of them.
 Vectors that are null, empty, zero or hold null or non-finite components take no part. Vectors of different lengths never meet. Rows
@@ -29,16 +25,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from protoscan.llm.common import materialise
+from protoscan.operators.bounded import broadcast_if_small
 
 TREES = 16
-CHARS = 4
+CHARS = 9
+BITS = 7
 AXES = 64
 PROBES = 4
-REACH = 200
 ENOUGH = 100
 SAMPLE = 10_000
 SEED = 20240611
 ROWS = 40_000
+BLOCK = 20_000
+BROADCAST_ROWS = 200_000
 
 
 def usable(vector: str) -> Column:
@@ -54,7 +53,7 @@ def rotations(dim: int) -> np.ndarray:
 
 
 def strings(x: np.ndarray, probes: int) -> np.ndarray:
-    """(rows, trees, probes): hashes as longs, a byte per character; the first probe is the vector's own hash."""
+    """(rows, trees, probes): hashes as longs, ``BITS`` bits per character; the first probe is the vector's own hash."""
     turns = rotations(x.shape[1])
     probes = min(probes, turns.shape[3])
     out = np.zeros((len(x), TREES, probes), np.int64)
@@ -63,13 +62,13 @@ def strings(x: np.ndarray, probes: int) -> np.ndarray:
         rest = np.zeros(len(x), np.int64)
         for c in range(CHARS):
             y = x @ turns[t, c]
-            order = np.argsort(-np.abs(y), axis=1, kind="stable")[:, : probes if c == 0 else 1]
-            chars = 2 * order + (np.take_along_axis(y, order, 1) > 0)
             if c == 0:
-                first = chars
+                order = np.argsort(-np.abs(y), axis=1, kind="stable")[:, :probes]
+                first = 2 * order + (np.take_along_axis(y, order, 1) > 0)
             else:
-                rest = rest << 8 | chars[every, 0]
-        out[:, t] = first << 8 * (CHARS - 1) | rest[:, None]
+                best = np.abs(y).argmax(1)
+                rest = rest << BITS | 2 * best + (y[every, best] > 0)
+        out[:, t] = first << BITS * (CHARS - 1) | rest[:, None]
     return out
 
 
@@ -81,90 +80,84 @@ def distinct_vectors(df: DataFrame, k: int, id_column: str, vector: str) -> Data
 
 
 def _hashed(rows: DataFrame, means: dict, probes: int) -> DataFrame:
-    """One row per tree and probe: tree, hash, probe, key, ids, vec."""
+    """(key, ids, vec, dim, hashes): the hashes of every tree, those of all probes in each."""
 
     def run(frames):
         for frame in frames:
             for dim, part in frame.groupby(frame["vec"].map(len)):
                 x = np.array(part["vec"].tolist(), np.float64)
-                h = strings(x - means[dim], probes)
-                trees, kinds = h.shape[1], h.shape[2]
-                at = np.repeat(np.arange(len(part)), trees * kinds)
-                yield pd.DataFrame({
-                    "tree": dim * 1000 + np.tile(np.repeat(np.arange(trees), kinds), len(part)), "hash": h.reshape(-1), "probe": np.tile(np.arange(kinds), len(part) * trees).astype(np.int32),
-                    "key": part["key"].to_numpy()[at], "ids": part["ids"].to_numpy()[at], "vec": part["vec"].to_numpy()[at]})
+                yield part.assign(dim=np.int32(dim), hashes=strings(x - means[dim], probes).tolist())
 
-    return rows.select("key", "ids", "vec").mapInPandas(run, "tree long, hash long, probe int, key long, ids array<bigint>, vec array<double>")
+    return rows.select("key", "ids", "vec").mapInPandas(run, "key long, ids array<bigint>, vec array<double>, dim int, hashes array<array<bigint>>")
 
 
-def _common(a: np.ndarray, b: int) -> np.ndarray:
-    """Length of the common prefix, in characters."""
-    x = a ^ b
-    return CHARS - sum((x >> 8 * i > 0).astype(np.int64) for i in range(CHARS))
+def _prefixes(hashed: DataFrame, levels: list[int]) -> DataFrame:
+    """(key, dim, tree, level, prefix) of every hash; level 0, which all vectors of a dimension share, in the first tree only."""
+    each = hashed.select("key", "dim", F.posexplode("hashes").alias("tree", "hash")).select("key", "dim", "tree", F.explode("hash").alias("hash"))
+    each = each.select("*", F.explode(F.array(*map(F.lit, levels))).alias("level")).where("level > 0 or tree = 0")
+    return each.select("key", "dim", "tree", "level", F.expr(f"shiftright(hash, {BITS} * ({CHARS} - level))").alias("prefix"))
 
 
-def _walk(frame: pd.DataFrame, reach: int, k: int) -> list[tuple]:
-    """(query, tree, length, n, candidates) for the queries of one sorted stretch; one tree at a time."""
+def _nearest(frame: pd.DataFrame, k: int) -> list[tuple]:
+    """(query, distances, ids) of the best ``k + 1`` for the queries of each cell."""
     out = []
-    for _, part in frame.groupby("tree", sort=False):
-        items = part[~part["asks"]]
-        asks = part[part["asks"] & part["own"]]
+    for _, part in frame.groupby(["dim", "cell"], sort=False):
+        items, asks = part[~part["asks"]], part[part["asks"]].drop_duplicates("key")
         if not len(items) or not len(asks):
             continue
-        keys, hashes = items["key"].to_numpy(), items["hash"].to_numpy()
-        order = np.lexsort((keys, hashes))
-        keys, hashes = keys[order], hashes[order]
-        x = np.array(items["vec"].tolist(), np.float64)[order]
-        ids = items["ids"].to_numpy()[order]
+        x = np.array(items["vec"].tolist(), np.float64)
+        ids = items["ids"].to_numpy()
         least = np.array([v[0] for v in ids])
-        for key, h, vec in zip(asks["key"], asks["hash"], asks["vec"]):
-            place = int(np.searchsorted(hashes, h))
-            span = slice(max(0, place - reach), place + reach)
-            far = np.sqrt(((x[span] - np.asarray(vec, np.float64)) ** 2).sum(1))
-            length = _common(hashes[span], h)
-            ranked = np.lexsort((least[span], far))
-            for level in np.unique(length):
-                own = ranked[length[ranked] == level]
-                best = own[: k + 1]
-                out.append((key, int(level), len(own), far[best].tolist(), [list(ids[span][i]) for i in best]))
+        for key, vec in zip(asks["key"], asks["vec"]):
+            far = np.sqrt(((x - np.asarray(vec, np.float64)) ** 2).sum(1))
+            near = np.flatnonzero(far <= np.partition(far, k)[k]) if len(far) > k + 1 else np.arange(len(far))
+            best = near[np.lexsort((least[near], far[near]))][: k + 1]
+            out.append((key, far[best].tolist(), [list(ids[i]) for i in best]))
     return out
 
 
 def search(df: DataFrame, queries: Column, k: int = 10, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): the ``k`` nearest found of every row for which ``queries`` holds, nearest first."""
-    spark = df.sparkSession
     rows = materialise(distinct_vectors(df, k, id_column, vector))
     wanted = df.where(queries & usable(vector) & F.col(id_column).isNotNull()).select(
         F.col(id_column).cast("long").alias("query_id"), F.xxhash64(F.col(vector).cast("array<double>")).alias("key")).distinct()
-    n = rows.count()
-    reach = max(REACH, int(0.9 * n**0.5))
     sample = rows.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("vec").toPandas()["vec"]
     means = {dim: np.mean(np.array(part.tolist(), np.float64), axis=0) for dim, part in sample.groupby(sample.map(len))}
     for dim in (x[0] for x in rows.select(F.size("vec")).distinct().collect()):
         means.setdefault(dim, np.zeros(dim))
 
-    items = _hashed(rows, means, 1).withColumn("asks", F.lit(False))
-    asks = _hashed(rows.join(wanted.select("key").distinct(), "key", "left_semi"), means, PROBES).withColumn("asks", F.lit(True))
-    parts = max(4, TREES * n // ROWS)
-    arrays = items.union(asks).repartitionByRange(parts, "tree", "hash", "key").sortWithinPartitions("tree", "hash", "key")
-    arrays = materialise(arrays.withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
-    ends = arrays.groupBy("part").agg(F.max("row").alias("last"))
-    numbered = arrays.join(F.broadcast(ends), "part")  # one row per partition
-    border = F.array_compact(F.array(
-        F.struct(F.col("part").alias("to"), F.lit(True).alias("own")),
-        F.when(~F.col("asks") & (F.col("row") <= 2 * reach), F.struct((F.col("part") - 1).alias("to"), F.lit(False).alias("own"))),
-        F.when(~F.col("asks") & (F.col("row") >= F.col("last") - 2 * reach), F.struct((F.col("part") + 1).alias("to"), F.lit(False).alias("own")))))
-    dealt = numbered.withColumn("b", F.explode(border)).select("b.to", "b.own", "tree", "hash", "key", "ids", "vec", "asks")
+    items = materialise(_hashed(rows, means, 1))
+    asks = materialise(_hashed(rows.join(wanted.select("key").distinct(), "key", "left_semi"), means, PROBES))
+    cell = ["dim", "tree", "level", "prefix"]
+    every = list(range(CHARS + 1))
+    asked = _prefixes(asks, every).distinct()
+    counts = materialise(_prefixes(items, every).groupBy(*cell).count().join(asked.select(*cell).distinct(), cell, "left_semi"))
+    seen = asked.join(counts, cell).groupBy("key", "level").agg(F.sum("count").alias("n")).where(F.col("n") >= ENOUGH * TREES * PROBES)
+    reached = asks.select("key").join(seen.groupBy("key").agg(F.max("level").alias("level")), "key", "left").select("key", F.coalesce("level", F.lit(0)).alias("level"))
+    asked = materialise(asked.join(reached, ["key", "level"]))
+    cells = materialise(counts.join(asked.select(*cell).distinct(), cell, "left_semi").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")))
+    total = cells.agg(F.sum("count"), F.collect_set("level")).first()
+    parts = max(4, (total[0] or 0) // ROWS)
+    known = broadcast_if_small(cells.drop("count"), BROADCAST_ROWS)
+
+    def placed(found: DataFrame, block: Column) -> DataFrame:
+        return found.join(known, cell).withColumn("block", block).select("key", F.struct("dim", F.xxhash64(*cell, "block").alias("cell")).alias("at"))
+
+    def dealt(places: DataFrame, vectors: DataFrame, asking: bool) -> DataFrame:
+        places = places.groupBy("key").agg(F.collect_set("at").alias("at"))
+        each = vectors.select("key", "ids", "vec").join(places, "key").select("key", "ids", "vec", F.explode("at").alias("at"))
+        return each.select(F.pmod("at.cell", F.lit(parts)).alias("to"), "at.dim", "at.cell", "key", "ids", "vec", F.lit(asking).alias("asks"))
+
+    members = placed(_prefixes(items, sorted(total[1]) or [0]), F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    askers = placed(asked, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    both = dealt(members, items, False).union(dealt(askers, asks, True))
 
     def group(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_walk(frame, reach, k), columns=["key", "length", "n", "far", "ids"])
+        return pd.DataFrame(_nearest(frame, k), columns=["key", "far", "ids"])
 
-    walked = materialise(dealt.groupBy("to").applyInPandas(group, "key long, length int, n long, far array<double>, ids array<array<bigint>>"))
+    walked = materialise(both.groupBy("to").applyInPandas(group, "key long, far array<double>, ids array<array<bigint>>"))
 
-    levels = walked.groupBy("key", "length").agg(F.sum("n").alias("n"))
-    longer = Window.partitionBy("key").orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)
-    levels = levels.withColumn("seen", F.coalesce(F.sum("n").over(longer), F.lit(0))).where(F.col("seen") < ENOUGH * TREES * PROBES)
-    found = walked.join(levels.select("key", "length"), ["key", "length"]).select("key", F.explode(F.arrays_zip("far", "ids")).alias("c"))
+    found = walked.select("key", F.explode(F.arrays_zip("far", "ids")).alias("c"))
     found = found.select("key", F.col("c.far").alias("score"), F.explode("c.ids").alias("id")).distinct()
     near = Window.partitionBy("key").orderBy("score", "id")
     lists = found.withColumn("n", F.row_number().over(near)).where(F.col("n") <= k + 1).drop("n")

@@ -405,6 +405,20 @@ def test_forest_recall_and_empty(spark):
     assert forest.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_forest_takes_dense_clusters_whole(spark):
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(4500, 24))
+    vectors[:1500] = vectors[0] + 1e-4 * rng.normal(size=(1500, 24))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in forest.search(df, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    for q, near in brute_neighbours(rows, 100).items():
+        if q < 1500:
+            assert got[q] == {j for _, j in near}
+
+
 # --- pages
 
 
