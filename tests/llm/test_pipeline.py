@@ -44,6 +44,18 @@ def test_near_copy_stage_keeps_one_of_each_group(spark):
     assert len(got) == len(set(got)) and set(got) == groups
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.9, 0.95])
+def test_near_copy_stage_links_edited_copies(spark, similarity):
+    n, rows = 500, []
+    for i in range(20):
+        text = [f"d{i}w{j}" for j in range(n + 4)]
+        tail = round(n * (1 - similarity) / (1 + similarity) - 0.5)  # so many shingles differ on either side
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join([*text[: n + 4 - tail], *(f"e{i}w{j}" for j in range(tail))]))]
+    rows.append((1000, " ".join([f"d0w{j}" for j in range(400)] + [f"x{j}" for j in range(104)])))  # below 0.8
+    got = {r.doc_id for r in pipeline.no_near_copies(spark, table(spark, rows), SF).collect()}
+    assert got == {2 * i for i in range(20)} | {1000}
+
+
 def test_decontamination_stage(spark, tmp_path):
     spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     windows = brute_windows(ITEMS)
