@@ -56,6 +56,12 @@ def test_near_copy_stage_links_edited_copies(spark, similarity):
     assert got == {2 * i for i in range(20)} | {1000}
 
 
+def test_near_copy_stage_decides_by_row(spark):
+    rows = [(1, "one clean text of its own"), (1, "another text under the same id"), (None, "a first text without an id"), (None, "a second text without one"), (None, "one clean text of its own"), (None, "a second text without one")]
+    got = Counter((r.doc_id, r.text) for r in pipeline.no_near_copies(spark, table(spark, rows), SF).collect())
+    assert got == Counter([rows[0], rows[1], rows[2], rows[3]])
+
+
 def test_decontamination_stage(spark, tmp_path):
     spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     windows = brute_windows(ITEMS)
