@@ -42,7 +42,9 @@ IMPLIED = {
 }
 SCOPE = frozenset("table td th caption html button object".split())
 
-TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[[^\]]*+\]\]>|<[!?][^<>]*+>|</([a-zA-Z][^\s/<>]*+)[^<>]*+>|<([a-zA-Z][^\s/<>]*+)((?:[^<>\"']|\"[^\"]{0,20000}\"|'[^']{0,20000}')*+)>", re.S)
+TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[[^\]]*+\]\]>|<[!?][^<>]*+>|</([a-zA-Z][^\s/<>]*+)[^<>]*+>|<([a-zA-Z][^\s/<>]*+)", re.S)
+REST = re.compile(r"(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+")
+PLAIN = re.compile(r"[^<>\"']*+")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 SPACES = re.compile(r"[ \t\n\r\f]+")
@@ -74,6 +76,23 @@ class Node:
         return not ("style" in lower and INVISIBLE.search(self.attribute("style") or ""))
 
 
+def _tag_end(page: str, at: int, failed: set[int]) -> int:
+    """The place of the > that ends a start tag, or -1. ``failed``: quotes that led to none before, so each is followed once."""
+    met = []
+    while True:
+        at = PLAIN.match(page, at).end()
+        if page[at : at + 1] == ">":
+            return at
+        if page[at : at + 1] in ("", "<") or at in failed:
+            break
+        met.append(at)
+        at = page.find(page[at], at + 1) + 1
+        if not at:
+            break
+    failed.update(met)
+    return -1
+
+
 def parse(page: str) -> Node:
     """The tree of a page."""
     root = Node("html")
@@ -91,15 +110,24 @@ def parse(page: str) -> Node:
         if value:
             stack[-1].children.append(entities.unescape(value) if "&" in value else value)
 
-    at = 0
+    begin = at = 0
+    failed: set[int] | None = None
     while True:
         m = TOKEN.search(page, at)
         if not m:
-            text(page[at:])
+            text(page[begin:])
             return root
-        text(page[at : m.start()])
         at = m.end()
         end, start = m[1], m[2]
+        attributes = ""
+        if start:
+            stop = REST.match(page, at).end() if failed is None else _tag_end(page, at, failed)
+            if page[stop : stop + 1] != ">" or stop < 0:  # no tag, so text
+                failed = set() if failed is None else failed
+                continue
+            attributes, at = page[at:stop], stop + 1
+        text(page[begin : m.start()])
+        begin = at
         if end:
             end = end.lower()
             if end == "p" and not any(n.tag == "p" for n in stack):
@@ -118,14 +146,14 @@ def parse(page: str) -> Node:
                 close_to({"p"}, SCOPE)
             if tag == "body":
                 close_to({"head"}, set())
-            node = Node(tag, m[3] or "")
+            node = Node(tag, attributes)
             stack[-1].children.append(node)
             if tag in RAW:
                 closing = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
                 value = page[at : closing.start()]
                 if value:
                     node.children.append(entities.unescape(value) if tag in ("textarea", "title") else value)
-                at = closing.end()
+                begin = at = closing.end()
             elif tag not in VOID and not node.attributes.rstrip().endswith("/") or tag in ("p", "div", "a", "li", "td") and tag not in VOID:
                 if len(stack) < DEPTH:
                     stack.append(node)

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -438,6 +439,17 @@ def test_deep_and_broken_pages_keep_their_text():
         assert "deep" in html.page_text(page)
 
 
+def test_long_attributes_and_open_quotes():
+    assert html.page_text(f'a<img alt="pic" src="data:image/png;base64,{"x" * 1_000_000}">b') == "apicb"
+    assert html.page_text(f"a<div data-x='{'y' * 50_000}' hidden>no</div>b") == "ab"
+    page = "<a \"<a\" '<a' " * 100_000
+    began = time.time()
+    assert html.page_text(page) == " ".join(page.split())
+    assert time.time() - began < 20
+    row = "<table><tr>x <a 'y <td>1</table>"
+    assert html.page_text(row) == "x <a 'y  1"
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", None, 5), (None, None, "<p>x", 6), (1, "u", None, 5)], "page_id long, url string, html string, `_HTML` int")
     assert sorted((r.page_id or 0, r.text) for r in html.extract(pages).collect()) == [(0, "x"), (1, ""), (1, "")]
