@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from protoscan.fixed import GUIDE_LEN, LONG_FLANK, MAX_GAPS, PAM_LEN, SEARCH_MAX_EDITS, SEARCH_MAX_GAPS
+from protoscan.functions.seq import ColumnOrName, _col
 from protoscan.operators.align import UPSTREAM, align_whole
 from protoscan.operators.genome import site_contexts
 from protoscan.operators.scan import pam_windows
@@ -103,13 +104,14 @@ def _matcher(guides: list[str], max_edits: int, max_gaps: int):
     return hits
 
 
-def _searchable(guide: str) -> Column:
-    return F.coalesce(F.col(guide).rlike(f"^[ACGT]{{{GUIDE_LEN}}}$"), F.lit(False))
+def searchable(guide: ColumnOrName) -> Column:
+    """20 letters ACGT: the one rule for guides that are searched; all others are rejected."""
+    return F.coalesce(_col(guide).rlike(f"^[ACGT]{{{GUIDE_LEN}}}$"), F.lit(False))
 
 
 def rejected_guides(guides: DataFrame, guide: str = "guide") -> DataFrame:
     """The rows of ``guides`` that ``search`` cannot take."""
-    return guides.filter(~_searchable(guide))
+    return guides.filter(~searchable(guide))
 
 
 def search(guides: DataFrame, chunks: DataFrame, guide: str = "guide", max_edits: int = SEARCH_MAX_EDITS, max_gaps: int = SEARCH_MAX_GAPS, list_size: int = GUIDES_PER_LIST) -> DataFrame:
@@ -117,7 +119,7 @@ def search(guides: DataFrame, chunks: DataFrame, guide: str = "guide", max_edits
 
     Guides of another form are never cut; ``rejected_guides`` lists them.
     """
-    wanted = guides.select(F.col(guide).alias("guide")).filter(_searchable("guide")).distinct()
+    wanted = guides.select(F.col(guide).alias("guide")).filter(searchable("guide")).distinct()
     lists = max(1, math.ceil(wanted.count() / list_size))
     windows = pam_windows(chunks, UPSTREAM)
     found = None

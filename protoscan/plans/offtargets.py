@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from protoscan.functions.validate import guide_is_valid, normalise_guide
+from protoscan.functions.validate import normalise_guide
 from protoscan.operators.features import sequence_features
 from protoscan.operators.model import TreeEnsemble, score
 from protoscan.operators.post import drop_duplicates, format_results
-from protoscan.operators.search import aligned_hits, search
+from protoscan.operators.search import aligned_hits, search, searchable
+
+
+def bare_guide(guide: str = "guide") -> Column:
+    """The letters of a guide as the search takes them: upper case, T for U, no PAM."""
+    return F.regexp_replace(normalise_guide(guide), "NGG$", "")
 
 
 def offtarget_features(guides: DataFrame, chunks: DataFrame, shape_table) -> DataFrame:
     """Hits of every guide with alignment and features; guides may carry U or their PAM."""
-    clean = guides.select(normalise_guide("guide").alias("guide")).filter(guide_is_valid("guide")).distinct()
+    clean = guides.select(bare_guide().alias("guide")).filter(searchable("guide")).distinct()
     return sequence_features(aligned_hits(search(clean, chunks), chunks), shape_table)
 
 
 def rejected_offtarget_guides(guides: DataFrame) -> DataFrame:
-    """The given guides that no search is made for, as they were given."""
-    return guides.filter(~F.coalesce(guide_is_valid(normalise_guide("guide")), F.lit(False)))
+    """The given guides that no search is made for, as they were given: all that ``offtarget_features`` leaves out."""
+    return guides.filter(~searchable(bare_guide()))
 
 
 def score_offtargets(guides: DataFrame, chunks: DataFrame, shape_table, model: TreeEnsemble) -> DataFrame:

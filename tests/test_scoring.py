@@ -136,6 +136,22 @@ def test_offtarget_report_finds_the_planted_site(spark, shape):
     assert found[624, 646].mms_cnt == 1 and found[624, 646].pa_score == 19.0
 
 
+def test_every_given_guide_is_searched_or_rejected(spark, shape):
+    from protoscan.operators.genome import chunk_contigs
+
+    rng = random.Random(15)
+    around = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    bare = [around(20) for _ in range(4)]
+    given = [bare[0], bare[1].lower(), bare[2].replace("T", "U") + "AGG", bare[3] + "tgg", bare[0], bare[0][:19], bare[0] + "A", "N" + bare[0], bare[1] + "NN", bare[2][:10] + "N" + bare[2][11:], "", None]
+    seq = around(200) + "".join(g + "CGG" + around(200) for g in bare)
+    chunks = chunk_contigs(spark.createDataFrame([("chr1", seq)], "contig string, seq string"))
+    asked = spark.createDataFrame([(g,) for g in given], "guide string")
+    found = {r.guide for r in offtargets.offtarget_features(asked, chunks, shape).filter("edits = 0").select("guide").collect()}
+    rejected = [r.guide for r in offtargets.rejected_offtarget_guides(asked).collect()]
+    assert found == set(bare)
+    assert sorted(map(str, rejected)) == sorted(map(str, given[5:]))
+
+
 @pytest.mark.parametrize("small", [True, False])
 def test_missing_values_go_right_whatever_the_size(spark, monkeypatch, small):
     from protoscan.operators import model
