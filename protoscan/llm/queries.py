@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from protoscan.llm import bpe, decontam, forest, html, lines, lm, pii, quality, simhash, substring
+from protoscan.llm import bpe, decontam, forest, html, infill, lines, lm, negatives, pii, quality, rules, simhash, substring
 from protoscan.llm.common import fold, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str):
+def query(name: str, oracle: str | None = None):
     def register(f):
         QUERIES[name] = f
+        if oracle is not None:
+            ORACLES[name] = oracle
         return f
 
     return register
@@ -81,3 +83,33 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.remove_repeats(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op11_fill_in_middle", """
+with d as (select doc_id, coalesce(text, '') as text, sha256('7:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+e as (select doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') as units, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[25:32])::bigint as h4 from d),
+c as (select *, len(units) as n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) as a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) as b from e),
+f as (select *, case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form,
+ array_to_string(units[1:a], '') as p, array_to_string(units[a + 1:b], '') as m, array_to_string(units[b + 1:], '') as s from c)
+select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+ sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(text) as restored_sha256 from f""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.rearrange(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restore(), 256).alias("restored_sha256"))
+
+
+@query("op12_hard_negatives", """
+with r as (select distinct vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+ where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.id as anchor, c.id as other, a.label = c.label as same, cast(list_inner_product(a.v, c.v) as bigint) as score from r a join r c on a.id % 100 = 0 and a.id <> c.id and len(a.v) = len(c.v)),
+p as (select anchor, other as positive, score as top from s where same qualify row_number() over (partition by anchor order by score desc, other) <= 5),
+n as (select s.anchor, positive, other as negative, top, score, row_number() over (partition by s.anchor, positive order by score desc, other) as rank from p join s on s.anchor = p.anchor and not s.same and 80 * top <= 100 * score and score <= top)
+select anchor as anchor_id, positive as positive_id, cast(rank as integer) as rank, negative as negative_id, top as positive_score, score as negative_score from n where rank <= 5""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(load(spark, sf_dir, "embeddings").select("vec_id", "embedding", noisy.alias("label")), F.col("id") % 100 == 0)
+
+
+@query("op13_quality_rules")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.report(load(spark, sf_dir, "documents"))
