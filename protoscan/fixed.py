@@ -22,6 +22,8 @@ MAX_GAPS = 3
 # --- fixed values: off-target search ---------------------------------------
 SEARCH_MAX_EDITS = 4
 SEARCH_MAX_GAPS = 3
+#: Edits over guide and PAM together; the PAM's N counts as one.
+SEARCH_BUDGET = 5
 
 # --- fixed values: nucleotide codes ----------------------------------------
 NUCLEOTIDE_CODE = {"A": "1", "C": "2", "G": "3", "T": "4", "N": "0"}

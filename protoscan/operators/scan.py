@@ -10,7 +10,6 @@ from protoscan.operators.genome import HALO
 
 # Site patterns as read on the plus strand; the minus pattern is the mirror image.
 AG_OR_GG = ("[ACGT]{20}.[AG]G", "C[CT].[ACGT]{20}")
-PURINE_PAIR = ("[ACGT]{20}.[AG][AG]", "[CT][CT].[ACGT]{20}")
 
 
 def _windows(chunks: DataFrame, patterns: dict[str, str], flank: int) -> DataFrame:
@@ -61,14 +60,23 @@ def as_ontarget_pairs(sites: DataFrame, flank: int = SHORT_FLANK) -> DataFrame:
     })
 
 
-def pam_windows(chunks: DataFrame, upstream: int, patterns: tuple[str, str] = PURINE_PAIR) -> DataFrame:
-    """PAM occurrences with ``upstream`` letters before them, read on their own strand.
+def pam_windows(chunks: DataFrame, upstream: int, least: int) -> DataFrame:
+    """PAMs of two purines with the ``upstream`` letters before them, read on their own strand.
 
-    contig, strand, pam_edge (plus-strand position of the last PAM letter) and window
-    (``upstream`` + 3 letters). Used by the genome search, where the guide may take up
-    more or fewer than 20 letters.
+    contig, strand, pam_edge (plus-strand position of the last PAM letter) and window (``upstream`` + 3 letters). At
+    least ``least`` letters next to the PAM are A, C, G or T; the others may be anything, and are dots
+    beyond the ends of the contig.
     """
-    body = f"[ACGT]{{{upstream}}}"
-    windows = _windows(chunks, {s: p.replace("[ACGT]{20}", body) for s, p in zip("+-", patterns)}, 0)
+    spare = upstream - least
+    outer = F.lit("." * spare)
+    opens = F.col("chunk_start") == 0
+    closes = F.col("chunk_start") + F.length("seq") >= F.col("contig_length")
+    # the dots before a contig's first letter count as letters of its first chunk
+    padded = chunks.select(
+        "contig", (F.col("chunk_start") - F.when(opens, spare).otherwise(0)).alias("chunk_start"),
+        (F.col("core_length") + F.when(opens, spare).otherwise(0)).alias("core_length"),
+        F.concat(F.when(opens, outer).otherwise(""), F.col("seq"), F.when(closes, outer).otherwise("")).alias("seq"),
+    )
+    windows = _windows(padded, {"+": f".{{{spare}}}[ACGT]{{{least}}}.[AG][AG]", "-": f"[CT][CT].[ACGT]{{{least}}}.{{{spare}}}"}, 0)
     edge = F.when(F.col("strand") == "+", F.col("window_start") + upstream + PAM_LEN - 1).otherwise(F.col("window_start"))
     return windows.select("contig", "strand", edge.alias("pam_edge"), oriented("window", "strand").alias("window"))

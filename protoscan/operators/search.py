@@ -1,107 +1,87 @@
 """Genome-wide search for sites a guide may bind, mismatches and gaps included.
 
-PAM positions are found by the chunk scan, so the genome stays spread over its chunks and
-is never shuffled. Guides are the small side: they are counted, and sent to the tasks in
-lists of bounded length. A longer guide table is worked through list by list, each with a
-scan of its own.
-
-For every PAM with two purines the 23 letters before it are compared with each guide. The
-distance counts mismatches and gaps, with at most four edits and three gaps. Comparison
-starts at the PAM; the ten letters next to it alone rule out most pairs. Every site within
-the limits is reported. A seed-based aligner prunes a little more, so its hits are a
-subset of these.
+PAM positions are found by the chunk scan, so the genome stays spread over its chunks, is read once and
+is never shuffled. The guides go to the tasks (20 bytes each, counted first) and are indexed there by the
+edited forms of their halves (``guide_index``): windows are looked up, and only the pairs that the index
+finds are compared. A list longer than ``GUIDES_PER_PASS`` is split, each part with a pass of its own.
+
+A hit is a span of 17 to 23 letters before a PAM with two purines that the guide fits with at most
+``max_edits`` edits (mismatches and gap letters), of which ``max_gaps`` may be gap letters. The whole site
+has a budget too: the PAM's N costs one edit and each A in its last two letters another. Every such span is
+reported, so a PAM usually has several rows per guide; ``drop_duplicates`` later keeps the best by score.
+Where fewer than 23 letters lie before a PAM (the end of a contig, an N), spans are as long as what is there.
+A seed-based aligner prunes a little more, so its hits are a subset of these.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
-from protoscan.fixed import GUIDE_LEN, LONG_FLANK, MAX_GAPS, PAM_LEN, SEARCH_MAX_EDITS, SEARCH_MAX_GAPS
+from protoscan.fixed import GUIDE_LEN, LONG_FLANK, PAM_LEN, SEARCH_BUDGET, SEARCH_MAX_EDITS, SEARCH_MAX_GAPS
 from protoscan.functions.seq import ColumnOrName, _col
-from protoscan.operators.align import UPSTREAM, align_whole
+from protoscan.operators.align import align_whole
 from protoscan.operators.genome import site_contexts
+from protoscan.operators.guide_index import BAD, GuideIndex, codes
 from protoscan.operators.scan import pam_windows
 
-GUIDES_PER_LIST = 20_000
-_PAIRS_AT_ONCE = 400_000
-_SEED = 10
-# spans tried in this order on equal edits: 20 letters, then one off, and so on
-_SPAN_PREFERENCE = (0, -1, 1, -2, 2, -3, 3)
-
-HITS = T.ArrayType(T.StructType([
-    T.StructField("guide", T.StringType()), T.StructField("span", T.IntegerType()), T.StructField("edits", T.IntegerType()),
-]))
-
-
-def edit_table(guide: np.ndarray, dna: np.ndarray, max_gaps: int = SEARCH_MAX_GAPS) -> dict[int, np.ndarray]:
-    """Fewest edits of each guide against the last len+surplus site letters, per surplus."""
-    n, g_len = guide.shape
-    d_len = dna.shape[1]
-    here: dict[tuple[int, int], np.ndarray] = {}
-    for row in range(g_len + 1):
-        above, here = here, {}
-        for surplus in range(-max_gaps, max_gaps + 1):
-            used = row + surplus
-            if used < 0 or used > d_len:
-                continue
-            differs = None
-            for gaps in range(abs(surplus), max_gaps + 1):
-                options = []
-                if row and used and (gaps, surplus) in above:
-                    if differs is None:
-                        differs = (guide[:, g_len - row] != dna[:, d_len - used]).view(np.uint8)
-                    options.append(above[gaps, surplus] + differs)
-                if (gaps - 1, surplus - 1) in here:
-                    options.append(here[gaps - 1, surplus - 1] + np.uint8(1))
-                if row and (gaps - 1, surplus + 1) in above:
-                    options.append(above[gaps - 1, surplus + 1] + np.uint8(1))
-                best = options[0] if options else np.zeros(n, dtype=np.uint8)
-                for o in options[1:]:
-                    best = np.minimum(best, o)
-                here[gaps, surplus] = best
-    return {s: here[max_gaps, s] for s in range(-max_gaps, max_gaps + 1) if (max_gaps, s) in here}
-
-
-def match_block(windows: np.ndarray, guides: np.ndarray, max_edits: int, max_gaps: int) -> list[tuple[int, int, int, int]]:
-    """(window, guide, span, edits) of all pairs within the limits."""
-    out = []
-    per_block = max(1, _PAIRS_AT_ONCE // max(1, len(guides)))
-    for low in range(0, len(windows), per_block):
-        part = windows[low:low + per_block]
-        w = np.repeat(np.arange(len(part)), len(guides))
-        g = np.tile(np.arange(len(guides)), len(part))
-        near = edit_table(guides[g][:, -_SEED:], part[w][:, -(_SEED + max_gaps):], max_gaps)
-        alive = np.flatnonzero(np.minimum.reduce(list(near.values())) <= max_edits)
-        w, g = w[alive], g[alive]
-        if not len(w):
-            continue
-        whole = edit_table(guides[g], part[w], max_gaps)
-        order = [s for s in _SPAN_PREFERENCE if s in whole]
-        edits = np.stack([whole[s] for s in order], axis=1)
-        pick = edits.argmin(axis=1)
-        best = edits[np.arange(len(w)), pick]
-        for r in np.flatnonzero(best <= max_edits):
-            out.append((low + int(w[r]), int(g[r]), GUIDE_LEN + order[pick[r]], int(best[r])))
-    return out
-
-
-def _matcher(guides: list[str], max_edits: int, max_gaps: int):
-    letters = np.frombuffer("".join(guides).encode("ascii"), dtype=np.uint8).reshape(-1, GUIDE_LEN)
-
-    @F.pandas_udf(HITS)
-    def hits(window: pd.Series) -> pd.Series:
-        found: list[list[dict]] = [[] for _ in range(len(window))]
-        if len(window):
-            block = np.frombuffer("".join(window).encode("ascii"), dtype=np.uint8).reshape(len(window), -1)[:, :UPSTREAM]
-            for w, g, span, edits in match_block(block, letters, max_edits, max_gaps):
-                found[w].append({"guide": guides[g], "span": span, "edits": edits})
-        return pd.Series(found)
-
-    return hits
+GUIDES_PER_PASS = 1_000_000
+GUIDES_PER_INDEX = 2_000
+WINDOWS_AT_ONCE = 200_000
+
+HIT = "contig string, strand string, pam_edge bigint, guide string, span int, edits int"
+
+
+@lru_cache(maxsize=1)
+def _index(guides: str, max_edits: int, max_gaps: int) -> GuideIndex:
+    return GuideIndex(codes([guides], len(guides)).reshape(-1, GUIDE_LEN), max_edits, max_gaps)
+
+
+def _usable(windows: np.ndarray) -> np.ndarray:
+    """Letters ACGT next to the PAM, without a break."""
+    bad = windows[:, ::-1] == BAD
+    return np.where(bad.any(axis=1), bad.argmax(axis=1), windows.shape[1])
+
+
+def _matcher(guides: str, max_edits: int, max_gaps: int, budget: int):
+    """The function over batches of windows; ``guides``: the letters of all guides."""
+    upstream = GUIDE_LEN + max_gaps
+    per_index = GUIDES_PER_INDEX * GUIDE_LEN
+
+    def match(table: pa.Table) -> pa.RecordBatch:
+        letters = codes(table["window"].to_pylist(), upstream + PAM_LEN)
+        pam = letters[:, -2:]
+        spent = 1 + (pam != codes(["G"], 1)[0, 0]).sum(axis=1)
+        windows = letters[:, :upstream]
+        have, limits = _usable(windows), np.minimum(max_edits, budget - spent)
+        parts = []
+        for low in range(0, len(guides), per_index):
+            part = guides[low : low + per_index]
+            w, g, span, edits = _index(part, max_edits, max_gaps).hits(windows, have, limits)
+            parts.append((w, g + low // GUIDE_LEN, span, edits))
+        w, g, span, edits = map(np.concatenate, zip(*parts))
+        at = pa.array(w)
+        names = [guides[i * GUIDE_LEN : (i + 1) * GUIDE_LEN] for i in g.tolist()]
+        columns = [table[c].combine_chunks().take(at) for c in ("contig", "strand", "pam_edge")]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(span, pa.int32()), pa.array(edits, pa.int32())], names=["contig", "strand", "pam_edge", "guide", "span", "edits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= WINDOWS_AT_ONCE:
+                yield match(pa.Table.from_batches(held))
+                held, rows = [], 0
+        if rows:
+            yield match(pa.Table.from_batches(held))
+
+    return run
 
 
 def searchable(guide: ColumnOrName) -> Column:
@@ -114,31 +94,30 @@ def rejected_guides(guides: DataFrame, guide: str = "guide") -> DataFrame:
     return guides.filter(~searchable(guide))
 
 
-def search(guides: DataFrame, chunks: DataFrame, guide: str = "guide", max_edits: int = SEARCH_MAX_EDITS, max_gaps: int = SEARCH_MAX_GAPS, list_size: int = GUIDES_PER_LIST) -> DataFrame:
+def search(
+    guides: DataFrame, chunks: DataFrame, guide: str = "guide", max_edits: int = SEARCH_MAX_EDITS, max_gaps: int = SEARCH_MAX_GAPS,
+    budget: int = SEARCH_BUDGET, list_size: int = GUIDES_PER_PASS,
+) -> DataFrame:
     """Rows guide, contig, strand, start, end, edits for guides of 20 letters ACGT (no PAM).
 
-    Guides of another form are never cut; ``rejected_guides`` lists them.
+    Guides of another form are never cut; ``rejected_guides`` lists them. ``edits`` are those of the guide's own letters.
     """
     wanted = guides.select(F.col(guide).alias("guide")).filter(searchable("guide")).distinct()
     lists = max(1, math.ceil(wanted.count() / list_size))
-    windows = pam_windows(chunks, UPSTREAM)
+    windows = pam_windows(chunks, GUIDE_LEN + max_gaps, GUIDE_LEN - max_gaps)
     found = None
     for i in range(lists):
         part = wanted if lists == 1 else wanted.filter(F.pmod(F.xxhash64("guide"), F.lit(lists)) == i)
-        names = sorted(r[0] for r in part.collect())
-        if not names:
-            continue
-        hit = windows.withColumn("_hit", F.explode(_matcher(names, max_edits, max_gaps)("window")))
-        found = hit if found is None else found.unionByName(hit)
-    if found is None:
-        found = windows.withColumn("_hit", F.explode(F.lit(None).cast(HITS)))
-    length = F.col("_hit.span") + PAM_LEN
+        letters = "".join(sorted(part.toArrow()["guide"].to_pylist()))
+        matched = (windows if letters else windows.limit(0)).mapInArrow(_matcher(letters, max_edits, max_gaps, budget), HIT)
+        found = matched if found is None else found.unionByName(matched)
+    length = F.col("span") + PAM_LEN
     plus = F.col("strand") == "+"
     return found.select(
-        F.col("_hit.guide").alias("guide"), "contig", "strand",
+        "guide", "contig", "strand",
         F.when(plus, F.col("pam_edge") - length + 1).otherwise(F.col("pam_edge")).alias("start"),
         F.when(plus, F.col("pam_edge")).otherwise(F.col("pam_edge") + length - 1).alias("end"),
-        F.col("_hit.edits").alias("edits"),
+        "edits",
     )
 
 

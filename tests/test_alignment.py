@@ -137,19 +137,59 @@ def test_search_equals_brute_force(spark):
         if i % 2:
             s = s[::-1].translate(str.maketrans("ACGT", "TGCA"))
         parts.append(s + "".join(rng.choice("ACGT") for _ in range(9)))
-    seq = "ACGTACGT" * 4 + "".join(parts) + "ACGTACGT" * 4
-    chunks = chunk_contigs(spark.createDataFrame([("c", seq)], "contig string, seq string"), size=128, halo=64)
+    # a site at the very start and one at the very end, one with an N three letters out, both strands
+    flip = lambda x: x[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    seq = guides[0] + "TGG" + "ACGTACGT" * 4 + "".join(parts) + "NN" + guides[1][1:] + "CGGA" + "N" + guides[2] + "AGG" + flip(guides[3] + "TGG") + "N" + "ACGTACGT" * 4 + flip(guides[1] + "AGG")
+    chunks = chunk_contigs(spark.createDataFrame([("c", seq), ("tiny", guides[2] + "CGG"), ("none", "ACG"), ("", ""), ("edge", "A" * 100 + flip(guides[0] + "AGG") + "CC")], "contig string, seq string"), size=64, halo=64)
+    contigs = {"c": seq, "tiny": guides[2] + "CGG", "edge": "A" * 100 + flip(guides[0] + "AGG") + "CC"}
     asked = spark.createDataFrame([(g,) for g in guides + guides[:1]], "guide string")
+    want = set()
+    for name, plus in contigs.items():
+        for strand, s in (("+", plus), ("-", flip(plus))):
+            for end in range(20, len(s) + 1):
+                if set(s[end - 2:end]) <= set("AG"):
+                    for n in range(17, 24):
+                        span = s[end - 3 - n:end - 3] if end - 3 - n >= 0 else ""
+                        if span and set(span) <= set("ACGT"):
+                            for g in guides:
+                                edits = fewest_edits(g, span)
+                                if edits <= 4 and edits + 1 + s[end - 2:end].count("A") <= 5:
+                                    first = end - 3 - n + 1
+                                    want.add((g, name, strand, first, end, edits) if strand == "+" else (g, name, strand, len(s) - end + 1, len(s) - first + 1, edits))
     for list_size in (100, 2):
-        got = sorted((r.guide, r.strand, r.start, r.end, r.edits) for r in search.search(asked, chunks, list_size=list_size).collect())
-        want = []
-        for strand, s in (("+", seq), ("-", seq[::-1].translate(str.maketrans("ACGT", "TGCA")))):
-            for i in range(len(s) - 25):
-                if set(s[i + 24:i + 26]) <= set("AG"):
-                    for g in guides:
-                        edits = {n: fewest_edits(g, s[i + 23 - n:i + 23]) for n in (20, 19, 21, 18, 22, 17, 23)}
-                        span, best = min(edits.items(), key=lambda t: t[1])
-                        if best <= 4:
-                            first, last = i + 23 - span + 1, i + 26
-                            want.append((g, strand, first, last, best) if strand == "+" else (g, strand, len(s) - last + 1, len(s) - first + 1, best))
-        assert got == sorted(want) and len(got) > 20
+        got = [(r.guide, r.contig, r.strand, r.start, r.end, r.edits) for r in search.search(asked, chunks, list_size=list_size).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert (guides[0], "c", "+", 1, 23, 0) in want and (guides[2], "tiny", "+", 1, 23, 0) in want and (guides[0], "c", "+", 2, 23, 1) in want
+    ungapped = search.search(asked, chunks, max_gaps=0).collect()
+    assert {(r.guide, r.contig, r.strand, r.start, r.end) for r in ungapped} <= {x[:5] for x in want}
+    assert all(r.end - r.start == 22 for r in ungapped) and any(r.start == 1 for r in ungapped)
+
+
+def test_guide_index_loses_nothing(monkeypatch):
+    from protoscan.operators import guide_index
+
+    rng = np.random.default_rng(12)
+    guides = rng.integers(0, 4, (40, 20)).astype(np.uint8)
+    windows, have = rng.integers(0, 4, (3000, 23)).astype(np.uint8), np.full(3000, 23)
+    for i in range(2000):  # edited copies
+        w = guides[rng.integers(40)].tolist()
+        for _ in range(rng.integers(0, 6)):
+            at = int(rng.integers(len(w)))
+            w[at:at + 1] = [[], [int(rng.integers(4))], [w[at], int(rng.integers(4))]][rng.integers(3)]
+        w = (rng.integers(0, 4, 23).tolist() + w)[-23:]
+        windows[i] = w
+    have[::7] = 18
+    windows[::7, :5] = guide_index.BAD
+    limits = rng.integers(-1, 5, 3000)
+    monkeypatch.setattr(guide_index, "PAIRS_AT_ONCE", 100)
+    for gaps in (0, 2, 3):
+        index = guide_index.GuideIndex(guides, 4, gaps)
+        got = set(zip(*(x.tolist() for x in index.hits(windows, have, limits))))
+        w, g = np.divmod(np.arange(3000 * 40), 40)
+        want = set()
+        for surplus, edits in guide_index.edit_table(guides[g], windows[w], gaps).items():
+            fits = np.flatnonzero((edits <= limits[w]) & (have[w] >= 20 + surplus))
+            want |= set(zip(w[fits].tolist(), g[fits].tolist(), [20 + surplus] * len(fits), edits[fits].tolist()))
+        assert got == want and len(want) > 300
+    tested = sum(len(guide_index.GuideIndex(guides, 4, 3).candidates(windows[2000:], have[2000:], k)) for k in (2, 3, 4))
+    assert tested < 0.02 * 3 * 1000 * 40  # random windows meet few guides

@@ -10,7 +10,7 @@ from workloads import catalogue
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-WITHOUT_SQL = {"rf_train_predict", "offtarget_search", "offtarget_end_to_end", "locus_scoring_end_to_end"}
+WITHOUT_SQL = {"rf_train_predict", "locus_scoring_end_to_end"}
 
 
 @pytest.fixture(scope="module")

@@ -12,7 +12,7 @@ from protoscan.sources.pairs import guides_in_text
 from protoscan.sources.sam import parse_hits
 from workloads import tracks as track_queries
 from workloads.base import CONTIGS_SQL, NEAR_PAIRS, SITES, Derived, contigs, dna, layered, query, table
-from workloads.sequence import NEAR_ALIGNED_SQL, shape_table, sql_codes, sql_count, sql_features, sql_rc, sql_scan_context
+from workloads.sequence import NEAR_ALIGNED_SQL, shape_table, sql_codes, sql_count, sql_features, sql_global, sql_rc, sql_scan, sql_scan_context
 
 # --- models -----------------------------------------------------------------------------
 # Stand-ins for trained members, made by rule. Leaf values are eighths, so sums are exact.
@@ -192,26 +192,59 @@ def benchmark_guides(spark, d) -> DataFrame:
 _BENCH_SQL = "(select concat('item', cast(item_id as string)) as contig, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) as seq from benchmark)"
 
 
-@query("offtarget_search_ungapped", f"""
-with b as ({_BENCH_SQL[1:-1]}), g as (select distinct left(s, 20) as guide from (
- select substr(seq, i, 23) as s from (select seq, unnest(range(1, length(seq) - 21)) as i from b where length(seq) >= 23) union all
- select substr(seq, i, 23) from (select seq, unnest(range(1, length(seq) - 21)) as i from (select {sql_rc('seq')} as seq from b) where length(seq) >= 23)) where regexp_full_match(s, '[ACGT]{{20}}.[AG]G')),
-w as (select contig, '+' as strand, i + 3 as start, i + 25 as "end", substr(seq, i + 3, 20) as p from (select contig, seq, unnest(range(1, length(seq) - 24)) as i from {CONTIGS_SQL} where length(seq) >= 26) where regexp_full_match(substr(seq, i + 24, 2), '[AG]{{2}}')
- union all select contig, '-', length(s) - i - 24, length(s) - i - 2, substr(s, i + 3, 20) from (select contig, {sql_rc('seq')} as s, unnest(range(1, length(seq) - 24)) as i from {CONTIGS_SQL} where length(seq) >= 26) where regexp_full_match(substr(s, i + 24, 2), '[AG]{{2}}'))
-select guide, contig, strand, start, "end", cast(hamming(guide, p) as bigint) as edits from g, w where hamming(guide, p) <= 4""")
+_GUIDES_SQL = f"""(select distinct left(site, 20) as guide from {sql_scan(0, _BENCH_SQL)})"""
+
+
+def sql_hits(max_gaps: int = 3) -> str:
+    """guide, contig, strand, start, end, d (letters before the PAM), pam, edits of all spans within the limits, from the rule.
+
+    Edits are the edit distance. With four edits at most and three gap letters at most the two differ only where
+    four gap letters are the one way: those pairs are walked step by step.
+    """
+    spans = f"range({20 - max_gaps}, {21 + max_gaps})"
+    distance = "levenshtein(guide, d)" if max_gaps else "hamming(guide, d)"
+    # a span of another length is at most three edits from the one of 20 letters
+    rough = f"{distance.split('(')[0]}(guide, right(letters, 20))"
+    return f"""(with recursive s as (select contig, '+' as strand, seq as s from {CONTIGS_SQL} union all select contig, '-', {sql_rc('seq')} from {CONTIGS_SQL}),
+e as (select contig, strand, s, length(s) as n, unnest(range(3, length(s) + 1)) as e from s),
+p as (select contig, strand, n, e, substr(s, greatest(e - 25, 1), least(23, e - 3)) as letters, substr(s, e - 2, 3) as pam, length(replace(substr(s, e - 1, 2), 'G', '')) as spent from e where regexp_full_match(substr(s, e - 1, 2), '[AG]{{2}}')),
+near as (select * from {_GUIDES_SQL} g, p where length(letters) >= {20 - max_gaps} and {rough} + 1 + spent <= 5 + {max_gaps}),
+w as (select guide, contig, strand, n, e, pam, spent, l, right(letters, l) as d from near, (select unnest({spans}) as l) where l <= length(letters)),
+c as (select *, {distance} as edits from w where {distance} + 1 + spent <= 5),
+hard as (select row_number() over () as id, * from c where {max_gaps} > 0 and edits = 4 and l % 2 = 0),
+walk(id, i, j, gaps, edits) as (select id, 0, 0, 0, 0 from hard union
+ select id, walk.i + m.i, walk.j + m.j, gaps + m.gap, walk.edits + case when m.gap = 1 or substr(guide, walk.i + 1, 1) <> substr(d, walk.j + 1, 1) then 1 else 0 end
+ from walk join hard h using (id), (values (1, 1, 0), (1, 0, 1), (0, 1, 1)) m(i, j, gap)
+ where walk.i + m.i <= 20 and walk.j + m.j <= l and gaps + m.gap <= {max_gaps} and walk.edits + case when m.gap = 1 or substr(guide, walk.i + 1, 1) <> substr(d, walk.j + 1, 1) then 1 else 0 end <= 4),
+kept as (select h.* exclude (id) from hard h join (select distinct id, i, j from walk) r using (id) where r.i = 20 and r.j = l union all select * from c where not ({max_gaps} > 0 and edits = 4 and l % 2 = 0))
+select guide, contig, strand, case strand when '+' then e - 2 - l else n - e + 1 end as start, case strand when '+' then e else n - (e - 2 - l) + 1 end as "end", d, pam, l, edits from kept)"""
+
+
+@query("offtarget_search_ungapped", f"""select guide, contig, strand, start, "end", edits from {sql_hits(0)}""")
 def offtarget_search_ungapped(spark, d):
     return search.search(benchmark_guides(spark, d), genome.chunk_contigs(contigs(spark, d)), max_gaps=0)
 
 
-@query("offtarget_search")
+@query("offtarget_search", f"""select guide, contig, strand, start, "end", edits from {sql_hits()}""")
 def offtarget_search(spark, d):
     return search.search(benchmark_guides(spark, d), genome.chunk_contigs(contigs(spark, d)))
 
 
-@query("offtarget_end_to_end")
+_HITS_SQL = f"""(select row_number() over () as k, h.*, case strand when '+' then substr(seq, start - 100, "end" - start + 201) else {sql_rc('substr(seq, start - 100, "end" - start + 201)')} end as context, concat(d, pam) as site, 100 as flank
+ from {sql_hits()} h join {CONTIGS_SQL} s using (contig) where start > 100 and "end" + 100 <= length(seq))"""
+
+
+@query("offtarget_end_to_end", f"""
+with h as materialized (select * from {_HITS_SQL}),
+t as materialized (select h.*, concat(z.a, 'NGG') as aln_rna, concat(z.b, pam) as aln_dna, z.s / 4.0::double as pa_score from h join {sql_global('(select k, guide as g, d, 23 - l as f from h)')} using (k)),
+s as materialized (select t.guide, t.contig as chrom, t.strand, t.start, t."end", t.aln_rna, t.aln_dna, f.pa_score, mms_cnt, total_bulges, {sql_score(stump_rows())} as score from {sql_features('t')} f join (select k, guide, contig, strand, start, "end", aln_rna, aln_dna from t) t using (k)),
+one as (select * from s qualify row_number() over (partition by guide, chrom, strand, start order by score desc, "end") = 1),
+two as (select * from one qualify row_number() over (partition by guide, chrom, strand, "end" order by score desc, start) = 1)
+select *, row_number() over (partition by guide order by score desc, chrom, strand, start, "end") as rank from two""")
 def offtarget_end_to_end(spark, d):
     chunks = genome.chunk_contigs(contigs(spark, d))
-    return offtargets.offtarget_report(benchmark_guides(spark, d), chunks, load_table(shape_table(spark)), ensemble(spark, stump_rows(), "flanking"))
+    report = offtargets.offtarget_report(benchmark_guides(spark, d), chunks, load_table(shape_table(spark)), ensemble(spark, stump_rows(), "flanking"))
+    return report.select("guide", "chrom", "strand", "start", "end", "aln_rna", "aln_dna", "pa_score", "mms_cnt", "total_bulges", "score", "rank")
 
 
 # --- assembly catalog --------------------------------------------------------------------------------

@@ -262,7 +262,14 @@ def align_ungapped(spark, d):
 
 
 def sql_gapped(rel: str) -> str:
-    """Best placement by dynamic programming in SQL: one row per frame, one CTE per guide letter.
+    """Best placement by dynamic programming in SQL: the best of the seven frames."""
+    preference = "case f when 3 then 7 when 4 then 6 when 2 then 5 when 5 then 4 when 1 then 3 when 6 then 2 else 1 end"
+    frames = f"(select k, guide as g, f, substr(upstream, f + 1) as d from (select k, guide, upstream, unnest(range(0, 7)) as f from {rel}))"
+    return f"(select k, max_by(z, z.s * 10 + {preference}) as z, max_by(f, z.s * 10 + {preference}) as frame from {sql_global(frames)} group by k)"
+
+
+def sql_global(rel: str) -> str:
+    """k, f and z (score times four, aligned texts) of a guide g of 20 letters and d of 23 - f letters; one CTE per guide letter.
 
     A cell holds score times four and both aligned texts for a surplus s of site letters and
     at most g gaps. Steps are preferred diagonal, then site letter alone, then guide letter alone.
@@ -272,7 +279,7 @@ def sql_gapped(rel: str) -> str:
     def name(g: int, s: int) -> str:
         return f"c{g}{'m' if s < 0 else 'p'}{abs(s)}"
 
-    ctes = [f"f as materialized (select k, f, g, substr(upstream, f + 1) as d from (select k, guide as g, upstream, unnest(range(0, 7)) as f from {rel}))"]
+    ctes = [f"f as materialized (select k, f, g, d from {rel})"]
     for j in range(21):
         prev = "f" if j == 0 else f"r{j - 1}"
         previous_names = set() if j == 0 else {name(*c) for c in cells if j - 1 + c[1] >= 0}
@@ -312,8 +319,7 @@ def sql_gapped(rel: str) -> str:
         else:
             ctes.append(f"r{j} as materialized (select * from {stage})")
     last = "case f " + " ".join(f"when {f} then {name(3, 3 - f)}" for f in range(7)) + " end"
-    preference = "case f when 3 then 7 when 4 then 6 when 2 then 5 when 5 then 4 when 1 then 3 when 6 then 2 else 1 end"
-    return f"(with {', '.join(ctes)}, e as (select k, f, {last} as z, {preference} as p from r20) select k, max_by(z, z.s * 10 + p) as z, max_by(f, z.s * 10 + p) as frame from e group by k)"
+    return f"(with {', '.join(ctes)} select k, f, {last} as z from r20)"
 
 
 @query("align_gapped", f"""
