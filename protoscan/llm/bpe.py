@@ -8,8 +8,9 @@ once, from the left; a merge never makes a pair of a lower rank than itself, so
 same, in fewer rounds. Decoding joins ids with the vocabulary and gathers the bytes by an
 ordered aggregation.
 
-Spark deals out the documents; there is no shuffle. A worker keeps the words that it has encoded,
-``KEPT`` at most, then starts anew, so memory does not grow with the corpus.
+Spark deals out the documents; there is no shuffle. Encoding and decoding share one pass and one connection per worker. A
+worker keeps the words that it has encoded, ``KEPT`` at most, then starts anew, so memory does not grow with the corpus; all
+is let go when the worker turns to another operator.
 
 Null texts count as empty and give no ids. Ids unknown to the vocabulary fail on decoding.
 """
@@ -18,35 +19,34 @@ from __future__ import annotations
 
 import base64
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from protoscan.llm.common import columns, fields, map_batches, others
+from protoscan.llm.common import columns, fields, map_batches, others, worker_state
 
 LONG = 256
-KEPT = 400_000
+KEPT = 500_000
 CHUNK_BYTES = 400_000
 
+#: A row knows its place (256 times the number of its word and its first byte) and the place of the token behind it, -1 for none.
 ENCODE = """
-with recursive step(word, pos, tok, live) as (
-    select word, pos, tok, true from chars
+with recursive step(spot, next, tok, live) as (
+    select spot, next, tok, true from chars
     union all
-    (with paired as (
-        select s.word, s.pos, s.tok, s.next_pos, m.merged, m.merged::bigint * 4294967296 + s.pos as key
-        from (select word, pos, tok, lead(tok) over along as next_tok, lead(pos) over along as next_pos
-              from step where live window along as (partition by word order by pos)) s
-        left join merges m on m.l = s.tok and m.r = s.next_tok),
+    (with held as (select spot, next, tok from step where live),
+     paired as (
+        select a.spot, a.next, b.next as after, m.merged, m.merged::bigint * 4294967296 + a.spot as key
+        from held a join held b on a.next = b.spot join merges m on m.l = a.tok and m.r = b.tok),
      best as (
-        select word, min(key) as key, arg_min(next_pos, key) as gone, arg_min(merged, key) as merged
-        from paired group by word)
-     select p.word, p.pos, case when p.key = b.key then b.merged else p.tok end, b.key is not null
-     from paired p join best b on p.word = b.word
-     where b.gone is null or p.pos <> b.gone)
+        select spot >> 8 as word, (min(key) & 4294967295)::int as here, arg_min(next, key) as gone, arg_min(after, key) as after, arg_min(merged, key) as merged
+        from paired group by spot >> 8)
+     select h.spot, case when h.spot = b.here then b.after else h.next end, case when h.spot = b.here then b.merged else h.tok end, b.here is not null
+     from held h left join best b on h.spot >> 8 = b.word
+     where b.gone is null or h.spot <> b.gone)
 )
-select word, tok from step where not live order by word, pos
+select spot >> 8 as word, tok from step where not live order by spot
 """
 
 ENCODE_LONG = """
@@ -89,18 +89,24 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-class Vocabulary:
-    """One worker's connection and token table; decodes."""
+class Coder:
+    """One worker's connection with its token and merge tables, and the words met so far."""
 
     def __init__(self, path: str):
         import duckdb
 
         self.ranks = read_ranks(path)
+        self.known: dict[str, bytes] = {}
+        self.patterns: dict = {}
         self.db = duckdb.connect()
-        self.db.execute("set threads = 1")
-        self.db.execute("set memory_limit = '250MB'")
+        for setting in ("threads = 1", "memory_limit = '250MB'", "temp_directory = ''"):  # nothing goes to a local disk
+            self.db.execute(f"set {setting}")
         self._table("vocabulary", {"id": pa.array(list(self.ranks.values()), pa.int32()), "bytes": pa.array(list(self.ranks), pa.binary())})
 
+    def close(self) -> None:
+        self.known.clear()
+        self.db.close()
+
     def _table(self, name: str, columns: dict) -> None:
         self.db.register("given", pa.table(columns))
         self.db.execute(f"create or replace temp table {name} as select * from given")
@@ -111,6 +117,7 @@ class Vocabulary:
         return self.db.sql(sql).to_arrow_table()
 
     def decode(self, packed: list[bytes]) -> list[bytes]:
+        """The bytes of each text."""
         out = [b""] * len(packed)
         begin = size = 0
         for i, ids in enumerate(packed):
@@ -134,32 +141,36 @@ class Vocabulary:
         return out
 
 
-class Coder(Vocabulary):
-    """With the merge table and the words met so far; encodes too."""
-
-    def __init__(self, path: str, pattern: str):
+    def prepare(self, pattern: str) -> None:
+        """What encoding needs besides: the merge table, once, and the pattern in both forms."""
         import regex
 
-        super().__init__(path)
-        self.wide, self.narrow = regex.compile(pattern), re.compile(narrowed(pattern))
-        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.known: dict[str, bytes] = {}
-        splits = [(self.ranks[t[:i]], self.ranks[t[i:]], rank) for t, rank in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        columns = zip(*splits) if splits else ((), (), ())
-        self._table("merges", {name: pa.array(column, pa.int32()) for name, column in zip(("l", "r", "merged"), columns)})
+        if not self.patterns:
+            self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+            splits = [(self.ranks[t[:i]], self.ranks[t[i:]], rank) for t, rank in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
+            columns = zip(*splits) if splits else ((), (), ())
+            self._table("merges", {name: pa.array(column, pa.int32()) for name, column in zip(("l", "r", "merged"), columns)})
+        if pattern not in self.patterns:
+            self.known.clear()
+            self.patterns = {pattern: (regex.compile(pattern), re.compile(narrowed(pattern)))}
 
     def _contract(self, words: list[bytes], sql: str) -> list[bytes]:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        starts = np.cumsum(sizes) - sizes
-        total = int(sizes.sum())
-        out = self._ask("chars", {
-            "word": np.repeat(np.arange(len(words), dtype=np.int32), sizes),
-            "pos": (np.arange(total) - np.repeat(starts, sizes)).astype(np.int32),
-            "tok": self.byte_ids[np.frombuffer(b"".join(words), np.uint8)],
-        }, sql)
+        ends = np.cumsum(sizes)
+        word = np.repeat(np.arange(len(words)), sizes)
+        pos = np.arange(int(sizes.sum())) - np.repeat(ends - sizes, sizes)
+        if sql is ENCODE:
+            spot = 256 * word + pos
+            next_spot = spot + 1
+            next_spot[ends - 1] = -1
+            rows = {"spot": spot, "next": next_spot}
+        else:
+            rows = {"word": word, "pos": pos}
+        rows = {name: x.astype(np.int32) for name, x in rows.items()} | {"tok": self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]}
+        out = self._ask("chars", rows, sql)
         ids = out["tok"].to_numpy().astype("<u4").tobytes()
-        ends = 4 * np.cumsum(np.bincount(out["word"].to_numpy(), minlength=len(words)))
-        return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        cuts = 4 * np.cumsum(np.bincount(out["word"].to_numpy(), minlength=len(words)))
+        return [ids[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
 
     def learn(self, words: set[str]) -> None:
         if len(self.known) > KEPT:
@@ -181,11 +192,13 @@ class Coder(Vocabulary):
                     self.known.update(zip((w for w, _ in part), self._contract([b for _, b in part], sql)))
                     begin, size = i + 1, 0
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str], pattern: str) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        self.prepare(pattern)
+        wide, narrow = self.patterns[pattern]
         out, group, size = [], [], 0
         for i, text in enumerate(texts):
-            group.append((self.wide if BEYOND.search(text) else self.narrow).findall(text))
+            group.append((wide if BEYOND.search(text) else narrow).findall(text))
             size += len(text)
             if size > 1_000_000 or i == len(texts) - 1:
                 missing = set().union(*group) - self.known.keys()
@@ -198,14 +211,8 @@ class Coder(Vocabulary):
         return out
 
 
-@lru_cache(maxsize=1)
-def coder(path: str, pattern: str) -> Coder:
-    return Coder(path, pattern)
-
-
-@lru_cache(maxsize=1)
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+def coder(path: str) -> Coder:
+    return worker_state(("bpe", path), lambda: Coder(path))
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -213,13 +220,26 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFr
 
     ``path``: a tiktoken rank file that every executor has. ``pattern``: the tokenizer's pattern.
     """
-    rest = others(df, text.lower(), "ids", "n_tokens")
+    return _coded(df, path, pattern, text, False)
+
+
+def encode_and_decode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """Like ``encode``, with ``decoded``, the bytes that the ids stand for, in the same pass over the rows."""
+    return _coded(df, path, pattern, text, True)
+
+
+def _coded(df: DataFrame, path: str, pattern: str, text: str, back: bool) -> DataFrame:
+    more = ["ids", "n_tokens", *(["decoded"] if back else [])]
+    rest = others(df, text.lower(), *more)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = coder(path, pattern).encode([x or "" for x in batch.column("__text").to_pylist()])
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=[*rest, "ids", "n_tokens"])
+        own = coder(path)
+        ids = own.encode([x or "" for x in batch.column("__text").to_pylist()], pattern)
+        made = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), *([pa.array(own.decode(ids), pa.binary())] if back else [])]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *made], names=[*rest, *more])
 
-    return map_batches(df.select(*columns(rest), F.coalesce(F.col(text), F.lit("")).alias("__text")), run, fields(df, rest, "ids binary, n_tokens bigint"), "__text")
+    schema = fields(df, rest, "ids binary, n_tokens bigint" + ", decoded binary" * back)
+    return map_batches(df.select(*columns(rest), F.coalesce(F.col(text), F.lit("")).alias("__text")), run, schema, "__text")
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -227,12 +247,12 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     rest = others(df, "decoded")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(vocabulary(path).decode([x or b"" for x in batch.column(ids).to_pylist()]), pa.binary())], names=[*rest, "decoded"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(coder(path).decode([x or b"" for x in batch.column(ids).to_pylist()]), pa.binary())], names=[*rest, "decoded"])
 
     return map_batches(df.select(*columns(rest)), run, fields(df, rest, "decoded binary"), ids)
 
 
 def digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of the ids and of the decoded bytes."""
-    coded = decode(encode(documents.select("doc_id", "text"), path, pattern), path)
+    coded = encode_and_decode(documents.select("doc_id", "text"), path, pattern)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from protoscan.session import materialise, ship_package
 
-__all__ = ["LOWER", "binary_text", "columns", "fields", "fold", "load", "map_batches", "materialise", "others", "pieces", "quoted", "ship_package", "with_key"]
+__all__ = ["LOWER", "binary_text", "columns", "fields", "fold", "load", "map_batches", "materialise", "others", "pieces", "quoted", "ship_package", "with_key", "worker_state"]
 
 #: ASCII letters to lower case; every other byte of UTF-8 stays. ``bytes.split()`` then cuts at 0x20 and 0x09-0x0D.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -69,6 +69,23 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
     yield batch.slice(begin)
 
 
+_STATE: dict = {}
+
+
+def worker_state(key: tuple, make):
+    """What a Python worker keeps between its tasks: one object, made by ``make``.
+
+    Asking for another key closes and drops the one before, so operators that run after each other in
+    the same worker do not add up in memory.
+    """
+    if key not in _STATE:
+        for old in _STATE.values():
+            getattr(old, "close", lambda: None)()
+        _STATE.clear()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
 def map_batches(df: DataFrame, function, schema: str, column: str) -> DataFrame:
     """``mapInArrow`` with ``function(batch) -> RecordBatch`` over slices of bounded text size."""
 
