@@ -19,13 +19,14 @@ every score is the share of label 1 (0.5 without labels).
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from protoscan.llm.common import binary_text, columns, fields, map_batches, others
+from protoscan.llm.common import binary_text, columns, others, worker_state
 
 WORDS = 4096
 RANK = 8
@@ -50,14 +51,12 @@ class Buckets(dict):
         return bucket
 
 
-_BUCKETS = Buckets()
-
-
-def features(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(buckets, values, statistics) of one text."""
+def features(text: bytes, buckets: Buckets | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets, values, statistics) of one text; ``buckets`` remembers those of its words."""
+    buckets = Buckets() if buckets is None else buckets
     words = text.split()
     n = len(words)
-    found, counts = np.unique(np.fromiter(map(_BUCKETS.__getitem__, words), np.int32, n), return_counts=True)
+    found, counts = np.unique(np.fromiter(map(buckets.__getitem__, words), np.int32, n), return_counts=True)
     values = counts / max(np.sqrt((counts * counts).sum()), 1e-9)
     bytes_ = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
     total = max(len(text), 1)
@@ -85,8 +84,8 @@ class Machine:
     def bins(self, statistics: np.ndarray) -> np.ndarray:
         return WORDS + np.arange(STATISTICS) * BINS + (statistics[:, None] > self.edges).sum(1)
 
-    def score(self, text: bytes) -> float:
-        found, values, statistics = features(text)
+    def score(self, text: bytes, buckets: Buckets | None = None) -> float:
+        found, values, statistics = features(text, buckets)
         at = np.concatenate([found, self.bins(statistics)])
         x = np.concatenate([values, np.full(STATISTICS, 0.5, np.float32)])
         v = self.v[at] * x[:, None]
@@ -101,7 +100,8 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Machine:
     rate = float(labels.mean()) if len(labels) else 0.5
     if len(labels) == 0 or rate in (0.0, 1.0):
         return Machine(float(np.log(max(rate, 1e-6) / max(1 - rate, 1e-6))), np.zeros(size, np.float32), np.zeros((size, RANK), np.float32), np.zeros((STATISTICS, BINS - 1)))
-    rows = [features(t) for t in texts]
+    buckets = Buckets()
+    rows = [features(t, buckets) for t in texts]
     edges = np.quantile(np.array([r[2] for r in rows]), np.arange(1, BINS) / BINS, axis=0).T
     model = Machine(float(np.log(rate / (1 - rate))), np.zeros(size, np.float32), np.zeros((size, RANK), np.float32), edges)
     x = np.zeros((len(rows), size), np.float32)
@@ -142,11 +142,16 @@ def train(documents: DataFrame, labels: DataFrame, allowed: Column | None = None
 
 
 def score(documents: DataFrame, model: Machine) -> DataFrame:
-    """``documents`` with ``score`` (0 to 1, higher: label 1 likelier) in place of any column of that name."""
-    rest = others(documents, "score")
+    """``documents`` with ``score`` (0 to 1, higher: label 1 likelier) in place of any column of that name.
+
+    Python is given the text and returns a number; the documents themselves stay in the JVM.
+    """
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        values = [model.score(t) for t in batch.column("__text").to_pylist()]
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(values, pa.float64())], names=[*rest, "score"])
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            buckets = worker_state(("quality",), Buckets)
+            yield pa.array([model.score(t.as_py(), buckets) for t in texts], pa.float64())
 
-    return map_batches(documents.select(*columns(rest), binary_text().alias("__text")), run, fields(documents, rest, "score double"), "__text")
+    rest = columns(others(documents, "score"))
+    return documents.select(*rest, scored(binary_text()).alias("score"))
