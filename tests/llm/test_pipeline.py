@@ -72,8 +72,7 @@ def test_decontamination_stage(spark, tmp_path):
         return not any(tuple(w[a : a + n]) in windows for n in {len(k) for k in windows} for a in range(len(w) - n + 1))
 
     got = pipeline.no_benchmark(spark, table(spark, ODD), str(tmp_path)).collect()
-    hit_ids = {i for i, t in ODD if not clean(t)}  # rows of one id go together
-    assert Counter((r.doc_id, r.text) for r in got) == Counter((i, t) for i, t in ODD if i not in hit_ids)
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((i, t) for i, t in ODD if clean(t))  # row by row, whatever the id
 
 
 def test_whole_run(spark):
@@ -91,3 +90,23 @@ def test_whole_run(spark):
     for r in out[:20]:
         text = b"".join(table[x] for x in np.frombuffer(r.ids, "<u4").tolist()).decode()
         assert set(text.split("\n")) <= set(docs[r.doc_id].text.split("\n"))
+
+
+def test_quality_and_token_stages_take_odd_rows(spark):
+    rows = [*ODD, (None, None), (None, ""), (70, None), (70, None)]
+    docs = table(spark, rows)
+    assert pipeline.good(spark, docs, SF).columns == pipeline.COLUMNS
+    kept = Counter((r.doc_id, r.text) for r in pipeline.good(spark, docs, SF).collect())
+    assert all(kept[row] in (0, n) for row, n in Counter(rows).items()) and not kept - Counter(rows)
+    by_text = {}
+    for row, n in Counter(rows).items():
+        by_text.setdefault(row[1] or "", set()).add(kept[row] > 0)
+    assert all(len(x) == 1 for x in by_text.values())  # the text alone decides
+    out = pipeline.tokens(spark, docs, SF).collect()
+    assert Counter((r.doc_id, r.n_tokens == 0) for r in out) == Counter((i, not t) for i, t in rows)
+
+
+def test_stages_take_empty_tables(spark):
+    docs = table(spark, ODD).limit(0)
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0, name
