@@ -8,8 +8,9 @@ bin it starts in and one in the bin it ends in, clipped to the bin; the whole bi
 are tiled by aligned blocks of 1, 8, 64, ... bins. Rows with the same block and bounds are
 merged, keeping the highest ``load_seq``, by an aggregate that combines before the shuffle.
 So a block holds at most 64 * 65 / 2 rows per track however many intervals pile up there,
-and two rows for a short interval are all it usually needs. A position asks for its bin and
-for the block of every size around it.
+and two rows for a short interval are all it usually needs. A locus asks for each bin and block around its positions
+once, however many positions lie there, and only for the sizes of block that the longest interval of the
+track can fill: on a track of short intervals that is one row per locus as a rule.
 
 *Nearest distance.* Stepping outwards from a miss, the first hit on the left is near the
 right end of some interval, on the right near a left end. Of the intervals that share such
@@ -25,16 +26,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 _BIN_BITS = 6
 _LEVEL_BITS = 3
 _TOP = 4
+_PIECES = "array<struct<block:bigint,low:bigint,high:bigint>>"
 
 
-def _keys(low: Column, high: Column, level: int) -> Column:
-    """Block keys low..high-1 of one level; empty when there are none."""
-    keys = F.sequence(low * 8 + level, (high - 1) * 8 + level, F.lit(8).cast("bigint"))
-    return F.when(low < high, keys).otherwise(F.array().cast("array<bigint>"))
+def _blocks(low: Column, high: Column, level: int) -> Column:
+    """Whole blocks low..high-1 of one size with their keys and bounds; empty when there are none."""
+    bits = _BIN_BITS + _LEVEL_BITS * level
+
+    def whole(b: Column) -> Column:
+        first = F.shiftleft(b, bits)
+        return F.struct((b * 8 + (level + 1)).alias("block"), first.alias("low"), (first + (2**bits - 1)).alias("high"))
+
+    return F.when(low < high, F.transform(F.sequence(low, high - 1, F.lit(1).cast("bigint")), whole)).otherwise(F.array().cast(_PIECES))
 
 
 def _whole_bins(first: Column, stop: Column) -> Column:
-    """Keys of the aligned blocks that tile the bins first..stop-1; level 1 is a single bin."""
+    """The aligned blocks that tile the bins first..stop-1; size 0 is a single bin."""
 
     def bounds(level: int) -> tuple[Column, Column]:
         low = F.shiftright(first + (8**level - 1), _LEVEL_BITS * level)
@@ -44,33 +51,38 @@ def _whole_bins(first: Column, stop: Column) -> Column:
     for level in range(_TOP + 1):
         low, high = bounds(level)
         if level == _TOP:
-            parts.append(_keys(low, high, level + 1))
+            parts.append(_blocks(low, high, level))
             continue
         up_low, up_high = bounds(level + 1)
-        parts.append(_keys(low, F.least(up_low * 8, high), level + 1))
-        parts.append(_keys(F.greatest(up_high * 8, up_low * 8), high, level + 1))
+        parts.append(_blocks(low, F.least(up_low * 8, high), level))
+        parts.append(_blocks(F.greatest(up_high * 8, up_low * 8), high, level))
     return F.concat(*parts)
 
 
 def interval_pieces(start: Column, end: Column) -> Column:
-    """Array of (block, low, high); blocks covered from end to end have no bounds."""
+    """Array of (block, low, high); blocks covered from end to end have their own bounds."""
     start, end = start.cast("bigint"), end.cast("bigint")
     first, last = F.shiftright(start, _BIN_BITS), F.shiftright(end, _BIN_BITS)
 
     def edge(b: Column, low: Column, high: Column) -> Column:
         return F.struct((b * 8).alias("block"), low.alias("low"), high.alias("high"))
 
-    nothing = F.lit(None).cast("bigint")
-    inner = F.transform(_whole_bins(first + 1, last), lambda b: F.struct(b.alias("block"), nothing.alias("low"), nothing.alias("high")))
     two = F.array(edge(first, start, (first + 1) * 64 - 1), edge(last, last * 64, end))
-    return F.when(first == last, F.array(edge(first, start, end))).when(last == first + 1, two).otherwise(F.concat(two, inner))
+    return F.when(first == last, F.array(edge(first, start, end))).when(last == first + 1, two).otherwise(F.concat(two, _whole_bins(first + 1, last)))
+
+
+def block_sizes(intervals: DataFrame) -> list[int]:
+    """The sizes of whole blocks that the longest interval can fill; one pass over two columns."""
+    longest = intervals.agg(F.max(F.col("end") - F.col("start"))).first()[0]
+    return [k for k in range(_TOP + 1) if longest is not None and longest + 1 >= 2 ** (_BIN_BITS + _LEVEL_BITS * k)]
 
 
-def point_keys(position: Column) -> Column:
-    """The bin of a position and the block of every level around it."""
-    p = position.cast("bigint")
-    own = F.shiftright(p, _BIN_BITS) * 8
-    return F.array(own, *[F.shiftright(p, _BIN_BITS + _LEVEL_BITS * k) * 8 + (k + 1) for k in range(_TOP + 1)])
+def point_keys(positions: list[Column], sizes: list[int]) -> Column:
+    """The bins of some positions and the blocks of the given sizes around them, each once."""
+    keys = []
+    for p in (p.cast("bigint") for p in positions):
+        keys += [F.shiftright(p, _BIN_BITS) * 8, *[F.shiftright(p, _BIN_BITS + _LEVEL_BITS * k) * 8 + (k + 1) for k in sizes]]
+    return F.array_distinct(F.array(*keys)) if len(keys) > 1 else F.array(*keys)
 
 
 def block_table(intervals: DataFrame, by: list[str], value: str = "value", load_seq: str = "load_seq") -> DataFrame:
@@ -84,10 +96,13 @@ def block_table(intervals: DataFrame, by: list[str], value: str = "value", load_
     )
 
 
-def _hits(probes: DataFrame, intervals: DataFrame, share: list[str], by: list[str]) -> DataFrame:
-    """Probes (share, position, ...) joined with the pieces that cover their position."""
-    asked = probes.withColumn("block", F.explode(point_keys(F.col("position"))))
-    return asked.join(block_table(intervals, share + by), share + ["block"]).filter("low is null or position between low and high")
+def _hits(asked: DataFrame, positions: list[Column], intervals: DataFrame, share: list[str], by: list[str]) -> DataFrame:
+    """Rows of ``asked`` joined with the pieces that cover one of their positions."""
+    probes = asked.withColumn("block", F.explode(point_keys(positions, block_sizes(intervals))))
+    covers = F.lit(False)
+    for p in positions:
+        covers = covers | p.between(F.col("low"), F.col("high"))
+    return probes.join(block_table(intervals, share + by), share + ["block"]).filter(covers)
 
 
 def lookup(points: DataFrame, intervals: DataFrame, share: list[str], by: list[str], position: str = "position") -> DataFrame:
@@ -98,7 +113,7 @@ def lookup(points: DataFrame, intervals: DataFrame, share: list[str], by: list[s
     Points are made distinct first, so a spot that many rows ask for is looked up once.
     """
     asked = points.select(*share, F.col(position).cast("bigint").alias("position")).distinct()
-    hits = _hits(asked, intervals, share, by)
+    hits = _hits(asked, [F.col("position")], intervals, share, by)
     return hits.groupBy(*share, *by, "position").agg(F.max_by("value", "load_seq").alias("value"))
 
 
@@ -109,15 +124,15 @@ def annotations(places: DataFrame, intervals: DataFrame, locus: list[str], share
     the value found there, one row per locus and ``by`` key. ``answers`` are aggregates over
     those rows. Loci without any hit are left out.
     """
-    asked = F.array(*[F.struct(F.lit(i).alias("probe"), p.cast("bigint").alias("position")) for i, p in enumerate(probes.values())])
-    asks = places.select(*locus, F.explode(asked).alias("_ask")).select(*locus, "_ask.probe", "_ask.position")
+    positions = {n: p.cast("bigint") for n, p in probes.items()}
+    # a locus has few pieces, so its rows are brought together once for both aggregates
+    hits = _hits(places.select(*locus), list(positions.values()), intervals, share, by).repartition(*locus)
 
-    def found_at(i: int) -> Column:
-        here = F.col("probe") == i
+    def found_at(p: Column) -> Column:
+        here = p.between(F.col("low"), F.col("high"))
         return F.max_by(F.when(here, F.col("value")), F.when(here, F.col("load_seq")))
 
-    hits = _hits(asks, intervals, share, by)
-    wide = hits.groupBy(*locus, *by).agg(*[found_at(i).alias(n) for i, n in enumerate(probes)])
+    wide = hits.groupBy(*locus, *by).agg(*[found_at(p).alias(n) for n, p in positions.items()])
     return wide.groupBy(*locus).agg(*[a.alias(n) for n, a in answers.items()])
 
 
