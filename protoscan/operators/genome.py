@@ -41,48 +41,62 @@ def contig_key(contig: ColumnOrName) -> Column:
     return F.regexp_replace(_col(contig), "^chr", "")
 
 
+def _checked(letters: Column, size: int, halo: int) -> Column:
+    """``letters`` if the chunk was cut with this size and halo; another table would give wrong letters, so it raises."""
+    reach = F.least(F.col("_length") - F.col("_at"), F.lit(size + halo))
+    wrong = (F.col("_at") != F.col("_chunk") * size) | (F.length("_seq") != reach)
+    return F.when(wrong, F.raise_error(F.lit(f"the chunk table was not cut with size {size} and halo {halo}"))).otherwise(letters)
+
+
 def fetch_regions(
     regions: DataFrame, chunks: DataFrame, contig: str = "contig", start: str = "start", end: str = "end",
-    out: str = "seq", size: int = CHUNK, halo: int = HALO,
+    out: str = "seq", size: int = CHUNK, halo: int = HALO, longest: int | None = None,
 ) -> DataFrame:
     """Add the letters of ``start``..``end`` (1-based, both included) and a ``fetch_warning``.
 
-    Each row decides: a region up to the halo is read from the one chunk it starts in, by an
-    equi join on (contig, chunk) against a table with one row per key; a longer one is read
-    from every chunk it touches and put together again. ``size`` and ``halo`` must be those
-    of the chunk table.
+    A region up to the halo is read from the one chunk it starts in, by an equi join on
+    (contig, chunk) against a table with one row per key; a longer one is read from every chunk
+    it touches and put together again. ``longest``: what no region exceeds, where the caller knows; within
+    the halo the second way is left out of the plan. ``size`` and ``halo`` are compared with the chunks that are read.
+
+    A chunk table of several genomes has a ``genome`` column; regions then name theirs in a column of that name.
     """
+    by = ["genome"] if "genome" in chunks.columns else []
     ask = regions.withColumns({
         "_key": contig_key(contig),
         "_from": F.greatest(F.col(start), F.lit(1)).cast("bigint"),
         "_to": F.col(end).cast("bigint"),
     })
     have = chunks.select(
-        contig_key("contig").alias("_key"), F.col("chunk").alias("_chunk"), F.col("chunk_start").alias("_at"),
-        F.col("core_length").alias("_core"), F.col("seq").alias("_seq"),
-    )
-    fits = F.col("_to") - F.col("_from") < halo
-    # the letters of a region depend on nothing but its place, so equal regions are put together once
-    first = F.greatest(F.col("_from") - 1, F.col("_at"))
-    last = F.least(F.col("_to"), F.col("_at") + F.col("_core"))
-    piece = F.substr("_seq", (first - F.col("_at") + 1).cast("int"), F.greatest(last - first, F.lit(0)).cast("int"))
-    ends = chunks.select(contig_key("contig").alias("_key"), "contig_length").distinct()
-    long = (
-        ask.filter(~fits).select("_key", "_from", "_to").distinct().join(ends, "_key").filter("_from <= contig_length")
-        .select("_key", "_from", "_to", F.least("_to", "contig_length").alias("_stop"))
-        .select("_key", "_from", "_to", F.explode(F.sequence(F.expr(f"(_from - 1) div {size}"), F.expr(f"(_stop - 1) div {size}"))).alias("_chunk"))
-        .join(have, ["_key", "_chunk"])
-        .groupBy("_key", "_from", "_to")
-        .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_chunk", piece.alias("p")))), lambda x: x["p"]), "").alias("_long"))
+        *by, contig_key("contig").alias("_key"), F.col("chunk").alias("_chunk"), F.col("chunk_start").alias("_at"),
+        F.col("core_length").alias("_core"), F.col("contig_length").alias("_length"), F.col("seq").alias("_seq"),
     )
+    place = [*by, "_key"]
+    fits = F.coalesce(F.col("_to") - F.col("_from") < halo, F.lit(True))
+    only_short = longest is not None and longest <= halo
     short = F.substr("_seq", (F.col("_from") - F.col("_at")).cast("int"), F.greatest(F.col("_to") - F.col("_from") + 1, F.lit(0)).cast("int"))
     got = (
-        ask.withColumn("_chunk", F.when(fits, F.expr(f"(_from - 1) div {size}")))
-        .join(have, ["_key", "_chunk"], "left")
-        .join(long, ["_key", "_from", "_to"], "left")
-        .withColumn(out, F.coalesce(F.when(fits, short).otherwise(F.col("_long")), F.lit("")))
-        .drop("_chunk", "_at", "_core", "_seq", "_long")
+        (ask if only_short else ask.filter(fits)).withColumn("_chunk", F.expr(f"(_from - 1) div {size}"))
+        .join(have, [*place, "_chunk"], "left")
+        .withColumn(out, F.coalesce(_checked(short, size, halo), F.lit("")))
+        .select(*ask.columns, out)
     )
+    if not only_short:
+        # the letters of a region depend on nothing but its place, so equal regions are put together once
+        first = F.greatest(F.col("_from") - 1, F.col("_at"))
+        last = F.least(F.col("_to"), F.col("_at") + F.col("_core"))
+        piece = F.substr("_seq", (first - F.col("_at") + 1).cast("int"), F.greatest(last - first, F.lit(0)).cast("int"))
+        ends = chunks.filter("chunk = 0").select(*by, contig_key("contig").alias("_key"), "contig_length")
+        long = (
+            ask.filter(~fits).select(*place, "_from", "_to").distinct().join(ends, place).filter("_from <= contig_length")
+            .select(*place, "_from", "_to", F.least("_to", "contig_length").alias("_stop"))
+            .select(*place, "_from", "_to", F.explode(F.sequence(F.expr(f"(_from - 1) div {size}"), F.expr(f"(_stop - 1) div {size}"))).alias("_chunk"))
+            .join(have, [*place, "_chunk"])
+            .groupBy(*place, "_from", "_to")
+            .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_chunk", _checked(piece, size, halo).alias("p")))), lambda x: x["p"]), "").alias("_long"))
+        )
+        far = ask.filter(~fits).join(long, [*place, "_from", "_to"], "left").withColumn(out, F.coalesce("_long", F.lit(""))).select(*ask.columns, out)
+        got = got.unionByName(far)
     asked = F.col(end) - F.col(start) + 1
     warning = (
         F.when(F.length(out) == 0, "no letters at these coordinates")
@@ -91,8 +105,13 @@ def fetch_regions(
     return got.withColumn("fetch_warning", warning).drop("_key", "_from", "_to")
 
 
-def site_contexts(loci: DataFrame, chunks: DataFrame, flank: int, **options) -> DataFrame:
-    """Contexts of loci (contig, strand, start, end), read on the locus strand; short ones are flagged."""
+def site_contexts(loci: DataFrame, chunks: DataFrame, flank: int, site_length: int | None = None, **options) -> DataFrame:
+    """Contexts of loci (contig, strand, start, end), read on the locus strand; short ones are flagged.
+
+    ``site_length``: what no locus exceeds, where the caller knows it.
+    """
+    if site_length is not None:
+        options["longest"] = site_length + 2 * flank
     wide = loci.withColumns({"_s": F.col("start") - flank, "_e": F.col("end") + flank})
     got = fetch_regions(wide, chunks, start="_s", end="_e", out="context", **options)
     full = F.length("context") == F.col("_e") - F.col("_s") + 1

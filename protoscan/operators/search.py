@@ -129,9 +129,9 @@ def usable_hits(hits: DataFrame) -> DataFrame:
     )
 
 
-def aligned_hits(hits: DataFrame, chunks: DataFrame, flank: int = LONG_FLANK) -> DataFrame:
-    """Hits with context, site and the alignment of the guide with the hit's own span."""
-    around = site_contexts(hits, chunks, flank)
+def aligned_hits(hits: DataFrame, chunks: DataFrame, flank: int = LONG_FLANK, site_length: int | None = None) -> DataFrame:
+    """Hits with context, site and the alignment of the guide with the hit's own span, of at most ``site_length`` letters if given."""
+    around = site_contexts(hits, chunks, flank, site_length)
     placed = around.withColumn("flank", F.lit(flank)).withColumn("site", F.substr("context", F.lit(flank + 1), F.length("context") - 2 * flank))
     kept = usable_hits(placed).drop("context_complete", "fetch_warning")
     return align_whole(kept.withColumn("sgrna", F.concat("guide", F.lit("NGG"))))

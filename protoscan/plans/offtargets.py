@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from protoscan.fixed import SEARCH_MAX_GAPS, SITE_LEN
 from protoscan.functions.validate import normalise_guide
 from protoscan.operators.features import sequence_features
 from protoscan.operators.model import TreeEnsemble, score
@@ -19,7 +20,7 @@ def bare_guide(guide: str = "guide") -> Column:
 def offtarget_features(guides: DataFrame, chunks: DataFrame, shape_table) -> DataFrame:
     """Hits of every guide with alignment and features; guides may carry U or their PAM."""
     clean = guides.select(bare_guide().alias("guide")).filter(searchable("guide")).distinct()
-    return sequence_features(aligned_hits(search(clean, chunks), chunks), shape_table)
+    return sequence_features(aligned_hits(search(clean, chunks), chunks, site_length=SITE_LEN + SEARCH_MAX_GAPS), shape_table)
 
 
 def rejected_offtarget_guides(guides: DataFrame) -> DataFrame:

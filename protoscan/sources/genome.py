@@ -93,9 +93,21 @@ def read_fasta(spark: SparkSession, path: str, size: int = CHUNK, halo: int = HA
     return chunk_lines(read_fasta_lines(spark, path), size, halo)
 
 
-def write_genome(chunks: DataFrame, path: str) -> None:
-    """Store chunk rows sorted by contig and chunk, so that point reads skip row groups."""
-    chunks.repartitionByRange("contig", "chunk").sortWithinPartitions("contig", "chunk").write.mode("overwrite").parquet(path)
+def write_genome(chunks: DataFrame, path: str, genome: str | None = None) -> None:
+    """Store chunk rows sorted by contig and chunk, so that point reads skip row groups.
+
+    With ``genome`` the rows go into a store of several genomes, one partition each; writing one again
+    replaces it and leaves the others. Joins on ``genome`` then read the genomes asked for only.
+    """
+    if genome is None:
+        chunks.repartitionByRange("contig", "chunk").sortWithinPartitions("contig", "chunk").write.mode("overwrite").parquet(path)
+    else:
+        write_genome(chunks, f"{path.rstrip('/')}/genome={genome}")
+
+
+def read_genomes(spark: SparkSession, path: str) -> DataFrame:
+    """The store as chunk rows with a ``genome`` column."""
+    return spark.read.parquet(path)
 
 
 def fasta_dictionary(spark: SparkSession, path: str) -> DataFrame:

@@ -324,25 +324,32 @@ def sequence_scan_end_to_end(spark, d):
 
 
 CHROM_PAIRS = layered("orders", {"k": "o_orderkey", "guide": dna("o_orderkey", 20, "g"), "genome": "case when o_orderkey % 4 = 0 then 'mm9' else 'hg19' end", "cell_type": "case cast(o_orderkey % 3 as int) when 0 then '293T' when 1 then 'K562' else 'unheard' end",
-                                 "chrom": "cast(o_custkey as string)", "strand": "case when o_orderkey % 2 = 0 then 'plusStrand' else 'minusStrand' end", "start": "o_orderkey % 300 + 1"})
+                                 "chrom": "cast(o_custkey as string)", "strand": "case when o_orderkey % 2 = 0 then 'plusStrand' else 'minusStrand' end", "start": "case when o_orderkey % 2 = 0 then o_orderkey % 300 + 1 else o_orderkey * 7 % 9000 + 1 end"})
 _CHR_CONTIGS = CONTIGS_SQL.replace("'doc'", "'chr'")
+# two genomes of the same contig names: the second is the first read backwards
+_GENOMES = f"(select 'hg19' as genome, contig, seq from {_CHR_CONTIGS} union all select 'mm9', contig, reverse(seq) from {_CHR_CONTIGS})"
+
+
+def genomes(spark, d) -> DataFrame:
+    first = contigs(spark, d, prefix="chr")
+    chunks = lambda df, name: genome.chunk_contigs(df).withColumn("genome", F.lit(name))
+    return chunks(first, "hg19").unionByName(chunks(first.withColumn("seq", F.reverse("seq")), "mm9"))
 
 
 @query("locus_contexts", f"""
 with p as (select k, genome, cell_type, concat('chr', chrom) as chrom, case strand when 'plusStrand' then '+' else '-' end as strand, start, start + 22 as "end" from {CHROM_PAIRS.sql}),
-c as (select p.*, substr(seq, cast(start - 100 as int), 223) as raw, coalesce(start > 100 and "end" + 100 <= length(seq), false) as whole from p left join {_CHR_CONTIGS} c on c.contig = p.chrom)
+c as (select p.*, substr(seq, cast(start - 100 as int), 223) as raw, coalesce(start > 100 and "end" + 100 <= length(seq), false) as whole from p left join {_GENOMES} c on c.contig = p.chrom and c.genome = p.genome)
 select k, chrom, strand, start, "end", case when strand = '-' then {sql_rc('raw')} else raw end as context, case when genome = 'hg19' then 'genomic' else 'flanking' end as mode,
  case when genome = 'hg19' then case cell_type when '293T' then 'HEK293' when 'K562' then 'K56' end end as cell_line
 from c where whole and (genome <> 'hg19' or cell_type <> 'unheard')""")
 def locus_contexts(spark, d):
-    chunks = genome.chunk_contigs(contigs(spark, d, prefix="chr"))
-    got = pair_scoring.locus_contexts(CHROM_PAIRS.df(spark, d), chunks).filter("reject_reason is null")
+    got = pair_scoring.locus_contexts(CHROM_PAIRS.df(spark, d), genomes(spark, d)).filter("reject_reason is null")
     return got.select("k", "chrom", "strand", "start", "end", "context", "mode", "cell_line")
 
 
 @query("locus_scoring_end_to_end")
 def locus_scoring_end_to_end(spark, d):
-    chunks = genome.chunk_contigs(contigs(spark, d, prefix="chr"))
+    chunks = genomes(spark, d)
     models = {"genomic": ensemble(spark, stump_rows(), "genomic"), "flanking": ensemble(spark, stump_rows(4), "flanking")}
     scored, _ = pair_scoring.score_loci(
         CHROM_PAIRS.df(spark, d), chunks, load_table(shape_table(spark)), models, lambda sites: track_queries.add_genome_features(spark, d, sites),
