@@ -9,15 +9,18 @@ line goes whose Jaccard similarity with an earlier line, kept or not, is at leas
    natural order of the longs puts shingles that must be rare first.
 2. Lines of equal sets become one row with their earliest line (an aggregate, so copies combine before the
    shuffle). Its prefix, the first ``n - ceil(4n/5) + 1`` shingles, must meet the prefix of any match.
-3. Shingles that are in one prefix only are left out. Each line is first compared with the earliest line of
-   each of its shingles, which settles families of near copies in linear work; only lines that
-   stay unsettled meet the whole lists. A pair is met at a shingle only if lengths fit and enough places are left
-   behind it in both lines, as there are behind the first common shingle of any similar pair; then whole sets are compared.
+3. Shingles that are in one prefix only are left out. In each of ``ROUNDS`` rounds the lines of a shingle that are not settled
+   yet are compared with the earliest of them, which settles a family of near copies in linear work: a leader that stays
+   unsettled differs from the leaders before it and so finds other members. Only lines that stay unsettled after that
+   meet the whole lists, each pair once: at the first shingle that both prefixes have. A pair is met only if lengths fit, enough places are left
+   behind the shingle in both lines, and the prefixes share enough (``ONCE``); then whole sets are compared.
+   The sets of the lines in question are read from the texts once.
 
 Shingles are compared by their 57-bit hash and class, sets of equal lines by 128 bits.
 
 Null texts have no lines. Lines without a word (blank lines) always stay. Documents with a null id come after all others.
-Rows with equal id and text are one document: they get the same result.
+Rows with equal id and text are one document: they get the same result. Documents of equal id (or none) and different texts
+are ordered by the hash of their texts.
 """
 
 from __future__ import annotations
@@ -30,7 +33,8 @@ from protoscan.operators.bounded import broadcast_if_small
 
 SHINGLE = 5
 BUCKETS = 1 << 17
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
+ROUNDS = 2
 SPACES = r"[\x20\x09-\x0D]+"
 HASH = (1 << 57) - 1
 
@@ -38,6 +42,10 @@ HASH = (1 << 57) - 1
 LINE = "named_struct('last', doc_id is null, 'doc_id', doc_id, 'text_key', text_key, 'line_no', line_no)"
 #: What the first common shingle of a similar pair fulfils: fitting lengths, and enough places left behind it in both lines.
 BOUNDS = "4 * m <= 5 * n and 4 * n <= 5 * m and 9 * least(n - pos, m - pos2) >= 4 * (n + m)"
+#: A pair is met at the first shingle that both prefixes have. All that the lines share lies in both prefixes or behind the
+#: prefix that ends first, so the shingles counted in the prefixes bound what they can have in common.
+ONCE = """array_min(array_intersect(prefix, prefix2)) = token
+    and 9 * (size(array_intersect(prefix, prefix2)) + if(element_at(prefix, -1) <= element_at(prefix2, -1), n - size(prefix), m - size(prefix2))) >= 4 * (n + m)"""
 
 
 def words(text: Column) -> Column:
@@ -68,12 +76,9 @@ def line_sets(documents: DataFrame, levels: Column, shingle: int = SHINGLE, only
     return each.select(*kept, ranked.alias("r")).select(*kept, F.expr(shingles).alias("t"))
 
 
-def _similar(met: DataFrame, firsts: DataFrame, documents: DataFrame, levels: Column, shingle: int) -> DataFrame:
+def _similar(met: DataFrame, sets: DataFrame) -> DataFrame:
     """The lines (lid) of pairs (lid, other) whose whole sets are similar enough."""
-    pairs = materialise(met.select("lid", "other").distinct())
-    refs = pairs.select("lid").union(pairs.select("other")).distinct().join(firsts.select("lid", "line"), "lid")
-    refs = materialise(refs.select("lid", F.col("line.doc_id").alias("only_id"), F.col("line.text_key").alias("only_key"), F.col("line.line_no").alias("only_no")))
-    sets = materialise(line_sets(documents, levels, shingle, refs).dropDuplicates(["lid"]))
+    pairs = met.select("lid", "other").distinct()
     both = pairs.join(sets, "lid").join(sets.toDF("other", "t2"), "other")
     return materialise(both.where("9 * size(array_intersect(t, t2)) >= 4 * (size(t) + size(t2))").select("lid").distinct())
 
@@ -90,15 +95,27 @@ def kept_lines(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     shared = materialise(firsts.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1").select("token"))
     lists = materialise(prefix.join(broadcast_if_small(shared, BROADCAST_ROWS), "token"))
 
-    star = lists.groupBy("token").agg(F.min(F.struct("line", "n", "lid", "pos")).alias("s"))
-    star = star.select("token", F.col("s.lid").alias("other"), F.col("s.n").alias("m"), F.col("s.pos").alias("pos2"))
-    near = lists.select("token", "lid", "n", "pos").join(star, "token").where("other <> lid").where(BOUNDS)
-    settled = _similar(near, firsts, documents, levels, shingle)
+    refs = lists.select("lid").distinct().join(firsts.select("lid", "line"), "lid")
+    refs = materialise(refs.select("lid", F.col("line.doc_id").alias("only_id"), F.col("line.text_key").alias("only_key"), F.col("line.line_no").alias("only_no")))
+    sets = materialise(line_sets(documents, levels, shingle, refs).dropDuplicates(["lid"]))
 
-    asking = lists.join(settled, "lid", "left_anti").select("token", "lid", "n", "pos", "line")
-    others = lists.select("token", F.col("lid").alias("other"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("line").alias("other_line"))
-    met = asking.join(others, "token").where("other_line < line").where(BOUNDS)
-    gone = settled.union(_similar(met, firsts, documents, levels, shingle))
+    walking, gone = lists, lists.select("lid").limit(0)
+    for _ in range(ROUNDS):
+        leaders = walking.groupBy("token").agg(F.min(F.struct("line", "n", "lid", "pos")).alias("s"))
+        leaders = leaders.select("token", F.col("s.line").alias("other_line"), F.col("s.lid").alias("other"), F.col("s.n").alias("m"), F.col("s.pos").alias("pos2"))
+        behind = materialise(walking.join(leaders, "token").where("other_line < line"))
+        found = _similar(behind.where(BOUNDS), sets)
+        gone = gone.union(found)
+        walking = behind.select("token", "lid", "n", "pos", "line").join(found, "lid", "left_anti")
+    gone = materialise(gone.distinct())
+
+    asking = materialise(lists.join(gone, "lid", "left_anti"))
+    prefixes = firsts.select("lid", "prefix")
+    others = lists.join(asking.select("token").distinct(), "token", "left_semi").join(prefixes, "lid")
+    others = others.toDF("other", "token", "pos2", "m", "other_line", "prefix2")
+    asking = asking.join(prefixes, "lid").select("token", "lid", "n", "pos", "line", "prefix")
+    met = asking.join(others, "token").where("other_line < line").where(BOUNDS).where(ONCE)
+    gone = gone.union(_similar(met, sets))
     stay = firsts.select("lid", "line").join(gone, "lid", "left_anti").select("line.doc_id", "line.text_key", "line.line_no")
     return stay.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("line_no")).alias("kept"))
 
