@@ -116,3 +116,13 @@ MODEL_INPUTS = {
     "noflanking": SEQUENCE_FEATURES,
 }
 SCORE = "score"
+
+#: The cell lines for which a mark has no data. Their value is null, never 0.
+NO_DATA = {
+    "methylation": ("mESCs",),
+    "expression": ("mESCs",),
+    "H3K4me": ("U2OS",),
+    "H3K27me": ("HEK293", "U2OS", "mESCs"),
+    "H3K36me": ("HEK293", "mESCs"),
+    "H3K9me": ("HEK293", "hIPS", "mESCs"),
+}

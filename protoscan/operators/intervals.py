@@ -117,16 +117,17 @@ def lookup(points: DataFrame, intervals: DataFrame, share: list[str], by: list[s
     return hits.groupBy(*share, *by, "position").agg(F.max_by("value", "load_seq").alias("value"))
 
 
-def annotations(places: DataFrame, intervals: DataFrame, locus: list[str], share: list[str], by: list[str], probes: dict[str, Column], answers: dict[str, Column]) -> DataFrame:
+def annotations(places: DataFrame, intervals: DataFrame, locus: list[str], share: list[str], by: list[str], probes: dict[str, Column], answers: dict[str, Column], keep: Column | None = None) -> DataFrame:
     """Look several positions of each locus up in several tracks at once and aggregate.
 
     ``places`` are distinct loci. ``probes`` names the positions; each becomes a column with
     the value found there, one row per locus and ``by`` key. ``answers`` are aggregates over
-    those rows. Loci without any hit are left out.
+    those rows. ``keep`` is a condition on locus and ``by`` columns. Loci without any hit are left out.
     """
     positions = {n: p.cast("bigint") for n, p in probes.items()}
     # a locus has few pieces, so its rows are brought together once for both aggregates
-    hits = _hits(places.select(*locus), list(positions.values()), intervals, share, by).repartition(*locus)
+    hits = _hits(places.select(*locus), list(positions.values()), intervals, share, by)
+    hits = (hits if keep is None else hits.filter(keep)).repartition(*locus)
 
     def found_at(p: Column) -> Column:
         here = p.between(F.col("low"), F.col("high"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from protoscan.fixed import GENOME_FEATURES, REPEAT_CLASS, REPEAT_FAMILY, SUBCOMPARTMENT
+from protoscan.fixed import GENOME_FEATURES, NO_DATA, REPEAT_CLASS, REPEAT_FAMILY, SUBCOMPARTMENT
 from protoscan.functions.validate import _literal_map, is_assembled_chromosome
 from protoscan.operators.bounded import broadcast_if_small
 from protoscan.operators.intervals import annotate, annotations, lookup, walked_distance, walks
@@ -20,11 +20,12 @@ from protoscan.session import materialise
 
 _PLACE = ["chrom", "start", "end"]
 _STRANDED = ["chrom", "strand", "start", "end"]
-# --- fixed values: walking steps and the cell line without expression data ------------
+_LINE = ["genome", "cell_line"]
+# --- fixed values: walking steps ------------------------------------------------------
 DNASE_STEP = 50
 DNASE_STEPS = 100
 NUCLEOSOME_STEPS = 1000
-NO_EXPRESSION = ["mESCs"]
+LINES = 10_000
 
 
 def _first_present(start: Column, end: Column, numeric: bool) -> Column:
@@ -142,6 +143,43 @@ def replicate_mean(sites: DataFrame, track: DataFrame, replicates: int, out: str
     return got.fillna(0.0, [out])
 
 
+def _with_tables(sites: DataFrame, registry: DataFrame, mark: str) -> DataFrame:
+    """Sites with ``_n``, the number of tables of the mark for their genome and cell line; null where there is no data."""
+    known = registry.filter(F.col("mark") == mark).groupBy(*_LINE).agg(F.max("replicates").alias("_n"))
+    silent = F.col("cell_line").isin(*NO_DATA.get(mark, ()))
+    return sites.join(broadcast_if_small(known.filter((F.col("_n") > 0) & ~silent)), _LINE, "left")
+
+
+def replicate_mean_by_line(sites: DataFrame, track: DataFrame, registry: DataFrame, mark: str, out: str, stranded: bool = False) -> DataFrame:
+    """``replicate_mean`` of each site in the tables of its own genome and cell line.
+
+    ``registry`` has a row (genome, cell_line, mark, replicates) for every mark that was measured in a line; ``track``
+    has genome, cell_line and replicate. A line without the mark gives null, a site of a line that has it and no hit 0.
+    """
+    value = _first_present(F.col("at_start"), F.col("at_end"), numeric=False).cast("double")
+    if stranded:
+        value = F.when(F.col("track_strand") == F.col("strand"), value)
+    locus = _LINE + (_STRANDED if stranded else _PLACE)
+    got = annotate(
+        _with_tables(sites, registry, mark), track, locus, [*_LINE, "chrom"], (["track_strand"] if stranded else []) + ["replicate"],
+        {"at_start": F.col("start"), "at_end": F.col("end")}, {"_sum": F.sum(value)},
+    )
+    return got.withColumn(out, F.coalesce("_sum", F.lit(0.0)) / F.col("_n")).drop("_sum", "_n")
+
+
+def strand_signal_by_line(sites: DataFrame, track: DataFrame, registry: DataFrame, mark: str, own: str, opposite: str) -> DataFrame:
+    """``strand_signal`` of each site in the tables of its own genome and cell line; null as in ``replicate_mean_by_line``."""
+    beside = F.greatest(F.col("before").cast("double"), F.col("after").cast("double"))
+    same = F.col("track_strand") == F.col("strand")
+    got = annotate(
+        _with_tables(sites, registry, mark), track, _LINE + _STRANDED, [*_LINE, "chrom"], ["track_strand", "replicate"],
+        {"before": F.col("start") - 1, "after": F.col("end") + 1},
+        {"_own": F.sum(F.when(same, beside)), "_opposite": F.sum(F.when(~same, beside))},
+    )
+    mean = lambda c: F.coalesce(c, F.lit(0.0)) / F.col("_n")
+    return got.withColumns({own: mean("_own"), opposite: mean("_opposite")}).drop("_own", "_opposite", "_n")
+
+
 def inside_flag(sites: DataFrame, track: DataFrame, out: str) -> DataFrame:
     """1 when either end of the site lies on the track, else 0."""
     return endpoint_value(sites, track.withColumn("value", F.lit(1)), out, 0)
@@ -268,30 +306,38 @@ def expression_intervals(regions: DataFrame, expression: DataFrame, missing_to_m
 
 def genome_features(
     sites: DataFrame, *, gaps: DataFrame, sizes: DataFrame, dnase: DataFrame, nucleosomes: DataFrame,
-    subcompartments: DataFrame, expression: DataFrame, expression_replicates: int, genes: DataFrame,
-    cell_line: str,
+    subcompartments: DataFrame, expression: DataFrame, genes: DataFrame, expression_replicates: int | None = None,
+    cell_line: str | None = None, registry: DataFrame | None = None,
 ) -> DataFrame:
-    """All 13 genome features of sites of one cell line, in model order.
+    """All 13 genome features of sites, in model order.
+
+    Either all sites are of one ``cell_line``, with its ``dnase`` and ``expression`` tables, or sites and these
+    two tables carry genome and cell_line, and ``registry`` (genome, cell_line, mark, replicates) says which line has
+    which of the marks ``dnase`` and ``expression``: a line without one gets null there. The
+    other tracks hold for all lines.
 
     Every point lookup goes through one pass over the union of the tracks; only the two
     stepped distances and the per-chromosome tables are separate. Signals are numbers here,
     as the model takes them (the text "0" and the number 0 are the same miss).
     """
+    columns = sites.columns
+    sites, dnase, expression, has_dnase, replicates = _by_line(sites, dnase, expression, expression_replicates, cell_line, registry)
+    stranded, place = [*_STRANDED, "_line"], [*_PLACE, "_line"]
     parts = gene_intervals(genes)
     names = ["dnase", "nucleosome", "subcompartment", "expression", "exon", "tx", "cds"]
 
     # track, strand and replicate in one number, and numbers for values: the large aggregates
     # then hash on few fixed-width columns instead of sorting text
-    def layer(df: DataFrame, name: str, value: Column, minus: Column = F.lit(False), replicate: Column = F.lit(0)) -> DataFrame:
-        code = F.lit(names.index(name)) + 8 * minus.cast("int") + 16 * replicate.cast("int")
+    def layer(df: DataFrame, name: str, value: Column, minus: Column = F.lit(False), replicate: Column = F.lit(0), line: Column = F.lit(0)) -> DataFrame:
+        code = F.lit(names.index(name)).cast("bigint") + 8 * minus.cast("int") + 16 * line + 16 * (LINES + 1) * replicate.cast("bigint")
         return df.select("chrom", "start", "end", F.col("load_seq").cast("bigint").alias("load_seq"), code.alias("layer"), value.cast("double").alias("value"))
 
     reverse = F.col("track_strand") == "-"
     every = (
-        layer(dnase, "dnase", F.col("value"))
+        layer(dnase, "dnase", F.col("value"), line=F.col("_line"))
         .unionByName(layer(nucleosomes, "nucleosome", F.col("value")))
         .unionByName(layer(subcompartments, "subcompartment", F.col("value")))
-        .unionByName(layer(expression, "expression", F.col("value"), reverse, F.col("replicate")))
+        .unionByName(layer(expression, "expression", F.col("value"), reverse, F.col("replicate"), F.col("_line")))
         .unionByName(layer(parts.filter("kind = 'exon'"), "exon", F.lit(1), reverse))
         .unionByName(layer(parts.filter("kind = 'tx'"), "tx", F.lit(1)))
         .unionByName(layer(parts.filter("kind = 'cds'"), "cds", F.lit(1)))
@@ -303,17 +349,18 @@ def genome_features(
     def present(name: str) -> Column:
         return of(name, _first_present(F.col("at_start"), F.col("at_end"), numeric=True))
 
-    def beside(name: str, same: bool, n: int) -> Column:
+    def beside(name: str, same: bool) -> Column:
         on_minus = F.floor(F.col("layer") / 8) % 2 == 1
         side = on_minus == (F.col("strand") == "-")
         picked = (F.col("layer") % 8 == names.index(name)) & (side if same else ~side)
-        return F.coalesce(F.sum(F.when(picked, F.greatest("before", "after"))), F.lit(0.0)) / n
+        return F.coalesce(F.sum(F.when(picked, F.greatest("before", "after"))), F.lit(0.0))
 
     # the loci with their lookups are written once: both walks start from those that missed,
     # and the rows themselves are joined once
-    loci = sites.select(*_STRANDED).distinct()
+    loci = sites.select(*stranded).distinct()
+    line_of = F.floor(F.col("layer") / 16) % (LINES + 1)
     found = annotations(
-        loci, every, _STRANDED, ["chrom"], ["layer"],
+        loci, every, stranded, ["chrom"], ["layer"],
         {
             "at_start": F.col("start"), "at_end": F.col("end"), "before": F.col("start") - 1, "after": F.col("end") + 1,
             "in_start": F.col("start") + 6, "in_end": F.col("end") - 6,
@@ -324,28 +371,52 @@ def genome_features(
             "nucleosome_mapping": present("nucleosome"),
             "_nucleosome_end": of("nucleosome", F.when(F.col("at_end").isNotNull(), 1)),
             "genomic_subcompartment": present("subcompartment"),
-            "NGG_exon_signalValue": beside("expression", True, expression_replicates),
-            "opposite_exon_signalValue": beside("expression", False, expression_replicates),
-            "in_NGG_exon": beside("exon", True, 1),
-            "in_opposite_exon": beside("exon", False, 1),
+            "NGG_exon_signalValue": beside("expression", True),
+            "opposite_exon_signalValue": beside("expression", False),
+            "in_NGG_exon": beside("exon", True),
+            "in_opposite_exon": beside("exon", False),
             "in_tx": of("tx", F.coalesce("at_start", "at_end").cast("int")),
             "in_cds": of("cds", F.coalesce("in_start", "in_end").cast("int")),
         },
+        keep=(line_of == 0) | (line_of == F.col("_line")),
     )
-    located = materialise(loci.join(found, _STRANDED, "left").fillna(0, [c for c in GENOME_FEATURES if c in found.columns]))
+    located = materialise(loci.join(found, stranded, "left").fillna(0, [c for c in GENOME_FEATURES if c in found.columns]))
     on_peak, near_peak = F.col("DHS_signalValue") != 0, F.col("_dhs_covered").isNotNull()
     on_nucleosome, near_nucleosome = F.col("nucleosome_mapping") != 0, F.col("_nucleosome_end").isNotNull()
-    off_peak = located.filter(~on_peak & ~near_peak).select(*_PLACE).distinct()
+    off_peak = located.filter(~on_peak & ~near_peak & has_dnase).select(*place).distinct()
     off_nucleosome = located.filter(~on_nucleosome & ~near_nucleosome).select(*_PLACE).distinct()
     got = (
-        located.join(walks(off_peak, dnase, ["chrom"], DNASE_STEP, DNASE_STEPS, "_dhs_steps"), _PLACE, "left")
+        located.join(walks(off_peak, dnase, ["chrom", "_line"], DNASE_STEP, DNASE_STEPS, "_dhs_steps"), place, "left")
         .join(walks(off_nucleosome, nucleosomes, ["chrom"], 1, NUCLEOSOME_STEPS, "_nucleosome_steps", numeric=True), _PLACE, "left")
         .withColumns({
             "distance_from_DHS": walked_distance(F.col("_dhs_steps"), on_peak, near_peak, DNASE_STEP),
             "length_from_nucleosome": walked_distance(F.col("_nucleosome_steps"), on_nucleosome, near_nucleosome, 1),
         })
     )
-    if cell_line in NO_EXPRESSION:
-        got = got.withColumns({c: F.lit(None).cast("double") for c in ("NGG_exon_signalValue", "opposite_exon_signalValue")})
-    got = telomere_distance(centromere_distance(got, gaps), gaps, sizes).select(*_STRANDED, *GENOME_FEATURES)
-    return sites.join(got, _STRANDED, "left").select(*sites.columns, *GENOME_FEATURES)
+    signals = ("NGG_exon_signalValue", "opposite_exon_signalValue")
+    got = got.withColumns({c: F.col(c) / replicates for c in signals} | {c: F.when(has_dnase, F.col(c)) for c in ("DHS_signalValue", "distance_from_DHS")})
+    got = telomere_distance(centromere_distance(got, gaps), gaps, sizes).select(*stranded, *GENOME_FEATURES)
+    return sites.join(got, stranded, "left").select(*columns, *GENOME_FEATURES)
+
+
+def _by_line(sites: DataFrame, dnase: DataFrame, expression: DataFrame, expression_replicates: int | None, cell_line: str | None, registry: DataFrame | None):
+    """Sites and the two tables of cell lines with ``_line`` (from 1), whether a line has DNase data, and its expression tables.
+
+    A site of a line that the registry does not know has 0, which no table has.
+    """
+    if registry is None:
+        silent = cell_line in NO_DATA["expression"]
+        one = lambda df: df.withColumn("_line", F.lit(1))
+        return one(sites), one(dnase), one(expression), F.lit(True), F.lit(None if silent else expression_replicates).cast("double")
+    known = registry.filter(F.col("mark").isin("dnase", "expression") & (F.col("replicates") > 0)).groupBy(*_LINE).agg(
+        F.max(F.when(F.col("mark") == "dnase", True)).alias("dnase"), F.max(F.when(F.col("mark") == "expression", F.col("replicates"))).alias("n"))
+    rows = known.orderBy(*_LINE).limit(LINES + 1).collect()  # names of cell lines, not data
+    if len(rows) > LINES:
+        raise ValueError(f"the registry has more than {LINES} cell lines")
+    number = _literal_map({f"{r.genome}\t{r.cell_line}": i for i, r in enumerate(rows, 1)} or {"": 0})
+    numbered = lambda df: df.withColumn("_line", F.coalesce(F.element_at(number, F.concat_ws("\t", *_LINE)), F.lit(0)))
+    has_dnase = F.col("_line").isin(*[i for i, r in enumerate(rows, 1) if r.dnase])
+    counts = {i: float(r.n) for i, r in enumerate(rows, 1) if r.n and r.cell_line not in NO_DATA["expression"]}
+    replicates = F.element_at(_literal_map(counts), F.col("_line")) if counts else F.lit(None).cast("double")
+    held = lambda df: numbered(df).filter("_line > 0")
+    return numbered(sites), held(dnase), held(expression), has_dnase, replicates

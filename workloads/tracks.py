@@ -113,14 +113,14 @@ def track_nearest_step1(spark, d):
 
 # --- strands and replicates ------------------------------------------------------------------
 
-def sql_strand(value: str, by: str, n: int, own: str, opposite: str, source: Derived = TRACK, where: str = "true") -> str:
+def sql_strand(value: str, by: str, n: int, own: str, opposite: str, source: Derived = TRACK, where: str = "true", points=POINTS) -> str:
     keys = "track_strand, replicate" if by else "track_strand"
     rep = "replicate" if by else "0"
     return f"""(with pb as materialized (select * from {per_base(value, keys, source, where)}),
-h as (select p.k, p.strand = b.track_strand as same, {rep} as rep, max(cast(b.v as double)) as v from {POINTS.sql} p join pb b on b.chrom = p.chrom and (b.pos = p.start - 1) group by all
- union all select p.k, p.strand = b.track_strand as same, {rep} as rep, max(cast(b.v as double)) as v from {POINTS.sql} p join pb b on b.chrom = p.chrom and (b.pos = p."end" + 1) group by all),
+h as (select p.k, p.strand = b.track_strand as same, {rep} as rep, max(cast(b.v as double)) as v from {points.sql} p join pb b on b.chrom = p.chrom and (b.pos = p.start - 1) group by all
+ union all select p.k, p.strand = b.track_strand as same, {rep} as rep, max(cast(b.v as double)) as v from {points.sql} p join pb b on b.chrom = p.chrom and (b.pos = p."end" + 1) group by all),
 m as (select k, same, rep, max(v) as v from h group by all)
-select p.k, coalesce(sum(m.v) filter (where same), 0)::double / {n} as "{own}", coalesce(sum(m.v) filter (where not same), 0)::double / {n} as "{opposite}" from {POINTS.sql} p left join m using (k) group by p.k)"""
+select p.k, coalesce(sum(m.v) filter (where same), 0)::double / {n} as "{own}", coalesce(sum(m.v) filter (where not same), 0)::double / {n} as "{opposite}" from {points.sql} p left join m using (k) group by p.k)"""
 
 
 @query("strand_signal_max_mean", f"select * from {sql_strand('quantity', 'replicate', 3, 'NGG_exon_signalValue', 'opposite_exon_signalValue')}")
@@ -174,14 +174,14 @@ def housekeeping_genes(spark, d):
     return found.select(F.col("listed_start"), "accession", "chrom", "start", "end")
 
 
-def sql_replicates(stranded: bool, n: int, out: str) -> str:
+def sql_replicates(stranded: bool, n: int, out: str, points=POINTS, source=TRACK) -> str:
     keys = "track_strand, replicate" if stranded else "replicate"
     match = "and b.track_strand = p.strand" if stranded else ""
-    return f"""(with pb as materialized (select * from {per_base('text_value', keys)}),
-s as (select p.k, b.replicate as rep, b.v from {POINTS.sql} p join pb b on b.chrom = p.chrom and b.pos = p.start {match}),
-e as (select p.k, b.replicate as rep, b.v from {POINTS.sql} p join pb b on b.chrom = p.chrom and b.pos = p."end" {match}),
+    return f"""(with pb as materialized (select * from {per_base('text_value', keys, source)}),
+s as (select p.k, b.replicate as rep, b.v from {points.sql} p join pb b on b.chrom = p.chrom and b.pos = p.start {match}),
+e as (select p.k, b.replicate as rep, b.v from {points.sql} p join pb b on b.chrom = p.chrom and b.pos = p."end" {match}),
 m as (select k, rep, coalesce(s.v, e.v)::double as v from s full join e using (k, rep))
-select p.k, coalesce(sum(m.v), 0)::double / {n} as {out} from {POINTS.sql} p left join m using (k) group by p.k)"""
+select p.k, coalesce(sum(m.v), 0)::double / {n} as {out} from {points.sql} p left join m using (k) group by p.k)"""
 
 
 @query("replicate_mean_methylation", f"select * from {sql_replicates(True, 3, 'methylation')}")
@@ -254,6 +254,79 @@ def add_genome_features(spark, d, sites: DataFrame) -> DataFrame:
     )
 
 
+# --- tracks of several cell lines -------------------------------------------------------------------
+# every other interval belongs to the second line; a third is known without expression, a fourth not at all
+_LINE_OF = "case cast(l_suppkey % 2 as int) when 0 then 'HEK293' else 'K56' end"
+LINE_TRACK = Derived("lineitem", {**TRACK.columns, "genome": "'hg19'", "cell_line": _LINE_OF})
+LINE_POINTS = layered("orders", dict(POINTS.layers[0], genome="'hg19'", cell_line="case cast(o_orderkey % 5 as int) when 0 then 'HEK293' when 1 then 'K56' when 2 then 'mESCs' when 3 then 'U2OS' else null end"), *POINTS.layers[1:])
+_REGISTRY = [("hg19", "HEK293", "dnase", 1), ("hg19", "K56", "dnase", 1), ("hg19", "U2OS", "dnase", 1), ("hg19", "HEK293", "expression", 3), ("hg19", "K56", "expression", 2), ("hg19", "mESCs", "expression", 4),
+             ("hg19", "HEK293", "methylation", 3), ("hg19", "K56", "methylation", 2), ("hg19", "mESCs", "methylation", 2), ("hg19", "HEK293", "H3K27me", 3), ("hg19", "K56", "H3K27me", 3), ("mm9", "U2OS", "H3K27me", 1)]
+
+
+def registry(spark):
+    return spark.createDataFrame(_REGISTRY, "genome string, cell_line string, mark string, replicates int")
+
+
+class _Part:
+    """One cell line of a source, as SQL."""
+
+    def __init__(self, source, line: str):
+        self.sql = f"(select * from {source.sql} where cell_line = '{line}')"
+
+
+def sql_by_line(of_line, columns: list[str], lines: dict[str, int]) -> str:
+    """The rows of every line with data from the plain form of a query; all other points get nulls."""
+    parts = " union all ".join(f"select k, {', '.join(columns)} from {of_line(line, n)}" for line, n in lines.items())
+    names = ", ".join(f"'{x}'" for x in lines)
+    return f"({parts} union all select k, {', '.join('null' for _ in columns)} from {LINE_POINTS.sql} where cell_line is null or cell_line not in ({names}))"
+
+
+def sql_line_replicates(stranded: bool, n: int, line: str) -> str:
+    return sql_replicates(stranded, n, "v", _Part(LINE_POINTS, line), _Part(LINE_TRACK, line))
+
+
+@query("replicate_mean_by_cell_line", f"""
+select a.k, a.v as methylation, b.v as histone from {sql_by_line(lambda x, n: sql_line_replicates(True, n, x), ["v"], {"HEK293": 3, "K56": 2})} a
+join {sql_by_line(lambda x, n: sql_line_replicates(False, n, x), ["v"], {"K56": 3})} b using (k)""")
+def replicate_mean_by_cell_line(spark, d):
+    base = track(spark, d, "text_value", LINE_TRACK)
+    got = tracks.replicate_mean_by_line(LINE_POINTS.df(spark, d), base, registry(spark), "methylation", "methylation", stranded=True)
+    return tracks.replicate_mean_by_line(got, base, registry(spark), "H3K27me", "histone").select("k", "methylation", "histone")
+
+
+_EXPRESSED = ['"NGG_exon_signalValue"', '"opposite_exon_signalValue"']
+
+
+def sql_line_expression(line: str, n: int) -> str:
+    return sql_strand("quantity", "replicate", n, "NGG_exon_signalValue", "opposite_exon_signalValue", _Part(LINE_TRACK, line), points=_Part(LINE_POINTS, line))
+
+
+@query("strand_signal_by_cell_line", f"select * from {sql_by_line(sql_line_expression, _EXPRESSED, {'HEK293': 3, 'K56': 2})}")
+def strand_signal_by_cell_line(spark, d):
+    got = tracks.strand_signal_by_line(LINE_POINTS.df(spark, d), track(spark, d, "quantity", LINE_TRACK), registry(spark), "expression", "NGG_exon_signalValue", "opposite_exon_signalValue")
+    return got.select("k", "NGG_exon_signalValue", "opposite_exon_signalValue")
+
+
+def sql_line_dnase(line: str, n: int) -> str:
+    return f"(select k, v::double as v, distance from {sql_stepped('text_value', 'p.v <> ' + chr(39) + '0' + chr(39), 50, 100, False, _Part(LINE_POINTS, line), _Part(LINE_TRACK, line))})"
+
+
+@query("genome_features_by_cell_line", f"""
+select p.k, dn.v as "DHS_signalValue", dn.distance as "distance_from_DHS", nu.v as nucleosome_mapping, nu.distance as length_from_nucleosome, ex."NGG_exon_signalValue", ex."opposite_exon_signalValue", in_tx, in_cds
+from {LINE_POINTS.sql} p join {sql_by_line(sql_line_dnase, ["v", "distance"], {"HEK293": 1, "K56": 1, "U2OS": 1})} dn using (k)
+join {sql_stepped('number_value', 'p.v <> 0', 1, 1000, True, POINTS, TRACK)} nu using (k)
+join {sql_by_line(sql_line_expression, _EXPRESSED, {'HEK293': 3, 'K56': 2})} ex using (k) join {sql_genes()} ge using (k)""")
+def genome_features_by_cell_line(spark, d):
+    lined, base = LINE_TRACK.df(spark, d), TRACK.df(spark, d)
+    got = tracks.genome_features(
+        LINE_POINTS.df(spark, d), gaps=GAPS.df(spark, d), sizes=sizes(spark, d), dnase=lined.withColumn("value", F.col("text_value")),
+        nucleosomes=base.withColumn("value", F.col("number_value")),
+        subcompartments=base.withColumn("value", tracks.subcompartment_code(F.expr(_LABEL_SQL)).cast("double")),
+        expression=lined.withColumn("value", F.col("quantity")), genes=genes(spark, d), registry=registry(spark),
+    )
+    return got.select("k", "DHS_signalValue", "distance_from_DHS", "nucleosome_mapping", "length_from_nucleosome", "NGG_exon_signalValue", "opposite_exon_signalValue", "in_tx", "in_cds")
+
+
 # --- expression and splice events -----------------------------------------------------------------------
 REGIONS = Derived("lineitem", {
     "accession": "cast(l_orderkey as string)", "chrom": "concat('chr', cast(l_linenumber as string))", "start": "l_orderkey * 10", "end": "l_orderkey * 10 + cast(l_quantity as bigint)",
