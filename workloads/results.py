@@ -89,6 +89,12 @@ def mode_routing(spark, d):
     return model.score_by_mode(near_features(spark, d).withColumn("mode", F.expr(_MODE)), models).select("k", "mode", "score")
 
 
+@query("mode_routing_deep", f"select k, {_MODE} as mode, case when k % 3 = 0 then {sql_score(deep_rows(4))} else {sql_score(deep_rows(10))} end as score from {sql_features(NEAR_ALIGNED_SQL)}")
+def mode_routing_deep(spark, d):
+    models = {"flanking": ensemble(spark, deep_rows(4)), "noflanking": ensemble(spark, deep_rows(10))}
+    return model.score_by_mode(near_features(spark, d).withColumn("mode", F.expr(_MODE)), models).select("k", "mode", "score")
+
+
 @query("rf_train_predict")
 def rf_train_predict(spark, d):
     rows = table(spark, d, "lineitem").selectExpr("l_orderkey as k", "l_quantity as q", "l_discount as x", "l_tax as t", "l_extendedprice / 10000 as label")
@@ -352,6 +358,6 @@ def locus_scoring_end_to_end(spark, d):
     chunks = genomes(spark, d)
     models = {"genomic": ensemble(spark, stump_rows(), "genomic"), "flanking": ensemble(spark, stump_rows(4), "flanking")}
     scored, _ = pair_scoring.score_loci(
-        CHROM_PAIRS.df(spark, d), chunks, load_table(shape_table(spark)), models, lambda sites: track_queries.add_genome_features(spark, d, sites),
+        CHROM_PAIRS.df(spark, d), chunks, load_table(shape_table(spark)), models, lambda sites: track_queries.add_line_features(spark, d, sites),
     )
     return scored.select("k", "chrom", "strand", "start", "end", "mode", "aln_rna", "aln_dna", "pa_score", "chromosome_number", "Distance_from_centromere", "in_tx", "score")

@@ -317,14 +317,19 @@ from {LINE_POINTS.sql} p join {sql_by_line(sql_line_dnase, ["v", "distance"], {"
 join {sql_stepped('number_value', 'p.v <> 0', 1, 1000, True, POINTS, TRACK)} nu using (k)
 join {sql_by_line(sql_line_expression, _EXPRESSED, {'HEK293': 3, 'K56': 2})} ex using (k) join {sql_genes()} ge using (k)""")
 def genome_features_by_cell_line(spark, d):
+    got = add_line_features(spark, d, LINE_POINTS.df(spark, d))
+    return got.select("k", "DHS_signalValue", "distance_from_DHS", "nucleosome_mapping", "length_from_nucleosome", "NGG_exon_signalValue", "opposite_exon_signalValue", "in_tx", "in_cds")
+
+
+def add_line_features(spark, d, sites: DataFrame) -> DataFrame:
+    """All 13 columns for sites with genome and cell_line."""
     lined, base = LINE_TRACK.df(spark, d), TRACK.df(spark, d)
-    got = tracks.genome_features(
-        LINE_POINTS.df(spark, d), gaps=GAPS.df(spark, d), sizes=sizes(spark, d), dnase=lined.withColumn("value", F.col("text_value")),
+    return tracks.genome_features(
+        sites, gaps=GAPS.df(spark, d), sizes=sizes(spark, d), dnase=lined.withColumn("value", F.col("text_value")),
         nucleosomes=base.withColumn("value", F.col("number_value")),
         subcompartments=base.withColumn("value", tracks.subcompartment_code(F.expr(_LABEL_SQL)).cast("double")),
         expression=lined.withColumn("value", F.col("quantity")), genes=genes(spark, d), registry=registry(spark),
     )
-    return got.select("k", "DHS_signalValue", "distance_from_DHS", "nucleosome_mapping", "length_from_nucleosome", "NGG_exon_signalValue", "opposite_exon_signalValue", "in_tx", "in_cds")
 
 
 # --- expression and splice events -----------------------------------------------------------------------
