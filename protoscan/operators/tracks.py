@@ -10,12 +10,16 @@ absent, so the lookup falls through to the other end of the site and then to the
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from protoscan.fixed import GENOME_FEATURES, NO_DATA, REPEAT_CLASS, REPEAT_FAMILY, SUBCOMPARTMENT
 from protoscan.functions.validate import _literal_map, is_assembled_chromosome
 from protoscan.operators.bounded import broadcast_if_small
 from protoscan.operators.intervals import annotate, annotations, lookup, walked_distance, walks
+from protoscan.operators.ordered import in_order, running_max_before, running_sum
 from protoscan.session import materialise
 
 _PLACE = ["chrom", "start", "end"]
@@ -268,17 +272,65 @@ def gene_intervals(genes: DataFrame) -> DataFrame:
     )
 
 
+def loaded_in_order(transcripts: DataFrame) -> DataFrame:
+    """The transcripts that an ordered load keeps, per chromosome and strand.
+
+    They are taken by ``load_seq``; one is loaded if its start or its end is not covered yet. Whether a letter is
+    covered depends on what overlaps it only, so the fold runs per connected stretch: rows are sorted by
+    start over the whole table, and a stretch begins where no earlier end reaches. Transcripts of other than
+    assembled chromosomes are left out.
+    """
+    group = ["chrom", "track_strand"]
+    narrow = transcripts.filter(is_assembled_chromosome("chrom")).select(*group, "start", "end", "load_seq")
+    rows = in_order(narrow, [F.col(c).asc() for c in [*group, "start", "end", "load_seq"]])
+    reached = running_max_before(rows, "end", "_reach", group)
+    opens = F.coalesce((F.col("start") > F.col("_reach")).cast("int"), F.lit(1))
+    stretches = running_sum(reached, opens, "_stretch")
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        covered = Stretches()
+        kept = []
+        for row in frame.sort_values("load_seq").itertuples():
+            if not (covered.holds(row.start) and covered.holds(row.end)):
+                covered.add(row.start, row.end)
+                kept.append(row.Index)
+        return frame.loc[kept, [*group, "load_seq"]]
+
+    schema = narrow.select(*group, "load_seq").schema
+    kept = stretches.select("_stretch", *group, "start", "end", "load_seq").groupBy("_stretch").applyInPandas(fold, schema)
+    return transcripts.join(kept, [*group, "load_seq"], "left_semi")
+
+
+class Stretches:
+    """A set of letters as sorted, disjoint stretches."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def holds(self, at: int) -> bool:
+        i = bisect_right(self.starts, at) - 1
+        return i >= 0 and at <= self.ends[i]
+
+    def add(self, start: int, end: int) -> None:
+        low = bisect_left(self.ends, start)
+        high = bisect_right(self.starts, end)
+        if low < high:
+            start, end = min(start, self.starts[low]), max(end, self.ends[high - 1])
+        self.starts[low:high], self.ends[low:high] = [start], [end]
+
+
 def housekeeping_genes(listed: DataFrame, genes: DataFrame, keep_listed: bool = False) -> DataFrame:
     """Transcripts under the starts of listed genes: gene, accession, chrom, track_strand, start, end.
 
-    A listed gene (chrom, strand, start) takes the transcript lying over its start on its
-    own strand, else on the other one; of several, the one loaded last.
+    Transcripts are loaded in order (``loaded_in_order``). A listed gene (chrom, strand, start) takes the one lying over
+    its start on its own strand, else on the other one; of several, the one loaded last.
     """
     tx = genes.select(
         "chrom", F.col("strand").alias("track_strand"), F.col("tx_start").alias("start"), F.col("tx_end").alias("end"), "load_seq",
         F.struct("gene", "accession", "chrom", F.col("strand").alias("track_strand"), F.col("tx_start").alias("start"), F.col("tx_end").alias("end")).alias("value"),
     )
-    found = lookup(listed.select("chrom", F.col("start").alias("position")), tx, ["chrom"], ["track_strand"])
+    found = lookup(listed.select("chrom", F.col("start").alias("position")), materialise(loaded_in_order(tx)), ["chrom"], ["track_strand"])
     own = F.max_by("value", F.when(F.col("track_strand") == F.col("strand"), 2).otherwise(1))
     placed = (
         listed.select("chrom", "strand", F.col("start").alias("position")).distinct().join(found, ["chrom", "position"])

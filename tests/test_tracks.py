@@ -115,3 +115,31 @@ def test_unknown_labels_are_null(spark):
     df = spark.createDataFrame([("A1",), ("NA",), ("Z9",)], "l string")
     assert [r[0] for r in df.select(tracks.subcompartment_code(F.col("l"))).collect()] == [1, 0, None]
     assert df.select(tracks.repeat_code(F.lit("LINE?"), F.lit("L1"))).head()[0] == 20
+
+
+def test_ordered_load_against_a_plain_one(spark):
+    rng = random.Random(31)
+    rows = []
+    for i in range(400):
+        start = rng.randrange(0, 3000)
+        rows.append((f"t{i}", rng.choice(["chr1", "chr2", "chrUn"]), rng.choice("+-"), start, start + rng.choice([0, 5, 40, 200]), rng.randrange(10**6) * 1000 + i))
+    want, covered = set(), {}
+    for name, chrom, strand, start, end, _ in sorted(rows, key=lambda r: r[5]):
+        letters = covered.setdefault((chrom, strand), set())
+        if chrom != "chrUn" and not (start in letters and end in letters):
+            letters |= set(range(start, end + 1))
+            want.add(name)
+    df = spark.createDataFrame(rows, "name string, chrom string, track_strand string, start long, end long, load_seq long")
+    got = [r.name for r in tracks.loaded_in_order(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and 50 < len(want) < 300
+    assert tracks.loaded_in_order(df.limit(0)).count() == 0
+
+
+def test_cell_lines_without_data_give_null(spark):
+    sites = spark.createDataFrame([(1, "hg19", "HEK293", "chr1", "+", 100, 122), (2, "hg19", "K56", "chr1", "+", 100, 122), (3, "hg19", "mESCs", "chr1", "+", 100, 122), (4, "hg19", None, "chr1", "+", 100, 122), (5, "mm9", "HEK293", "chr1", "+", 100, 122), (6, "hg19", "HEK293", "chr9", "-", 5, 27)], "k int, genome string, cell_line string, chrom string, strand string, start long, end long")
+    track = spark.createDataFrame([("hg19", "HEK293", "chr1", 90, 110, "4", 1, "+", 0), ("hg19", "K56", "chr1", 90, 110, "9", 2, "-", 0), ("hg19", "mESCs", "chr1", 90, 110, "7", 3, "+", 0)], "genome string, cell_line string, chrom string, start long, end long, value string, load_seq long, track_strand string, replicate int")
+    registry = spark.createDataFrame([("hg19", "HEK293", "methylation", 2), ("hg19", "K56", "methylation", 1), ("hg19", "mESCs", "methylation", 1), ("hg19", "HEK293", "H3K9me", 1), ("hg19", "K56", "H3K9me", 1)], "genome string, cell_line string, mark string, replicates int")
+    got = {r.k: r.v for r in tracks.replicate_mean_by_line(sites, track, registry, "methylation", "v", stranded=True).collect()}
+    assert got == {1: 2.0, 2: 0.0, 3: None, 4: None, 5: None, 6: 0.0}
+    got = {r.k: r.v for r in tracks.replicate_mean_by_line(sites, track, registry, "H3K9me", "v").collect()}
+    assert got == {1: None, 2: 9.0, 3: None, 4: None, 5: None, 6: None}  # HEK293 has no data of this mark

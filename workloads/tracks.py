@@ -164,14 +164,37 @@ def gene_tx_cds(spark, d):
     return tracks.gene_membership(POINTS.df(spark, d), tracks.gene_intervals(genes(spark, d)).filter("kind != 'exon'")).select("k", "in_tx", "in_cds")
 
 
+# dense transcripts, many inside others, in a load order that is not the order of their places
+NESTED = Derived(f"(select * replace (tx_start * 2 // 9 as tx_start, tx_start * 2 // 9 + tx_end - tx_start as tx_end, load_seq % 1000 * 100000000 + load_seq as load_seq) from {GENES.sql})", {})
+
+
+def nested_genes(spark, d) -> DataFrame:
+    return GENES.df(spark, d).selectExpr("accession", "gene", "chrom", "strand", "tx_start * 2 div 9 as tx_start", "tx_start * 2 div 9 + tx_end - tx_start as tx_end", "load_seq % 1000 * 100000000 + load_seq as load_seq")
+
+
+# one transcript of every chromosome and strand at a time, beside all those that were loaded before
+_LOADED_SQL = f"""(with recursive o as (select accession, chrom, strand, tx_start as s, tx_end as e, load_seq, row_number() over (partition by chrom, strand order by load_seq) as j from {NESTED.source}),
+f(chrom, strand, j, spans) as (select distinct chrom, strand, 0::bigint, []::struct(s bigint, e bigint, q bigint)[] from o
+ union all select f.chrom, f.strand, o.j, case when len(list_filter(spans, lambda x: x.s <= o.s and o.s <= x.e)) > 0 and len(list_filter(spans, lambda x: x.s <= o.e and o.e <= x.e)) > 0 then spans
+  else list_append(spans, {{'s': o.s, 'e': o.e, 'q': o.load_seq}}) end from f join o on o.chrom = f.chrom and o.strand = f.strand and o.j = f.j + 1),
+l as (select chrom, strand, unnest(arg_max(spans, j)) as x from f group by chrom, strand)
+select o.* from l join o on o.chrom = l.chrom and o.strand = l.strand and o.load_seq = l.x.q)"""
+
+
 @query("housekeeping_genes", f"""
-with listed as (select distinct chrom, strand, start from {POINTS.sql}), pb as materialized (select chrom, strand, pos, arg_max(accession, load_seq) as accession from (select chrom, strand, accession, load_seq, unnest(range(tx_start, tx_end + 1)) as pos from {GENES.sql}) group by all),
-h as (select l.chrom, l.strand, l.start, coalesce(max(b.accession) filter (where b.strand = l.strand), max(b.accession)) as accession from listed l join pb b on b.chrom = l.chrom and b.pos = l.start group by all)
-select h.start as listed_start, h.accession, g.chrom, g.tx_start as start, g.tx_end as "end" from h join {GENES.sql} g using (accession)""")
+with listed as (select distinct chrom, strand, start // 4 as start from {POINTS.sql}), loaded as materialized (select * from {_LOADED_SQL}),
+h as (select l.chrom, l.strand, l.start, coalesce(arg_max(g.load_seq, g.load_seq) filter (where g.strand = l.strand), arg_max(g.load_seq, g.load_seq)) as q from listed l join loaded g on g.chrom = l.chrom and l.start between g.s and g.e group by all)
+select h.strand as listed_strand, h.start as listed_start, g.accession, g.chrom, g.s as start, g.e as "end" from h join loaded g on g.chrom = h.chrom and g.load_seq = h.q""")
 def housekeeping_genes(spark, d):
-    listed = POINTS.df(spark, d).select("chrom", "strand", "start").distinct()
-    found = tracks.housekeeping_genes(listed, genes(spark, d), keep_listed=True)
-    return found.select(F.col("listed_start"), "accession", "chrom", "start", "end")
+    listed = POINTS.df(spark, d).selectExpr("chrom", "strand", "start div 4 as start").distinct()
+    found = tracks.housekeeping_genes(listed, nested_genes(spark, d), keep_listed=True)
+    return found.select("listed_strand", "listed_start", "accession", "chrom", "start", "end")
+
+
+@query("transcripts_loaded_in_order", f"select accession, chrom, strand, s as start, e as \"end\" from {_LOADED_SQL}")
+def transcripts_loaded_in_order(spark, d):
+    tx = nested_genes(spark, d).selectExpr("accession", "chrom", "strand as track_strand", "tx_start as start", "tx_end as end", "load_seq")
+    return tracks.loaded_in_order(tx).selectExpr("accession", "chrom", "track_strand as strand", "start", "end")
 
 
 def sql_replicates(stranded: bool, n: int, out: str, points=POINTS, source=TRACK) -> str:
