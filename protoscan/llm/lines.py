@@ -9,12 +9,11 @@ line goes whose Jaccard similarity with an earlier line, kept or not, is at leas
    natural order of the longs puts shingles that must be rare first.
 2. Lines of equal sets become one row with their earliest line (an aggregate, so copies combine before the
    shuffle). Its prefix, the first ``n - ceil(4n/5) + 1`` shingles, must meet the prefix of any match.
-3. Shingles that are in one prefix only are left out. In each of ``ROUNDS`` rounds the lines of a shingle that are not settled
-   yet are compared with the earliest of them, which settles a family of near copies in linear work: a leader that stays
-   unsettled differs from the leaders before it and so finds other members. Only lines that stay unsettled after that
-   meet the whole lists, each pair once: at the first shingle that both prefixes have. A pair is met only if lengths fit, enough places are left
-   behind the shingle in both lines, and the prefixes share enough (``ONCE``); then whole sets are compared.
-   The sets of the lines in question are read from the texts once.
+3. Shingles that are in one prefix only are left out. Each line is first compared with the earliest line of
+   each of its shingles, which settles families of near copies in linear work; only lines that
+   stay unsettled meet the whole lists, each pair once: at the first shingle that both prefixes have. A pair is met only if lengths
+   fit, enough places are left behind the shingle in both lines, and the prefixes share enough (``ONCE``); then whole sets are
+   compared. The sets of the lines in question are read from the texts once.
 
 Shingles are compared by their 57-bit hash and class, sets of equal lines by 128 bits.
 
@@ -34,7 +33,6 @@ from protoscan.operators.bounded import broadcast_if_small
 SHINGLE = 5
 BUCKETS = 1 << 17
 BROADCAST_ROWS = 500_000
-ROUNDS = 2
 SPACES = r"[\x20\x09-\x0D]+"
 HASH = (1 << 57) - 1
 
@@ -89,33 +87,26 @@ def kept_lines(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     lines = line_sets(documents, levels, shingle)
     grouped = lines.groupBy(F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(7), F.col("t")).alias("h2"), F.size("t").alias("n")).agg(
         F.min(F.expr(LINE)).alias("line"), F.first(F.expr("slice(t, 1, size(t) div 5 + 1)")).alias("prefix"))
-    firsts = materialise(grouped.select(F.monotonically_increasing_id().alias("lid"), "line", "n", "prefix"))
+    # numbered in the order of the lines, so that everything after this compares and carries numbers only
+    firsts = materialise(grouped.select("line", "n", "prefix").orderBy("line").select(F.monotonically_increasing_id().alias("lid"), "line", "n", "prefix"))
 
-    prefix = firsts.select(F.posexplode("prefix").alias("pos", "token"), "lid", "n", "line")
+    prefix = firsts.select(F.posexplode("prefix").alias("pos", "token"), "lid", "n")
     shared = materialise(firsts.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1").select("token"))
-    lists = materialise(prefix.join(broadcast_if_small(shared, BROADCAST_ROWS), "token"))
-
-    refs = lists.select("lid").distinct().join(firsts.select("lid", "line"), "lid")
+    lists = materialise(prefix.join(broadcast_if_small(shared, BROADCAST_ROWS), "token").select("token", "lid", "n", "pos"))
+    refs = firsts.join(lists.select("lid").distinct(), "lid", "left_semi")
     refs = materialise(refs.select("lid", F.col("line.doc_id").alias("only_id"), F.col("line.text_key").alias("only_key"), F.col("line.line_no").alias("only_no")))
     sets = materialise(line_sets(documents, levels, shingle, refs).dropDuplicates(["lid"]))
 
-    walking, gone = lists, lists.select("lid").limit(0)
-    for _ in range(ROUNDS):
-        leaders = walking.groupBy("token").agg(F.min(F.struct("line", "n", "lid", "pos")).alias("s"))
-        leaders = leaders.select("token", F.col("s.line").alias("other_line"), F.col("s.lid").alias("other"), F.col("s.n").alias("m"), F.col("s.pos").alias("pos2"))
-        behind = materialise(walking.join(leaders, "token").where("other_line < line"))
-        found = _similar(behind.where(BOUNDS), sets)
-        gone = gone.union(found)
-        walking = behind.select("token", "lid", "n", "pos", "line").join(found, "lid", "left_anti")
-    gone = materialise(gone.distinct())
-
-    asking = materialise(lists.join(gone, "lid", "left_anti"))
-    prefixes = firsts.select("lid", "prefix")
-    others = lists.join(asking.select("token").distinct(), "token", "left_semi").join(prefixes, "lid")
-    others = others.toDF("other", "token", "pos2", "m", "other_line", "prefix2")
-    asking = asking.join(prefixes, "lid").select("token", "lid", "n", "pos", "line", "prefix")
-    met = asking.join(others, "token").where("other_line < line").where(BOUNDS).where(ONCE)
-    gone = gone.union(_similar(met, sets))
+    star = lists.groupBy("token").agg(F.min(F.struct("lid", "n", "pos")).alias("s"))
+    star = star.select("token", F.col("s.lid").alias("other"), F.col("s.n").alias("m"), F.col("s.pos").alias("pos2"))
+    settled = _similar(lists.join(star, "token").where("other < lid").where(BOUNDS), sets)
+
+    asking = materialise(lists.join(settled, "lid", "left_anti"))
+    others = lists.join(asking.select("token").distinct(), "token", "left_semi").toDF("token", "other", "m", "pos2")
+    wanted = asking.select("lid").union(others.select("other")).distinct()
+    prefixes = materialise(firsts.select("lid", "prefix").join(wanted, "lid", "left_semi"))
+    met = asking.join(prefixes, "lid").join(others.join(prefixes.toDF("other", "prefix2"), "other"), "token").where("other < lid").where(BOUNDS).where(ONCE)
+    gone = settled.union(_similar(met, sets))
     stay = firsts.select("lid", "line").join(gone, "lid", "left_anti").select("line.doc_id", "line.text_key", "line.line_no")
     return stay.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("line_no")).alias("kept"))
 
