@@ -10,7 +10,7 @@ and table cells padded to the widest cell of their column.
 
 All visible text is written, menus and footers too. Null and empty pages give an empty text. Broken markup never
 fails: what is not a tag is text. Elements nest ``DEPTH`` deep at most; deeper ones become children of the element at this depth, so their
-text is kept. Spark deals the pages out; there is no shuffle.
+text is kept, and an invisible one there still hides all up to its end. Spark deals the pages out; there is no shuffle.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 from protoscan.llm.common import columns, fields, map_batches, others
 
 DEPTH = 200
+#: HTML's own limit.
+COLSPAN = 1000
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -93,6 +95,10 @@ def _tag_end(page: str, at: int, failed: set[int]) -> int:
     return -1
 
 
+def _raw_end(page: str, tag: str, at: int) -> re.Match:
+    return re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
+
+
 def parse(page: str) -> Node:
     """The tree of a page."""
     root = Node("html")
@@ -112,6 +118,8 @@ def parse(page: str) -> Node:
 
     begin = at = 0
     failed: set[int] | None = None
+    swallowed: dict[str, int] | None = None  # open elements, by tag, of an invisible one that is too deep for the tree
+    hider = ""
     while True:
         m = TOKEN.search(page, at)
         if not m:
@@ -126,8 +134,24 @@ def parse(page: str) -> Node:
                 failed = set() if failed is None else failed
                 continue
             attributes, at = page[at:stop], stop + 1
-        text(page[begin : m.start()])
+        if swallowed is None:
+            text(page[begin : m.start()])
         begin = at
+        if swallowed is not None:
+            tag = (end or start or "").lower()
+            if end and swallowed.get(tag):
+                swallowed[tag] -= 1
+                if tag == hider and not swallowed[tag]:
+                    swallowed = None
+                continue
+            if end and any(n.tag == tag for n in stack) or start and swallowed[hider] == 1 and (hider in IMPLIED.get(tag, ((),))[0] or hider == "p" and tag in ENDS_P):
+                swallowed = None  # what holds it ends, or what follows ends it
+            else:
+                if start and tag in RAW:
+                    begin = at = _raw_end(page, tag, at).end()
+                elif start and tag not in VOID:
+                    swallowed[tag] = swallowed.get(tag, 0) + 1
+                continue
         if end:
             end = end.lower()
             if end == "p" and not any(n.tag == "p" for n in stack):
@@ -149,7 +173,7 @@ def parse(page: str) -> Node:
             node = Node(tag, attributes)
             stack[-1].children.append(node)
             if tag in RAW:
-                closing = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
+                closing = _raw_end(page, tag, at)
                 value = page[at : closing.start()]
                 if value:
                     node.children.append(entities.unescape(value) if tag in ("textarea", "title") else value)
@@ -157,6 +181,8 @@ def parse(page: str) -> Node:
             elif tag not in VOID and not node.attributes.rstrip().endswith("/") or tag in ("p", "div", "a", "li", "td") and tag not in VOID:
                 if len(stack) < DEPTH:
                     stack.append(node)
+                elif not node.visible():
+                    swallowed, hider = {tag: 1}, tag
         elif m[0].startswith("<![CDATA["):
             text(m[0][9:-3].replace("&", "&amp;"))
 
@@ -240,27 +266,32 @@ def _table(node: Node, out: Writer) -> None:
             out.end(1)
             render(child, out)
             out.end(1)
-    grid = []
+    grid: list[dict[int, str]] = []  # the text of a row by column; columns without any text take no room
     for row in _rows(node):
-        cells = []
+        cells, column = {}, 0
         for child in row.children:
             if isinstance(child, str):
-                if child.strip():
-                    cells.append(" ".join(child.split()))
+                value, span = " ".join(child.split()), 1
+                if not value:
+                    continue
             elif child.visible():
                 inner = Writer()
                 render(child, inner)
-                span = child.attribute("colspan") if child.attributes else None
-                cells.append(" ".join(inner.text().split()))
-                cells += [""] * (min(int(span), 50) - 1 if span and span.isdigit() else 0)
-        if any(cells):
+                wide = child.attribute("colspan") if child.attributes else None
+                value, span = " ".join(inner.text().split()), min(int(wide), COLSPAN) if wide and wide.isdigit() and len(wide) < 10 and int(wide) else 1
+            else:
+                continue
+            if value:
+                cells[column] = value
+            column += span
+        if cells:
             grid.append(cells)
-    widths = [max((len(r[i]) for r in grid if i < len(r) - 1), default=0) for i in range(max(map(len, grid), default=0))]
+    used = sorted({c for cells in grid for c in cells})
+    widths = {c: max((len(cells[c]) for cells in grid if c in cells and c != max(cells)), default=0) for c in used}
     for cells in grid:
-        while cells and not cells[-1]:
-            cells.pop()
+        last = max(cells)
         out.end(1)
-        out.exact("  ".join([c.ljust(widths[i]) for i, c in enumerate(cells[:-1])] + cells[-1:]))
+        out.exact("  ".join([cells.get(c, "").ljust(widths[c]) for c in used if c < last] + [cells[last]]))
         out.end(1)
 
 

@@ -99,7 +99,7 @@ KINDS = [
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", mod_97, score=0.9, hint=DIGIT),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", score=0.4, context=NAME + "(ssn|social security)", hint=DIGIT),
     Kind("key", r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])", score=0.9, hint="contains({0}, 'AKIA')"),
-    Kind("secret", r"(?<![A-Za-z0-9])[A-Za-z0-9_+/-]{12,128}(?![A-Za-z0-9_+/-])", score=0.4, context=r"(password|passwd|secret|token|api[_-]?key)[\\x20\"]{0,3}[=:][\\x20\"]{0,3}$", hint="{0} rlike '(?i)(password|passwd|secret|token|api[_-]?key)'"),
+    Kind("secret", r"(?<![A-Za-z0-9])[A-Za-z0-9_+/-]{12,}+", score=0.4, context=r"(password|passwd|secret|token|api[_-]?key)[\\x20\"]{0,3}[=:][\\x20\"]{0,3}$", hint="{0} rlike '(?i)(password|passwd|secret|token|api[_-]?key)'"),
 ]
 ORDER = ["email", "ip", "card", "phone", "iban", "ssn", "key", "secret"]
 

@@ -450,6 +450,32 @@ def test_long_attributes_and_open_quotes():
     assert html.page_text(row) == "x <a 'y  1"
 
 
+def test_hidden_text_below_the_depth_limit():
+    for deep in (199, 205, 300):
+        opened = "<div>" * deep
+        assert html.page_text(opened + "<p hidden>SECRET</p>seen") == "seen"
+        assert html.page_text(opened + "<div hidden>SECRET<div>SECRET</div>SECRET</div>seen" + "</div>" * deep + "after") == "seen\nafter"
+        assert html.page_text(opened + "<svg><text>SECRET</text></svg>seen<noscript>SECRET</noscript>") == "seen"
+        assert html.page_text(opened + "<p hidden>SECRET<p>seen") == "seen"
+        assert html.page_text("<section>" + opened + "<b hidden>SECRET<script></b></script></section>after") == "after"
+
+
+def test_columns_of_wide_cells():
+    assert html.page_text("<table><tr><td colspan=60>a<td>b<tr><td>c<td colspan=59>d<td>e</table>") == "a     b\nc  d  e"
+    row = "<tr>" + "<td colspan=1000>x" * 500
+    assert html.page_text("<table>" + row * 20 + "</table>").count("x") == 10_000
+
+
+def test_pages_of_an_empty_table(spark):
+    assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_long_secrets_are_whole(spark):
+    token = "aB3" * 150
+    found = pii.find(spark.createDataFrame([(1, f"token={token} end")], "doc_id long, text string")).first().spans
+    assert [(s.kind, s.start, s.end) for s in found] == [("secret", 6, 6 + len(token))]
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", None, 5), (None, None, "<p>x", 6), (1, "u", None, 5)], "page_id long, url string, html string, `_HTML` int")
     assert sorted((r.page_id or 0, r.text) for r in html.extract(pages).collect()) == [(0, "x"), (1, ""), (1, "")]
