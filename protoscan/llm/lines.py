@@ -13,7 +13,7 @@ line goes whose Jaccard similarity with an earlier line, kept or not, is at leas
    each of its shingles, which settles families of near copies in linear work; only lines that
    stay unsettled meet the whole lists, each pair once: at the first shingle that both prefixes have. A pair is met only if lengths
    fit, enough places are left behind the shingle in both lines, and the prefixes share enough (``ONCE``); then whole sets are
-   compared. The sets of the lines in question are read from the texts once.
+   compared.
 
 Shingles are compared by their 57-bit hash and class, sets of equal lines by 128 bits.
 
@@ -74,9 +74,12 @@ def line_sets(documents: DataFrame, levels: Column, shingle: int = SHINGLE, only
     return each.select(*kept, ranked.alias("r")).select(*kept, F.expr(shingles).alias("t"))
 
 
-def _similar(met: DataFrame, sets: DataFrame) -> DataFrame:
-    """The lines (lid) of pairs (lid, other) whose whole sets are similar enough."""
-    pairs = met.select("lid", "other").distinct()
+def _similar(met: DataFrame, firsts: DataFrame, documents: DataFrame, levels: Column, shingle: int) -> DataFrame:
+    """The lines (lid) of pairs (lid, other) whose whole sets are similar enough; the sets are read from the texts."""
+    pairs = materialise(met.select("lid", "other").distinct())
+    refs = firsts.select("lid", "line").join(pairs.select("lid").union(pairs.select("other")).distinct(), "lid", "left_semi")
+    refs = materialise(refs.select("lid", F.col("line.doc_id").alias("only_id"), F.col("line.text_key").alias("only_key"), F.col("line.line_no").alias("only_no")))
+    sets = materialise(line_sets(documents, levels, shingle, refs).dropDuplicates(["lid"]))
     both = pairs.join(sets, "lid").join(sets.toDF("other", "t2"), "other")
     return materialise(both.where("9 * size(array_intersect(t, t2)) >= 4 * (size(t) + size(t2))").select("lid").distinct())
 
@@ -93,20 +96,17 @@ def kept_lines(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     prefix = firsts.select(F.posexplode("prefix").alias("pos", "token"), "lid", "n")
     shared = materialise(firsts.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1").select("token"))
     lists = materialise(prefix.join(broadcast_if_small(shared, BROADCAST_ROWS), "token").select("token", "lid", "n", "pos"))
-    refs = firsts.join(lists.select("lid").distinct(), "lid", "left_semi")
-    refs = materialise(refs.select("lid", F.col("line.doc_id").alias("only_id"), F.col("line.text_key").alias("only_key"), F.col("line.line_no").alias("only_no")))
-    sets = materialise(line_sets(documents, levels, shingle, refs).dropDuplicates(["lid"]))
 
     star = lists.groupBy("token").agg(F.min(F.struct("lid", "n", "pos")).alias("s"))
     star = star.select("token", F.col("s.lid").alias("other"), F.col("s.n").alias("m"), F.col("s.pos").alias("pos2"))
-    settled = _similar(lists.join(star, "token").where("other < lid").where(BOUNDS), sets)
+    settled = _similar(lists.join(star, "token").where("other < lid").where(BOUNDS), firsts, documents, levels, shingle)
 
     asking = materialise(lists.join(settled, "lid", "left_anti"))
     others = lists.join(asking.select("token").distinct(), "token", "left_semi").toDF("token", "other", "m", "pos2")
     wanted = asking.select("lid").union(others.select("other")).distinct()
     prefixes = materialise(firsts.select("lid", "prefix").join(wanted, "lid", "left_semi"))
     met = asking.join(prefixes, "lid").join(others.join(prefixes.toDF("other", "prefix2"), "other"), "token").where("other < lid").where(BOUNDS).where(ONCE)
-    gone = settled.union(_similar(met, sets))
+    gone = settled.union(_similar(met, firsts, documents, levels, shingle))
     stay = firsts.select("lid", "line").join(gone, "lid", "left_anti").select("line.doc_id", "line.text_key", "line.line_no")
     return stay.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("line_no")).alias("kept"))
 
