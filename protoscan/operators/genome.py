@@ -71,7 +71,7 @@ def fetch_regions(
         *by, contig_key("contig").alias("_key"), F.col("chunk").alias("_chunk"), F.col("chunk_start").alias("_at"),
         F.col("core_length").alias("_core"), F.col("contig_length").alias("_length"), F.col("seq").alias("_seq"),
     )
-    place = [*by, "_key"]
+    place, kept = [*by, "_key"], [c for c in ask.columns if c != out]
     fits = F.coalesce(F.col("_to") - F.col("_from") < halo, F.lit(True))
     only_short = longest is not None and longest <= halo
     short = F.substr("_seq", (F.col("_from") - F.col("_at")).cast("int"), F.greatest(F.col("_to") - F.col("_from") + 1, F.lit(0)).cast("int"))
@@ -79,7 +79,7 @@ def fetch_regions(
         (ask if only_short else ask.filter(fits)).withColumn("_chunk", F.expr(f"(_from - 1) div {size}"))
         .join(have, [*place, "_chunk"], "left")
         .withColumn(out, F.coalesce(_checked(short, size, halo), F.lit("")))
-        .select(*ask.columns, out)
+        .select(*kept, out)
     )
     if not only_short:
         # the letters of a region depend on nothing but its place, so equal regions are put together once
@@ -95,7 +95,7 @@ def fetch_regions(
             .groupBy(*place, "_from", "_to")
             .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_chunk", _checked(piece, size, halo).alias("p")))), lambda x: x["p"]), "").alias("_long"))
         )
-        far = ask.filter(~fits).join(long, [*place, "_from", "_to"], "left").withColumn(out, F.coalesce("_long", F.lit(""))).select(*ask.columns, out)
+        far = ask.filter(~fits).join(long, [*place, "_from", "_to"], "left").withColumn(out, F.coalesce("_long", F.lit(""))).select(*kept, out)
         got = got.unionByName(far)
     asked = F.col(end) - F.col(start) + 1
     warning = (

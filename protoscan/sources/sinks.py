@@ -17,9 +17,21 @@ def write_scores(df: DataFrame, path: str) -> None:
     _flat(df).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_pair_scores(scored: DataFrame, path: str) -> None:
+    """Scores of pair files: the cells as they were given and the score, in the order of the files."""
+    ordered = scored.repartitionByRange("file", "line_seq").sortWithinPartitions("file", "line_seq")
+    ordered.select("input.*", "score").write.mode("overwrite").option("header", True).csv(path)
+
+
 def write_ranked(df: DataFrame, path: str, per_guide: str | None = None) -> None:
-    """Ranked tables; with ``per_guide`` one folder per guide."""
-    writer = _flat(df).write.mode("overwrite").option("header", True)
+    """Ranked tables in their order; with ``per_guide`` one folder per guide.
+
+    Rows are range-partitioned by guide and rank, so a guide is in one file, or in a few that follow each other if it
+    has a large share of all rows.
+    """
+    order = [*([per_guide] if per_guide else []), *(["rank"] if "rank" in df.columns else [])]
+    placed = _flat(df).repartitionByRange(*order).sortWithinPartitions(*order) if order else _flat(df)
+    writer = placed.write.mode("overwrite").option("header", True)
     (writer.partitionBy(per_guide) if per_guide else writer).csv(path)
 
 

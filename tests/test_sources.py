@@ -138,3 +138,51 @@ def test_sinks(spark, tmp_path):
     track = spark.createDataFrame([("chr2", 5, 9, "x", 0)], "chrom string, start bigint, end bigint, value string, load_seq bigint")
     sinks.write_track(track, str(tmp_path / "track"))
     assert spark.read.parquet(str(tmp_path / "track")).count() == 1
+
+
+def test_pair_file_to_scores_and_back(spark, shape, tmp_path):
+    from protoscan.operators.genome import chunk_contigs
+    from protoscan.plans import pair_scoring
+    from workloads.results import ensemble, stump_rows
+
+    rng = random.Random(44)
+    seqs = {g: "".join(rng.choice("ACGT") for _ in range(600)) for g in ("mm9", "rn4")}
+    write(tmp_path, "p/a.csv", 'note\ntarget_id,sgRNA,dna_seq_29nt\n1,GAGTCCTAGCAGAAGAAGAA,cctGAGTCCGAGCAGAAGAAGAAGGGCTC\n2,"ACGT",AC\n')
+    write(tmp_path, "p/b.csv", "target_id,sgRNA,genome,cell,chr,strand,start\n" + "".join(f"{i},GAGTCCTAGCAGAAGAAGAA,{g},K562,{c},plusStrand,{s}\n" for i, (g, c, s) in enumerate([("mm9", "7", 150), ("rn4", "Chr7", "150"), ("mm9", "7", 590), ("xx1", "7", 150), ("mm9", "7", "?")], 10)))
+    store = str(tmp_path / "store")
+    for g, seq in seqs.items():
+        genome_files.write_genome(chunk_contigs(spark.createDataFrame([("chr7", seq)], "contig string, seq string")), store, g)
+    chunks = genome_files.read_genomes(spark, store)
+    models = {"noflanking": ensemble(spark, stump_rows()), "flanking": ensemble(spark, stump_rows(4), "flanking")}
+    scored, rejected = pair_scoring.score_pair_file(spark, str(tmp_path / "p"), shape, models, chunks)
+    done, lost = {r.input.id: r for r in scored.collect()}, {r.input.id: r for r in rejected.collect()}
+    assert set(done) == {"1", "10", "11"} and set(lost) == {"2", "12", "13", "14"}
+    assert done["1"].mode == "noflanking" and done["10"].mode == "flanking" and all(r.score is not None for r in done.values())
+    assert done["1"].input.context == "cctGAGTCCGAGCAGAAGAAGAAGGGCTC" and done["11"].input.chrom == "Chr7" and lost["14"].input.start == "?"
+    placed = pair_scoring.locus_contexts(pairs.read_pairs(spark, str(tmp_path / "p/b.csv")), chunks)
+    contexts = {r.id: r.context for r in placed.filter("reject_reason is null").collect()}
+    assert contexts == {"10": seqs["mm9"][49:272], "11": seqs["rn4"][49:272]}  # each row from its own genome
+    sinks.write_pair_scores(scored, str(tmp_path / "out"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "out"))
+    assert back.columns == ["id", "guide", "context", "genome", "cell_type", "chrom", "strand", "start", "score"] and {r.id for r in back.collect()} == set(done)
+
+
+def test_ranked_files_keep_their_order(spark, tmp_path):
+    rows = [(f"G{i % 3}", i // 3 + 1, i / 7) for i in range(300)]
+    random.Random(3).shuffle(rows)
+    sinks.write_ranked(spark.createDataFrame(rows, "guide string, rank int, score double").repartition(8), str(tmp_path / "r"), per_guide="guide")
+    for guide in ("G0", "G1", "G2"):
+        files = sorted((tmp_path / "r" / f"guide={guide}").glob("*.csv"))
+        ranks = [int(line.split(",")[0]) for f in files for line in f.read_text().splitlines()[1:]]
+        assert ranks == list(range(1, 101)) and len(files) <= 2
+
+
+def test_chunks_of_another_size_are_refused(spark):
+    import pytest
+
+    chunks = genome.chunk_contigs(spark.createDataFrame([("c", "ACGT" * 300)], "contig string, seq string"), size=128, halo=64)
+    asked = spark.createDataFrame([("c", 200, 220), ("c", 5, 1000)], "contig string, start long, end long")
+    assert sorted(len(r.seq) for r in genome.fetch_regions(asked, chunks, size=128, halo=64).collect()) == [21, 996]
+    for size, halo in ((256, 64), (128, 32)):
+        with pytest.raises(Exception, match="was not cut with"):
+            genome.fetch_regions(asked, chunks, size=size, halo=halo).collect()

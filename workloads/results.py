@@ -8,11 +8,11 @@ from protoscan.fixed import MODEL_INPUTS
 from protoscan.functions.shape import load_table
 from protoscan.operators import align, catalog, features, genome, model, post, scan, search
 from protoscan.plans import offtargets, pair_scoring, sequence_scan
-from protoscan.sources.pairs import guides_in_text
+from protoscan.sources.pairs import guides_in_text, parse_pairs
 from protoscan.sources.sam import parse_hits
 from workloads import tracks as track_queries
 from workloads.base import CONTIGS_SQL, NEAR_PAIRS, SITES, Derived, contigs, dna, layered, query, table
-from workloads.sequence import NEAR_ALIGNED_SQL, shape_table, sql_codes, sql_count, sql_features, sql_global, sql_rc, sql_scan, sql_scan_context
+from workloads.sequence import NEAR_ALIGNED_SQL, shape_table, sql_codes, sql_count, sql_features, sql_gapped, sql_global, sql_rc, sql_scan, sql_scan_context
 
 # --- models -----------------------------------------------------------------------------
 # Stand-ins for trained members, made by rule. Leaf values are eighths, so sums are exact.
@@ -361,3 +361,45 @@ def locus_scoring_end_to_end(spark, d):
         CHROM_PAIRS.df(spark, d), chunks, load_table(shape_table(spark)), models, lambda sites: track_queries.add_line_features(spark, d, sites),
     )
     return scored.select("k", "chrom", "strand", "start", "end", "mode", "aln_rna", "aln_dna", "pa_score", "chromosome_number", "Distance_from_centromere", "in_tx", "score")
+
+
+# pair files as lines: two of each layout, a line of text above each header, and what follows it
+_FILE_LINES = layered(
+    "orders",
+    {"k": "o_orderkey", "g": dna("o_orderkey", 20, "g"), "f": dna("o_orderkey", 9, "f"), "q": "cast(o_orderkey % 20 as int) + 1", "c": "cast(o_custkey as string)",
+     "strand": "case when o_orderkey % 3 = 0 then 'minusStrand' else 'plusStrand' end", "start": "case when o_orderkey % 11 = 3 then 'here' else cast(o_orderkey % 300 + 1 as string) end"},
+    {"guide": "case cast(k % 9 as int) when 1 then lower(g) when 2 then concat(g, 'AGG') when 4 then substr(g, 1, 18) else g end",
+     "context": "concat(substr(f, 2, 3), substr(g, 1, q - 1), 'C', substr(g, q + 1), substr(f, 1, 1), 'GG', substr(f, 5, case when k % 7 = 5 then 2 else 3 end))"},
+    {"file": "concat('file', cast(k % 4 as string))", "line_seq": "k + 10",
+     "text": "case when k % 4 < 2 then concat('t', cast(k as string), ',', guide, ',', context) else concat('\"t', cast(k as string), '\",', guide, ',mm9,293T,', c, ',', strand, ',', start) end"},
+)
+_HEADERS = [("file0", 1, "a remark, target_id included"), ("file0", 2, "target_id,sgRNA,dna_seq_29nt"), ("file1", 2, '"target_id",sgRNA,dna_seq_29nt'),
+            ("file2", 1, ""), ("file2", 3, "target_id,sgRNA,genome,cell,chromosome,strand,start"), ("file3", 4, "target_id,sgRNA,genome,cell,chromosome,strand,start"), ("file3", 5, "   "), ("file9", 1, "no header here")]
+
+
+def file_lines(spark, d) -> DataFrame:
+    return _FILE_LINES.df(spark, d).select("file", "line_seq", "text").unionByName(spark.createDataFrame(_HEADERS, "file string, line_seq long, text string"))
+
+
+@query("pair_file_parse", f"""
+select file, line_seq, concat('t', cast(k as varchar)) as id, guide, case when k % 4 < 2 then context end as context, case when k % 4 >= 2 then 'mm9' end as genome, case when k % 4 >= 2 then '293T' end as cell_type,
+ case when k % 4 >= 2 then c end as chrom, case when k % 4 >= 2 then strand end as strand, case when k % 4 >= 2 then try_cast(start as bigint) end as start from {_FILE_LINES.sql}""")
+def pair_file_parse(spark, d):
+    return parse_pairs(file_lines(spark, d)).drop("input")
+
+
+_FILE_PAIRS = f"(select k, g as guide, concat(g, 'NGG') as sgrna, upper(context) as context, 3 as flank, substr(context, 4, 23) as site, left(context, 23) as upstream from {_FILE_LINES.sql} where k % 4 < 2 and k % 9 <> 4 and k % 7 <> 5)"
+_FILE_CONTEXTS = f"""(select k, g as guide, concat(g, 'NGG') as sgrna, case when p.strand = 'minusStrand' then {sql_rc('substr(seq, spot - 100, 223)')} else substr(seq, spot - 100, 223) end as context
+ from (select *, try_cast(start as integer) as spot from {_FILE_LINES.sql}) p join {_GENOMES} c on c.genome = 'mm9' and c.contig = concat('chr', p.c) where k % 4 >= 2 and k % 9 <> 4 and spot > 100 and spot + 122 <= length(seq))"""
+_FILE_LOCI = f"(select *, 100 as flank, substr(context, 101, 23) as site, substr(context, 98, 23) as upstream from {_FILE_CONTEXTS})"
+
+
+@query("score_pair_file", f"""
+with a as materialized (select k, guide, sgrna, context, flank, site, upstream from {_FILE_PAIRS} union all select k, guide, sgrna, context, flank, site, upstream from {_FILE_LOCI}),
+t as materialized (select a.*, concat(z.a, 'NGG') as aln_rna, concat(z.b, right(site, 3)) as aln_dna, z.s / 4.0::double as pa_score from a join {sql_gapped('a')} q using (k)),
+s as (select t.k, flank, case flank when 100 then {sql_score(stump_rows(4))} else {sql_score(stump_rows())} end as score from {sql_features('t')} f join (select k, flank from t) t using (k))
+select file, line_seq, concat('t', cast(k as varchar)) as id, case flank when 100 then 'flanking' else 'noflanking' end as mode, score from s join (select k, file, line_seq from {_FILE_LINES.sql}) l using (k)""")
+def score_pair_file(spark, d):
+    models = {"noflanking": ensemble(spark, stump_rows()), "flanking": ensemble(spark, stump_rows(4), "flanking")}
+    scored, _ = pair_scoring.score_pair_rows(parse_pairs(file_lines(spark, d)), load_table(shape_table(spark)), models, genomes(spark, d))
+    return scored.select("file", "line_seq", "input.id", "mode", "score")
