@@ -39,6 +39,8 @@ def test_model_checks(spark):
 
 def test_library_call_pairs_up_its_lists(spark, shape):
     m = ensemble(spark, stump_rows())
+    long = predict_cleavage_score(spark, [GUIDE, GUIDE], ["A" * 100 + CONTEXT[3:26] + "C" * 100, CONTEXT], shape, m).collect()
+    assert [r.score is None for r in long] == [True, False]  # the model of 29 letters is not for 223
     got = predict_cleavage_score(spark, [GUIDE, GUIDE[:19], "T" * 20], [CONTEXT, CONTEXT, CONTEXT], shape, m).collect()
     assert [r.position for r in got] == [0, 1, 2] and got[1].score is None and got[0].score != got[2].score
     with pytest.raises(ValueError):
