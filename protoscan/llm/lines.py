@@ -11,9 +11,9 @@ line goes whose Jaccard similarity with an earlier line, kept or not, is at leas
    shuffle). Its prefix, the first ``n - ceil(4n/5) + 1`` shingles, must meet the prefix of any match.
 3. Shingles that are in one prefix only are left out. Each line is first compared with the earliest line of
    each of its shingles, which settles families of near copies in linear work; only lines that
-   stay unsettled meet the whole lists, each pair once: at the first shingle that both prefixes have. A pair is met only if lengths
-   fit, enough places are left behind the shingle in both lines, and the prefixes share enough (``ONCE``); then whole sets are
-   compared.
+   stay unsettled meet the whole lists. A pair is met only if lengths fit and enough places are left behind the shingle in both lines; at a shingle
+   of more than ``HOT`` lines it is met once only, at the first that both prefixes have, and if the prefixes share enough
+   (``ONCE``). Then whole sets are compared.
 
 Shingles are compared by their 57-bit hash and class, sets of equal lines by 128 bits.
 
@@ -32,7 +32,9 @@ from protoscan.operators.bounded import broadcast_if_small
 
 SHINGLE = 5
 BUCKETS = 1 << 17
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 2_000_000
+#: A shingle in the prefixes of more lines than this brings their prefixes along; with fewer, the pairs are few either way.
+HOT = 16
 SPACES = r"[\x20\x09-\x0D]+"
 HASH = (1 << 57) - 1
 
@@ -94,18 +96,21 @@ def kept_lines(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     firsts = materialise(grouped.select("line", "n", "prefix").orderBy("line").select(F.monotonically_increasing_id().alias("lid"), "line", "n", "prefix"))
 
     prefix = firsts.select(F.posexplode("prefix").alias("pos", "token"), "lid", "n")
-    shared = materialise(firsts.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1").select("token"))
-    lists = materialise(prefix.join(broadcast_if_small(shared, BROADCAST_ROWS), "token").select("token", "lid", "n", "pos"))
+    shared = firsts.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("count")).where("count > 1")
+    shared = materialise(shared.select("token", (F.col("count") > HOT).alias("hot")))
+    lists = materialise(prefix.join(broadcast_if_small(shared, BROADCAST_ROWS), "token").select("token", "hot", "lid", "n", "pos"))
 
     star = lists.groupBy("token").agg(F.min(F.struct("lid", "n", "pos")).alias("s"))
     star = star.select("token", F.col("s.lid").alias("other"), F.col("s.n").alias("m"), F.col("s.pos").alias("pos2"))
     settled = _similar(lists.join(star, "token").where("other < lid").where(BOUNDS), firsts, documents, levels, shingle)
 
-    asking = materialise(lists.join(settled, "lid", "left_anti"))
-    others = lists.join(asking.select("token").distinct(), "token", "left_semi").toDF("token", "other", "m", "pos2")
-    wanted = asking.select("lid").union(others.select("other")).distinct()
-    prefixes = materialise(firsts.select("lid", "prefix").join(wanted, "lid", "left_semi"))
-    met = asking.join(prefixes, "lid").join(others.join(prefixes.toDF("other", "prefix2"), "other"), "token").where("other < lid").where(BOUNDS).where(ONCE)
+    asking = materialise(lists.join(settled, "lid", "left_anti").select("token", "hot", "lid", "n", "pos"))
+    others = lists.select("token", "hot", F.col("lid").alias("other"), F.col("n").alias("m"), F.col("pos").alias("pos2"))
+    rare = asking.where("not hot").drop("hot").join(others.where("not hot").drop("hot"), "token").where("other < lid").where(BOUNDS)
+    asking, others = asking.where("hot").drop("hot"), others.where("hot").drop("hot")
+    prefixes = materialise(firsts.select("lid", "prefix").join(lists.where("hot").select("lid").distinct(), "lid", "left_semi"))
+    often = asking.join(prefixes, "lid").join(others.join(prefixes.toDF("other", "prefix2"), "other"), "token").where("other < lid").where(BOUNDS).where(ONCE)
+    met = rare.select("lid", "other").union(often.select("lid", "other"))
     gone = settled.union(_similar(met, firsts, documents, levels, shingle))
     stay = firsts.select("lid", "line").join(gone, "lid", "left_anti").select("line.doc_id", "line.text_key", "line.line_no")
     return stay.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("line_no")).alias("kept"))
