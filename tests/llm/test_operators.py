@@ -186,13 +186,15 @@ def test_line_dedup(spark, texts):
         assert Counter((r.doc_id, r.text, r.n_lines, tuple(r.removed)) for r in got) == by
 
 
-def test_lines_of_near_copies(spark):
-    rng = np.random.default_rng(5)
+@pytest.mark.parametrize("hot", [0, 16])
+def test_lines_of_near_copies(spark, monkeypatch, hot):
+    monkeypatch.setattr(lines, "HOT", hot)
+    rng = np.random.default_rng(5 + hot)
     base = [f"t{i}" for i in range(60)]
     rows = []
     for i in range(120):
         w = list(base)
-        for at in rng.integers(0, 60, rng.integers(0, 4)):
+        for at in rng.integers(0, 60, rng.integers(0, 4 if i % 2 else 9)):
             w[at] = f"u{rng.integers(0, 50)}"
         rows.append((i, " ".join(w[: rng.integers(45, 60)])))
     got = {(r.doc_id, at) for r in lines.dedup_lines(whole(spark, rows)).collect() for at in r.removed}
