@@ -143,3 +143,23 @@ def test_cell_lines_without_data_give_null(spark):
     assert got == {1: 2.0, 2: 0.0, 3: None, 4: None, 5: None, 6: 0.0}
     got = {r.k: r.v for r in tracks.replicate_mean_by_line(sites, track, registry, "H3K9me", "v").collect()}
     assert got == {1: None, 2: 9.0, 3: None, 4: None, 5: None, 6: None}  # HEK293 has no data of this mark
+
+
+def test_ordered_load_over_many_stretches_and_batches(spark):
+    rng = random.Random(5)
+    rows = [("chr1", "+-"[i % 2], 400 * (i // 6) + rng.randint(0, 60), i * 7919 % 1000) for i in range(600)]
+    rows = [(c, s, a, a + rng.randint(5, 90), q) for c, s, a, q in rows]
+    df = spark.createDataFrame(rows, "chrom string, track_strand string, start long, end long, load_seq long")
+    want, covered = [], {"+": set(), "-": set()}
+    for _, strand, start, end, seq in sorted(rows, key=lambda r: r[4]):
+        if not {start, end} <= covered[strand]:
+            covered[strand] |= set(range(start, end + 1))
+            want.append(seq)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        kept = tracks.loaded_in_order(df)
+        assert sorted(r.load_seq for r in kept.collect()) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # one stream per task: a call for each stretch took most of the time
+    assert "FlatMapGroups" not in kept._jdf.queryExecution().toString()
