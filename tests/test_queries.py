@@ -50,3 +50,14 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_ungapped_search_spends_no_edits_on_the_pam(spark, duck):
+    from workloads.base import CONTIGS_SQL
+    from workloads.results import _GUIDES_SQL
+
+    want = duck.execute(f"""
+    with w as (select contig, i as start, substr(seq, i, 20) as p from (select contig, seq, unnest(range(1, length(seq) - 21)) as i from {CONTIGS_SQL}) where regexp_full_match(substr(seq, i + 21, 2), '[AG]{{2}}'))
+    select guide, contig, start, hamming(guide, p) as edits from {_GUIDES_SQL} g, w where hamming(guide, p) <= 4""").fetchall()
+    got = entry.queries()["offtarget_search_ungapped"](spark, SF).filter("strand = '+'").select("guide", "contig", "start", "edits").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
