@@ -61,3 +61,20 @@ def test_ungapped_search_spends_no_edits_on_the_pam(spark, duck):
     select guide, contig, start, hamming(guide, p) as edits from {_GUIDES_SQL} g, w where hamming(guide, p) <= 4""").fetchall()
     got = entry.queries()["offtarget_search_ungapped"](spark, SF).filter("strand = '+'").select("guide", "contig", "start", "edits").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_only_tables_in_few_row_groups_are_dealt_out(spark, tmp_path):
+    from workloads.base import table
+
+    whole = spark.range(4000).selectExpr("id as k")
+    whole.repartition(8).write.parquet(f"{tmp_path}/spread.parquet")
+    whole.coalesce(1).write.parquet(f"{tmp_path}/single.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "4096")
+    try:
+        plans = {n: table(spark, str(tmp_path), n)._jdf.queryExecution().optimizedPlan().toString() for n in ("spread", "single")}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert "Repartition" not in plans["spread"] and "Repartition" in plans["single"]
+    assert table(spark, str(tmp_path), "spread").count() == table(spark, str(tmp_path), "single").count() == 4000
