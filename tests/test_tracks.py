@@ -163,3 +163,35 @@ def test_ordered_load_over_many_stretches_and_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     # one stream per task: a call for each stretch took most of the time
     assert "FlatMapGroups" not in kept._jdf.queryExecution().toString()
+
+
+def test_several_numbers_from_one_lookup_equal_single_ones(spark):
+    rng = random.Random(8)
+    rows = [("chr1", a, a + rng.randint(0, 200), q, rng.choice([None, 0, -3, 7]), rng.choice([None, 0, 32767, -32767])) for q, a in enumerate(rng.randrange(4000) for _ in range(150))]
+    track = spark.createDataFrame(rows, "chrom string, start long, end long, load_seq long, a int, b int")
+    _, asked = sites(spark, rng, 80)
+    got = tracks.endpoint_numbers(asked, track, {"a": F.col("a"), "b": F.col("b")})
+    one = tracks.endpoint_value(asked, track.withColumn("value", F.col("a")), "a", 0, numeric=True)
+    both = tracks.endpoint_value(one, track.withColumn("value", F.col("b")), "b", 0, numeric=True)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, both.select(got.columns).collect()))
+
+
+@pytest.mark.parametrize("longest", [62, 70, 600, 40000])
+def test_pieces_for_known_sizes_tile_the_interval(spark, longest):
+    rng = random.Random(longest)
+    rows = [(a, a + rng.randint(0, longest)) for a in (rng.randrange(100000) for _ in range(40))] + [(128, 128 + longest), (63, 63 + longest)]
+    df = spark.createDataFrame(rows, "start long, end long")
+    sizes = intervals.block_sizes(df)
+    pieces = df.withColumn("p", intervals.interval_pieces(F.col("start"), F.col("end"), sizes))
+    for r in pieces.collect():
+        assert sorted(x for p in r.p for x in range(p.low, p.high + 1)) == list(range(r.start, r.end + 1))
+        assert {p.block % 8 for p in r.p} <= {0, *(k + 1 for k in sizes)}
+    # short intervals do without array functions, which are interpreted row by row
+    assert ("transform" in pieces._jdf.queryExecution().optimizedPlan().toString()) == bool(sizes)
+
+
+def test_ends_are_met_as_rows(spark):
+    track = spark.createDataFrame([("chr1", i * 90, i * 90 + 5, i, "x") for i in range(50)], "chrom string, start long, end long, load_seq long, value string")
+    places = spark.createDataFrame([("chr1", 95 + 90 * i, 97 + 90 * i) for i in range(20)], "chrom string, start long, end long")
+    got = intervals.walks(places.filter("start % 4 > 0"), track, ["chrom"], 50, 100, "k")
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
