@@ -195,3 +195,28 @@ def test_ends_are_met_as_rows(spark):
     places = spark.createDataFrame([("chr1", 95 + 90 * i, 97 + 90 * i) for i in range(20)], "chrom string, start long, end long")
     got = intervals.walks(places.filter("start % 4 > 0"), track, ["chrom"], 50, 100, "k")
     assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_of_a_tile_travel_packed(spark):
+    import numpy as np
+
+    from protoscan.operators import tiles
+
+    n = 6000
+    values = "case when id % 5 = 0 then null when id % 7 = 0 then double('NaN') else id / 3 end"
+    rows = spark.range(0, n, 1, 2).selectExpr(
+        "id % 3 - 1 as tile", "concat('chr', cast(id % 2 as string)) as chrom", "id % 4 - 1 as track",
+        "(id * 7919) % 100003 - 50000 as start", "(id * 7919) % 100003 - 50000 + id % 60 as end",
+        "if(id % 11 = 0, cast(-9223372036854775808 as bigint), id * 1000000000000) as load_seq", f"{values} as value")
+    packs = tiles.packed(rows.unionByName(rows.selectExpr("tile", "cast(null as string) as chrom", "track", "start", "end", "load_seq", "value"))).collect()
+    # 12 pairs of tile, chromosome and track in each of two tasks, instead of 6,000 rows to shuffle
+    assert len(packs) <= 12 * 2 * 2
+    got = []
+    for p in packs:
+        part = tiles._unpack(p.n, bytes(p.rows))
+        assert (np.diff(part["start"]) >= 0).all()
+        for i in range(p.n):
+            kept = None if part["kind"][i] == 1 else str(float(part["value"][i]))
+            got.append((p.tile, p.chrom, p.track, *(int(part[c][i]) for c in ("start", "end", "load_seq")), kept))
+    asked = [(r.tile, r.chrom, r.track, r.start, r.end, r.load_seq, None if r.value is None else str(r.value)) for r in rows.collect()]
+    assert sorted(got, key=str) == sorted(asked, key=str)
