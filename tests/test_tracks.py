@@ -247,3 +247,30 @@ def test_housekeeping_genes_against_a_plain_load(spark):
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
     # numbers are aggregated in a hash table, structs would be sorted for it
     assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_are_laid_to_their_tiles_in_the_tasks(spark, monkeypatch):
+    import numpy as np
+
+    from protoscan.operators import tiles
+
+    rng = random.Random(8)
+    size = 1 << tiles.TILE_BITS
+    rows = [(t, rng.randrange(-2 * size, 9 * size), rng.choice([0, 22, 3 * size])) for t in (-1, 0, 5) for _ in range(40)]
+    rows = [(t, s, s + (22 if t < 0 else n)) for t, s, n in rows]
+    reach = lambda track: np.where(track == 5, 5000, 6)
+    want = []
+    for t, s, e in rows:
+        low, high = (s, s) if t < 0 else (s - int(reach(np.int64(t))) - tiles.LONGEST_SITE, e + int(reach(np.int64(t))))
+        want += [(n, t, s, e) for n in range(low // size, high // size + 1)]
+    monkeypatch.setattr(tiles, "_GATHERED", 7)
+    parts = list(tiles._in_tiles({c: np.array(v) for c, v in zip(("track", "start", "end"), zip(*rows))}, reach))
+    assert max(len(p["tile"]) for p in parts) <= 7
+    assert [x for p in parts for x in zip(*(p[c].tolist() for c in ("tile", "track", "start", "end")))] == want
+    # no row for each tile and no array of tiles in the plan; a gene's parts are made once
+    lines = spark.range(9).selectExpr("'chr1' as chrom", "id * 90 as start", "id * 90 + 30 as end", "id as load_seq", "'+' as track_strand", "0 as replicate", "1.0D as value", "'+' as strand", "id as k")
+    genes = lines.selectExpr("chrom", "strand", "start as tx_start", "end as tx_end", "start as cds_start", "end as cds_end", "1 as exon_count", "array(start) as exon_starts", "array(end) as exon_ends", "load_seq")
+    got = tracks.genome_features(lines.select("k", "chrom", "strand", "start", "end"), gaps=lines.withColumn("kind", F.lit("clone")), sizes=lines.selectExpr("chrom", "1000 as length").distinct(), dnase=lines, nucleosomes=lines, subcompartments=lines, expression=lines, genes=genes, expression_replicates=1, cell_line="HEK293")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan and plan.count("Generate explode") == 1
+    assert [r.in_tx for r in got.collect()] == [1] * 9
