@@ -10,6 +10,7 @@ from protoscan.operators.genome import chunk_contigs
 from protoscan.operators.model import TreeEnsemble, score
 from protoscan.operators.post import format_results
 from protoscan.operators.scan import as_ontarget_pairs, scan_sites
+from protoscan.session import materialise
 
 
 def scan_features(contigs: DataFrame, shape_table, flank: int = SHORT_FLANK) -> DataFrame:
@@ -26,5 +27,6 @@ def score_sequences(contigs: DataFrame, shape_table, model: TreeEnsemble, flank:
 def scan_report(contigs: DataFrame, shape_table, model: TreeEnsemble, names: dict[str, str] | None = None) -> DataFrame:
     """Ranked, decoded table; an empty one means that the sequences hold no site."""
     scored = score_sequences(contigs, shape_table, model).withColumnRenamed("contig", "chrom").drop("context", "flank")
-    # ranking samples its input before it sorts; behind a shuffle the sample does not compute the features again
-    return format_results(scored.repartition("chrom", "strand", "start"), names, within=["chrom"], ties=[])
+    # ranking samples its input before it sorts: from a written table the sample reads the sort columns only, while a shuffle
+    # before the sort would be merged with it and all features computed twice
+    return format_results(materialise(scored), names, within=["chrom"], ties=[])

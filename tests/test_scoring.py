@@ -164,3 +164,19 @@ def test_missing_values_go_right_whatever_the_size(spark, monkeypatch, small):
     rows = spark.createDataFrame([(0, 1.0), (1, 1.5), (2, None), (3, float("nan"))], "k int, a double")
     got = {r.k: round(r.s * 8.22, 9) for r in model.score(rows, ensemble, "s").collect()}
     assert got == {0: 1.0, 1: 2.0, 2: 2.0, 3: 2.0}
+
+
+def test_a_scan_report_reads_its_sequences_once(spark, shape):
+    rows = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    rng = random.Random(4)
+    schema = "contig string, seq string"
+    contigs = spark.createDataFrame([(f"c{i}", "".join(rng.choice("ACGT") for _ in range(300))) for i in range(12)], schema).mapInArrow(counted, schema)
+    assert sequence_scan.scan_report(contigs, shape, ensemble(spark, stump_rows())).count() > 100
+    # the sample that the ranking takes must not scan and score them again
+    assert rows.value == 12
