@@ -180,3 +180,18 @@ def test_a_scan_report_reads_its_sequences_once(spark, shape):
     assert sequence_scan.scan_report(contigs, shape, ensemble(spark, stump_rows())).count() > 100
     # the sample that the ranking takes must not scan and score them again
     assert rows.value == 12
+
+
+def test_features_are_computed_in_two_projections(spark, shape):
+    from protoscan.operators.features import sequence_features
+
+    df = spark.createDataFrame([("A" * 20 + "TGG", "CAT" + "A" * 20 + "TGG" + "ACG", 3, "A" * 20 + "NGG", "A" * 20 + "TGG", 20.0)], "site string, context string, flank int, aln_rna string, aln_dna string, pa_score double")
+    got = sequence_features(df, shape)
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    # the Arrow function lies between the enthalpies and all other columns
+    assert plan.index("AS dna_enthalpy") < plan.index("ArrowEvalPython") < plan.index("AS mms_cnt")
+    assert got.columns[-len(SEQUENCE_FEATURES):] == list(SEQUENCE_FEATURES) and got.first()["mms_cnt"] == 0
