@@ -59,17 +59,6 @@ def running_sum(rows: DataFrame, value: Column, out: str) -> DataFrame:
     return local.join(_before(totals, "_t", "_skip"), "_part").withColumn(out, F.col("_skip") + F.col("_local")).drop("_v", "_local", "_skip")
 
 
-def running_max_before(rows: DataFrame, value: str, out: str, group: list[str]) -> DataFrame:
-    """The largest ``value`` of the rows before, within ``group``, over rows made by ``in_order`` on the group first; null for a group's first row."""
-    here = Window.partitionBy("_part", *group).orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
-    local = rows.withColumn("_local", F.max(value).over(here))
-    tails = rows.groupBy("_part", *group).agg(F.max(value).alias("_t"))
-    # as many rows as there are partitions and groups that begin or end in them
-    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = tails.withColumn("_carry", F.max("_t").over(earlier)).drop("_t")
-    return local.join(carried, ["_part", *group]).withColumn(out, F.greatest("_local", "_carry")).drop("_local", "_carry")
-
-
 def with_previous(rows: DataFrame, columns: list[str], prefix: str = "prev_") -> DataFrame:
     """Columns of the row before, over rows made by ``in_order``; null for the first row."""
     w = Window.partitionBy("_part").orderBy("_row")
