@@ -4,18 +4,22 @@ A line is the set of its shingles of ``SHINGLE`` lower-cased words (a shorter li
 line goes whose Jaccard similarity with an earlier line, kept or not, is at least 4/5; earlier means a smaller
 (doc_id, line number). Steps:
 
-1. Words are counted over all documents into ``BUCKETS`` hash buckets; a table of that fixed size is
-   a literal in the plans. A shingle is a long: the frequency class of its rarest word above 57 bits of hash, so the
-   natural order of the longs puts shingles that must be rare first.
-2. Lines of equal sets become one row with their earliest line (an aggregate, so copies combine before the
-   shuffle). Its prefix, the first ``n - ceil(4n/5) + 1`` shingles, must meet the prefix of any match.
-3. Shingles that are in one prefix only are left out. Each line is first compared with the earliest line of
+1. The sieve. Shingles are ordered by the hash of their first word, and of each line only those of its first
+   ``p div 5 + SHARED`` distinct first words are made (p: places of a shingle). They hold the first ``n div 5 + SHARED`` of its n
+   shingles, of which ``n div 5`` at most are missing from a similar line; so similar lines have the first ``SHARED`` of all that
+   they share in both. A line of which fewer are found in lines of other words is similar to none of these.
+2. Lines of equal words go but for the earliest. The lines that the sieve leaves are read from the texts again, one of each
+   wording, now with all their shingles.
+3. Shingles are ordered anew: a long is the frequency class of a shingle's hash bucket (``BUCKETS``, a table of fixed
+   size, a literal in the plans) above 57 bits of hash, so the natural order of the longs puts rare ones first. The prefix of
+   a set, the first ``n - ceil(4n/5) + 1`` shingles, must meet the prefix of any match.
+4. Shingles that are in one prefix only are left out. Each line is first compared with the earliest line of
    each of its shingles, which settles families of near copies in linear work; only lines that
    stay unsettled meet the whole lists. A pair is met only if lengths fit and enough places are left behind the shingle in both lines; at a shingle
    of more than ``HOT`` lines it is met once only, at the first that both prefixes have, and if the prefixes share enough
    (``ONCE``). Then whole sets are compared.
 
-Shingles are compared by their 57-bit hash and class, sets of equal lines by 128 bits.
+Shingles are compared by a 57-bit hash, lines of equal words by 128 bits.
 
 Null texts have no lines. Lines without a word (blank lines) always stay. Documents with a null id come after all others.
 Rows with equal id and text are one document: they get the same result. Documents of equal id (or none) and different texts
@@ -35,9 +39,12 @@ BUCKETS = 1 << 17
 BROADCAST_ROWS = 2_000_000
 #: A shingle in the prefixes of more lines than this brings their prefixes along; with fewer, the pairs are few either way.
 HOT = 16
-SPACES = r"[\x20\x09-\x0D]+"
+#: So many shingles of the sieve a line has in common with a similar one, or all that were made; 5 at most, since up to four shingles are equal as a whole.
+SHARED = 3
 HASH = (1 << 57) - 1
 
+#: What names a line.
+PLACE = ["doc_id", "text_key", "line_no"]
 #: Orders lines; a null id sorts last.
 LINE = "named_struct('last', doc_id is null, 'doc_id', doc_id, 'text_key', text_key, 'line_no', line_no)"
 #: What the first common shingle of a similar pair fulfils: fitting lengths, and enough places left behind it in both lines.
@@ -48,53 +55,61 @@ ONCE = """array_min(array_intersect(prefix, prefix2)) = token
     and 9 * (size(array_intersect(prefix, prefix2)) + if(element_at(prefix, -1) <= element_at(prefix2, -1), n - size(prefix), m - size(prefix2))) >= 4 * (n + m)"""
 
 
-def words(text: Column) -> Column:
-    return F.split(F.btrim(F.lower(text), F.lit(" \t\n\x0b\x0c\r")), SPACES)
+def line_words(documents: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text_key, line_no, w): the lower-cased words of every line that has some; ``only``: of these lines, with their lid.
+
+    Blanks other than the space are rare: they become spaces first, and lines are then cut at a single character.
+    """
+    blank = F.col("low").contains("\t") | F.col("low").contains("\x0b") | F.col("low").contains("\x0c") | F.col("low").contains("\r")
+    low = with_key(documents).select("doc_id", "text_key", F.lower("text").alias("low"))
+    low = low.select("doc_id", "text_key", F.when(blank, F.translate("low", "\t\x0b\x0c\r", "    ")).otherwise(F.col("low")).alias("low"))
+    each = low.select("doc_id", "text_key", F.posexplode(F.split("low", "\n")).alias("line_no", "line"))
+    if only is not None:
+        each = each.join(broadcast_if_small(only, BROADCAST_ROWS), F.expr("doc_id <=> only_id and text_key = only_key and line_no = only_no"))
+    return each.where("trim(line) <> ''").select(*(PLACE if only is None else ["lid"]), F.array_remove(F.split("line", " "), "").alias("w"))
+
+
+def sieved(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, text_key, line_no, s1, s2, tokens): a hash of the words of every line that has some, and its shingles of the sieve."""
+    keyed = line_words(documents).select(*PLACE, "w", F.expr("transform(w, x -> xxhash64(x))").alias("k"))
+    keyed = keyed.select("*", F.expr("xxhash64(k)").alias("s1"), F.expr("xxhash64(7, k)").alias("s2"), F.expr(f"greatest(size(k) - {shingle - 1}, 1)").alias("p"))
+    bound = keyed.withColumn("firsts", F.expr("sort_array(array_distinct(slice(k, 1, p)))")).withColumn("bound", F.expr(f"element_at(firsts, cast(least(p div 5 + {SHARED}, size(firsts)) as int))"))
+    # where an equal word comes last, all of its places count, so that the shingles are the first of an order that all lines have
+    at = bound.select(*PLACE, "s1", "s2", "w", F.expr("filter(sequence(0, p - 1), i -> k[i] <= bound)").alias("at"))
+    return at.select(*PLACE, "s1", "s2", F.expr(f"array_distinct(transform(at, i -> xxhash64(slice(w, i + 1, {shingle}))))").alias("tokens"))
 
 
-def rarity(documents: DataFrame, text: str = "text") -> Column:
-    """A literal of ``BUCKETS`` characters: 48 plus twice the binary logarithm of the words of a hash bucket in all documents."""
-    each = documents.select(F.explode(F.split(F.lower(F.col(text)), SPACES)).alias("w"))
-    counts = each.groupBy(F.expr(f"cast(xxhash64(w) & {BUCKETS - 1} as int)").alias("bucket")).count().toArrow()
+def line_sets(documents: DataFrame, only: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(lid, t): the distinct shingles of the lines ``only`` (lid, only_id, only_key, only_no)."""
+    places = f"sequence(1, greatest(size(w) - {shingle - 1}, 1))"
+    each = line_words(documents, only).select("lid", F.expr(f"array_distinct(transform({places}, i -> xxhash64(slice(w, i, {shingle})) & {HASH}L))").alias("t"))
+    return each.dropDuplicates(["lid"])
+
+
+def rarity(sets: DataFrame) -> Column:
+    """A literal of ``BUCKETS`` characters: 48 plus twice the binary logarithm of the shingles of a hash bucket in all sets."""
+    counts = sets.select(F.explode("t").alias("token")).groupBy(F.expr(f"cast(token & {BUCKETS - 1} as int)").alias("bucket")).count().toArrow()
     table = np.full(BUCKETS, 48, np.uint8)
     table[counts["bucket"].to_numpy()] = 48 + np.minimum(63, 2 * np.log2(counts["count"].to_numpy()))
     return F.lit(table.tobytes())
 
 
-def line_sets(documents: DataFrame, levels: Column, shingle: int = SHINGLE, only: DataFrame | None = None) -> DataFrame:
-    """(doc_id, text_key, line_no, t): the sorted distinct shingles of every line that has words; ``only``: of these lines, with their lid."""
-    each = with_key(documents).select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    if only is not None:
-        each = each.join(broadcast_if_small(only, BROADCAST_ROWS), F.expr("doc_id <=> only_id and text_key = only_key and line_no = only_no"))
-    each = each.select("*", words(F.col("line")).alias("w")).where("w[0] <> ''")
-    hashes = F.transform("w", lambda x: F.xxhash64(x))
-    ranked = F.transform(hashes, lambda h: F.call_function(
-        "shiftleft", (F.ascii(F.substring(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1)).cast("string")) - 48).cast("long"), F.lit(57)).bitwiseOR(h.bitwiseAND(F.lit(HASH))))
-    cut = f"transform(sequence(1, greatest(size(r) - {shingle - 1}, 1)), i -> slice(r, i, {shingle}))"
-    shingles = f"sort_array(array_distinct(transform({cut}, s -> (array_min(s) & ~{HASH}L) | (xxhash64(s) & {HASH}L))))"
-    kept = ["doc_id", "text_key", "line_no"] if only is None else ["lid"]
-    return each.select(*kept, ranked.alias("r")).select(*kept, F.expr(shingles).alias("t"))
-
-
-def _similar(met: DataFrame, firsts: DataFrame, documents: DataFrame, levels: Column, shingle: int) -> DataFrame:
-    """The lines (lid) of pairs (lid, other) whose whole sets are similar enough; the sets are read from the texts."""
-    pairs = materialise(met.select("lid", "other").distinct())
-    refs = firsts.select("lid", "line").join(pairs.select("lid").union(pairs.select("other")).distinct(), "lid", "left_semi")
-    refs = materialise(refs.select("lid", F.col("line.doc_id").alias("only_id"), F.col("line.text_key").alias("only_key"), F.col("line.line_no").alias("only_no")))
-    sets = materialise(line_sets(documents, levels, shingle, refs).dropDuplicates(["lid"]))
-    both = pairs.join(sets, "lid").join(sets.toDF("other", "t2"), "other")
-    return materialise(both.where("9 * size(array_intersect(t, t2)) >= 4 * (size(t) + size(t2))").select("lid").distinct())
+def ranked(sets: DataFrame, levels: Column) -> DataFrame:
+    """(lid, n, prefix): the size of every set and its prefix in the order of the ranked shingles."""
+    rank = F.transform("t", lambda h: F.call_function(
+        "shiftleft", (F.ascii(F.substring(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1)).cast("string")) - 48).cast("long"), F.lit(57)).bitwiseOR(h))
+    return sets.select("lid", F.size("t").alias("n"), rank.alias("r")).select("lid", "n", F.expr("slice(sort_array(r), 1, n div 5 + 1)").alias("prefix"))
 
 
-def kept_lines(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, text_key, kept): the numbers of the lines with words that stay, for documents that keep any."""
-    levels = rarity(documents)
-    lines = line_sets(documents, levels, shingle)
-    grouped = lines.groupBy(F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(7), F.col("t")).alias("h2"), F.size("t").alias("n")).agg(
-        F.min(F.expr(LINE)).alias("line"), F.first(F.expr("slice(t, 1, size(t) div 5 + 1)")).alias("prefix"))
-    # numbered in the order of the lines, so that everything after this compares and carries numbers only
-    firsts = materialise(grouped.select("line", "n", "prefix").orderBy("line").select(F.monotonically_increasing_id().alias("lid"), "line", "n", "prefix"))
+def _similar(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """The lines (lid) of pairs (lid, other) whose whole sets are similar enough."""
+    both = met.select("lid", "other").distinct().join(sets, "lid").join(sets.toDF("other", "t2"), "other")
+    return materialise(both.where("9 * size(array_intersect(t, t2)) >= 4 * (size(t) + size(t2))").select("lid").distinct())
+
 
+def _repeated(sets: DataFrame) -> DataFrame:
+    """The lines (lid) that are similar to one of a smaller number."""
+    firsts = materialise(ranked(sets, rarity(sets)))
     prefix = firsts.select(F.posexplode("prefix").alias("pos", "token"), "lid", "n")
     shared = firsts.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("count")).where("count > 1")
     shared = materialise(shared.select("token", (F.col("count") > HOT).alias("hot")))
@@ -102,7 +117,7 @@ def kept_lines(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     star = lists.groupBy("token").agg(F.min(F.struct("lid", "n", "pos")).alias("s"))
     star = star.select("token", F.col("s.lid").alias("other"), F.col("s.n").alias("m"), F.col("s.pos").alias("pos2"))
-    settled = _similar(lists.join(star, "token").where("other < lid").where(BOUNDS), firsts, documents, levels, shingle)
+    settled = _similar(lists.join(star, "token").where("other < lid").where(BOUNDS), sets)
 
     asking = materialise(lists.join(settled, "lid", "left_anti").select("token", "hot", "lid", "n", "pos"))
     others = lists.select("token", "hot", F.col("lid").alias("other"), F.col("n").alias("m"), F.col("pos").alias("pos2"))
@@ -110,20 +125,37 @@ def kept_lines(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     asking, others = asking.where("hot").drop("hot"), others.where("hot").drop("hot")
     prefixes = materialise(firsts.select("lid", "prefix").join(lists.where("hot").select("lid").distinct(), "lid", "left_semi"))
     often = asking.join(prefixes, "lid").join(others.join(prefixes.toDF("other", "prefix2"), "other"), "token").where("other < lid").where(BOUNDS).where(ONCE)
-    met = rare.select("lid", "other").union(often.select("lid", "other"))
-    gone = settled.union(_similar(met, firsts, documents, levels, shingle))
-    stay = firsts.select("lid", "line").join(gone, "lid", "left_anti").select("line.doc_id", "line.text_key", "line.line_no")
-    return stay.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("line_no")).alias("kept"))
+    return settled.union(_similar(rare.select("lid", "other").union(often.select("lid", "other")), sets))
+
+
+def removed_lines(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, text_key, gone): the sorted numbers of the lines that go, for documents that lose any."""
+    lines = materialise(sieved(documents, shingle))
+    tokens = lines.select(*PLACE, "s1", "s2", F.size("tokens").alias("made"), F.explode("tokens").alias("token"))
+    # lines of equal words are one here; a shingle that only they share leads to nothing
+    apart = materialise(tokens.groupBy("token").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low <> high").select("token"))
+    near = tokens.join(broadcast_if_small(apart, BROADCAST_ROWS), "token", "left_semi").groupBy(*PLACE, "s1", "s2", "made").count()
+    near = near.where(f"count >= least(made, {SHARED})").groupBy("s1", "s2").agg(F.min(F.expr(LINE)).alias("line"))
+    # numbered in the order of the lines, so that everything after this compares and carries numbers only
+    near = materialise(near.select("line")).orderBy("line").select(F.monotonically_increasing_id().alias("lid"), "line.*")
+    refs = materialise(near.select("lid", F.col("doc_id").alias("only_id"), F.col("text_key").alias("only_key"), F.col("line_no").alias("only_no")))
+    gone = _repeated(materialise(line_sets(documents, refs, shingle)))
+    gone = materialise(refs.join(gone, "lid", "left_semi").drop("lid"))
+
+    same = F.expr("doc_id <=> only_id and text_key = only_key and line_no = only_no")
+    copied = materialise(lines.groupBy("s1", "s2").agg(F.min(F.expr(LINE)).alias("line"), F.count("*").alias("count")).where("count > 1").select("s1", "s2", "line"))
+    stay = copied.select("line.*").drop("last").join(gone, same, "left_anti").toDF(*gone.columns)
+    copies = lines.select(*PLACE, "s1", "s2").join(broadcast_if_small(copied.drop("line"), BROADCAST_ROWS), ["s1", "s2"], "left_semi").select(*PLACE)
+    every = copies.join(stay, same, "left_anti").union(gone)
+    return every.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
 
 
 def dedup_lines(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``documents`` without the lines that repeat earlier ones; adds n_lines and removed (numbers of the lines that went)."""
-    kept = materialise(kept_lines(documents.select("doc_id", "text"), shingle)).toDF("__id", "__key", "__kept")
+    gone = materialise(removed_lines(documents.select("doc_id", "text"), shingle)).toDF("__id", "__key", "__gone")
     rest = columns(others(documents, "text", "n_lines", "removed"))
-    joined = documents.select(*rest, "text", F.xxhash64("text").alias("__of")).join(kept, F.expr("doc_id <=> __id and __of = __key"), "left")
-    every = joined.withColumn("__lines", F.split("text", "\n")).withColumn("__kept", F.coalesce("__kept", F.array().cast("array<int>")))
-    gone = "filter(sequence(0, size(__lines) - 1), i -> not array_contains(__kept, i) and __lines[i] rlike '[^\\\\x20\\\\x09-\\\\x0D]')"
-    every = every.withColumn("removed", F.when(F.col("text").isNotNull(), F.expr(gone)).otherwise(F.array().cast("array<int>")))
-    text = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.expr("array_join(filter(__lines, (l, i) -> not array_contains(removed, i)), '\\n')"))
-    n_lines = F.when(F.col("text").isNotNull(), F.size("__lines")).otherwise(0).cast("long")
+    joined = documents.select(*rest, "text", F.xxhash64("text").alias("__of")).join(broadcast_if_small(gone, BROADCAST_ROWS), F.expr("doc_id <=> __id and __of = __key"), "left")
+    every = joined.withColumn("removed", F.coalesce("__gone", F.array().cast("array<int>")))
+    text = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.expr("array_join(filter(split(text, '\\n'), (l, i) -> not array_contains(removed, i)), '\\n')"))
+    n_lines = F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n"))).otherwise(0).cast("long")
     return every.select(*rest, text.alias("text"), n_lines.alias("n_lines"), "removed")

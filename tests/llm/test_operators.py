@@ -201,6 +201,28 @@ def test_lines_of_near_copies(spark, monkeypatch, hot):
     assert got == {(i, at) for i, _, at in brute_lines(rows)}
 
 
+def test_only_lines_with_common_shingles_are_read_again(spark, monkeypatch):
+    made, make = [], lines.line_sets
+    monkeypatch.setattr(lines, "line_sets", lambda *a, **b: made.append(make(*a, **b)) or made[-1])
+    rng = np.random.default_rng(11)
+    line = lambda: " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 40))
+    rows = [(i, "\n".join(line() for _ in range(3))) for i in range(30)]
+    rows += [(30, rows[4][1]), (31, rows[5][1].split("\n")[0] + " more")]
+    got = {(r.doc_id, at) for r in lines.dedup_lines(whole(spark, rows)).collect() for at in r.removed}
+    assert got == {(i, at) for i, _, at in brute_lines(rows)} == {(30, 0), (30, 1), (30, 2), (31, 0)}
+    assert sum(d.count() for d in made) == 2
+
+
+def test_lines_of_few_words_and_odd_blanks(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(150):
+        w = [["a", "B", "cc"][x] for x in rng.integers(0, 3, rng.integers(1, 16))]
+        rows.append((i, "".join(x + [" ", "  ", "\t", "\x0b", "\r", "\x0c "][rng.integers(0, 6)] for x in w) + "\n" + " " * (i % 3)))
+    got = {(r.doc_id, at) for r in lines.dedup_lines(whole(spark, rows)).collect() for at in r.removed}
+    assert got == {(i, at) for i, _, at in brute_lines(rows)}
+
+
 # --- repeated passages
 
 
